@@ -33,7 +33,7 @@ def is_ipv4(ip: Column) -> Column:
 
 
 def is_ipv6(ip: Column) -> Column:
-    return F.coalesce(ip.rlike(rf"\A{_V6}\z"), F.lit(False))
+    return F.coalesce(ip.contains(":") & ip.rlike(rf"\A{_V6}\z"), F.lit(False))
 
 
 def is_ip(ip: Column) -> Column:
@@ -46,16 +46,15 @@ def ip_family(ip: Column) -> Column:
 
 def is_cidr(cidr: Column) -> Column:
     v4 = cidr.rlike(rf"\A{_V4}/0*(?:3[0-2]|[12]?[0-9])\z")
-    v6 = cidr.rlike(rf"\A{_V6}/0*(?:12[0-8]|1[01][0-9]|[1-9]?[0-9])\z")
+    v6 = cidr.contains(":") & cidr.rlike(rf"\A{_V6}/0*(?:12[0-8]|1[01][0-9]|[1-9]?[0-9])\z")
     return F.coalesce(v4 | v6, F.lit(False))
 
 
 def ipv4_to_long(ip: Column) -> Column:
     """Dotted text to its 32-bit value; null when it is not a dotted address."""
-    part = F.split(ip, r"\.")
     value = F.lit(0).cast("bigint")
-    for i in range(4):
-        value = value * 256 + F.get(part, F.lit(i)).try_cast("bigint")
+    for i in range(1, 5):
+        value = value * 256 + F.substring_index(F.substring_index(ip, ".", i), ".", -1).try_cast("bigint")
     return F.when(is_ipv4(ip), value)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _RFC3339 = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})\z"
@@ -35,27 +35,30 @@ def seconds_between(start: Column, end: Column) -> Column:
     return (F.signum(micros) * F.floor(F.abs(micros) / 1_000_000)).cast("bigint")
 
 
-def elapsed(status: Column, start: Column, end: Column, as_of: Column, *, detail: bool = False) -> Column:
-    """End minus start, or time so far with ``*`` while in progress, else ``N/A``.
+def with_elapsed(df: DataFrame, as_of: Column, *, listed: str | None = None, detailed: str | None = None,
+                 status: str = "status", start: str = "start_time", end: str = "end_time") -> DataFrame:
+    """Add end minus start, or time so far with ``*`` while in progress, else ``N/A``.
 
     The list form shows a running deployment even when no time has passed; the
-    detail form does not, and stars by status alone.
+    detail form does not, and stars by status alone.  Clock texts are parsed
+    once per row, in a projection of their own.
     """
-    started = parse_rfc3339(start)
-    ended = parse_rfc3339(end)
-    running = status == "in_progress"
-    no_end = F.coalesce(end, F.lit("")) == ""
-    done = seconds_between(started, ended)
-    done_micros = F.unix_micros(ended) - F.unix_micros(started)
-    so_far = seconds_between(started, as_of)
-    so_far_micros = F.unix_micros(as_of) - F.unix_micros(started)
-    missing = F.lit("N/A")
-    finished = F.when(done_micros > 0, human_duration(done))
-    ongoing = F.concat(human_duration(so_far), F.lit("*"))
-    if detail:
-        finished = F.when(running, F.concat(finished, F.lit("*"))).otherwise(finished)
-        ongoing = F.when(so_far_micros > 0, ongoing)
-    return F.coalesce(F.when(started.isNotNull(), F.when(~no_end, finished).when(running, ongoing)), missing)
+    parsed = df.withColumns({"_started": parse_rfc3339(F.col(start)), "_ended": parse_rfc3339(F.col(end)),
+                             "_no_end": F.coalesce(F.col(end), F.lit("")) == ""})
+    spans = parsed.withColumns({
+        "_span": F.unix_micros(F.coalesce("_ended", F.when(F.col("_no_end"), as_of))) - F.unix_micros("_started"),
+        "_running": F.coalesce(F.col(status) == "in_progress", F.lit(False))})
+    text = spans.withColumn("_text", human_duration(
+        (F.signum("_span") * F.floor(F.abs("_span") / 1_000_000)).cast("bigint")))
+    ahead = F.col("_span") > 0
+    starred = F.concat("_text", F.lit("*"))
+    out = {}
+    if listed:
+        out[listed] = F.when(F.col("_no_end"), F.when(F.col("_running"), starred)).when(ahead, F.col("_text"))
+    if detailed:
+        out[detailed] = F.when(~ahead, None).when(F.col("_running"), starred).when(~F.col("_no_end"), F.col("_text"))
+    return text.withColumns({name: F.coalesce(value, F.lit("N/A")) for name, value in out.items()}).drop(
+        "_started", "_ended", "_no_end", "_span", "_running", "_text")
 
 
 # Unit names and their length in seconds.

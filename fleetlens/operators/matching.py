@@ -310,18 +310,30 @@ def purge_leases(leases: DataFrame, nodes: DataFrame, mode: str = "exact",
     if mode == "exact":
         tokens = F.array_distinct(F.split("line", r"\s+"))
     else:
-        tokens = F.array_distinct(F.flatten(F.transform(F.split("line", r"[^0-9A-Fa-f.:]+"), _pieces)))
+        # A few shapes (length and punctuation) cover every sought text; their
+        # number is bounded by the text length, so reading them here is safe.
+        shapes = [(r["w"], r["p"]) for r in sought.select(
+            F.length("_t").alias("w"), _punctuation(F.col("_t")).alias("p")).distinct().collect()]
+        if not shapes:
+            return leases.limit(0).select(*scope, "line")
+        tokens = F.array_distinct(F.flatten(F.transform(
+            F.split("line", r"[^0-9A-Fa-f.:]+"), lambda run: _pieces(run, shapes))))
     offered = leases.select(*scope, "line", F.explode(tokens).alias("_t"))
     return offered.join(sought, [*scope, "_t"], "left_semi").drop("_t").distinct()
 
 
-def _pieces(run: Column, shortest: int = 2) -> Column:
-    """Every substring of a short run, from ``shortest`` characters up."""
-    size = F.length(run)
-    return F.when(size >= shortest, F.flatten(F.transform(
-        F.sequence(F.lit(shortest), size), lambda width: F.transform(
-            F.sequence(F.lit(1), size - width + 1), lambda at: F.substring(run, at, width))))
-    ).otherwise(F.array().cast("array<string>"))
+def _punctuation(text: Column) -> Column:
+    return F.translate(text, "0123456789abcdefABCDEF", "")
+
+
+def _pieces(run: Column, shapes: list[tuple[int, str]]) -> Column:
+    """The substrings of a run that have the length and punctuation of a sought text."""
+    marks = _punctuation(run)
+    wanted = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in shapes])
+    possible = F.filter(wanted, lambda s: F.contains(marks, s["p"]) & (s["w"] <= F.length(run)))
+    return F.flatten(F.transform(possible, lambda s: F.filter(
+        F.transform(F.sequence(F.lit(1), F.length(run) - s["w"] + 1), lambda at: F.substring(run, at, s["w"])),
+        lambda piece: _punctuation(piece) == s["p"])))
 
 
 def orphans(mappings: DataFrame, markers: DataFrame, configs: DataFrame, key: Sequence[str] = _CLUSTER) -> DataFrame:

@@ -262,7 +262,8 @@ select controller_id, count(*) filter (not deleted) as visible, count(*) filter
 from b_clusters group by 1""")
 
 oracle("snk2_snapshots", """
-select strftime(snapshot_ts, '%Y-%m') as month, status, count(*) as snapshots from b_states group by 1, 2""")
+select strftime(ts, '%Y-%m-%d') as day, case when value < 20 then 'failed' else 'success' end as status, count(*) as snapshots
+from events group by 1, 2""")
 
 # --- projections -------------------------------------------------------------
 

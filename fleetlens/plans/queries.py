@@ -16,7 +16,7 @@ from fleetlens.functions.collections import append_absent, first_match, map_put
 from fleetlens.operators import capacity, desired, history, logs, matching, planning, resolve, rules
 from fleetlens.plans import bindings as b
 from fleetlens.plans import reports
-from fleetlens.session import scratch_dir
+from fleetlens.session import scratch_dir, spread
 from fleetlens.sources import documents, snapshots
 from fleetlens.streaming import feeds
 
@@ -65,7 +65,7 @@ def src1_configs(spark, sf):
         F.array_join(F.transform(F.sequence(F.lit(1), (c % 3 + 1).cast("int")), lambda i: F.concat(
             F.lit("    - name: m"), i.cast("string"), F.lit("\n      ip: 10.0.0."), i.cast("string"), F.lit("\n"))), ""),
         F.when(bad, "broken: [\n").otherwise("# end\n"))
-    docs = b.table(spark, sf, "orders").select(k.alias("cluster_id"), raw.alias("raw"))
+    docs = spread(b.table(spark, sf, "orders")).select(k.alias("cluster_id"), raw.alias("raw"))
     df = documents.parse_configs(docs)
     return df.select(
         "cluster_id", F.col("_error").isNotNull().alias("failed"), F.col("openshift.cluster_name").alias("name"),
@@ -186,13 +186,13 @@ def snk1_report(spark, sf):
 
 @query
 def snk2_snapshots(spark, sf):
-    """State snapshots appended to a dated history; counts per date."""
+    """Phase runs appended to a dated history; counts per date and status."""
     from fleetlens.sources.sinks import append_snapshot
 
     path = scratch_dir(spark)
-    append_snapshot(b.states(spark, sf).select("cluster_name", "status", "snapshot_ts"), path)
+    append_snapshot(b.phase_log(spark, sf).select("cluster_id", "status", F.col("ts").alias("snapshot_ts")), path)
     out = spark.read.parquet(path)
-    return out.groupBy(F.date_format("snapshot_date", "yyyy-MM").alias("month"), "status").agg(
+    return out.groupBy(F.date_format("snapshot_date", "yyyy-MM-dd").alias("day"), "status").agg(
         F.count(F.lit(1)).alias("snapshots"))
 
 
@@ -962,11 +962,8 @@ def s2_human_duration(spark, sf):
 
 @query
 def s4_elapsed(spark, sf):
-    s = b.states(spark, sf)
-    args = (F.col("status"), F.col("start_time"), F.col("end_time"), as_of())
-    return s.select("cluster_id", times.elapsed(*args).alias("listed"),
-                    times.elapsed(*args, detail=True).alias("detailed"),
-                    times.wall_clock(F.col("end_time")).alias("ended"))
+    out = times.with_elapsed(b.states(spark, sf), as_of(), listed="listed", detailed="detailed")
+    return out.select("cluster_id", "listed", "detailed", times.wall_clock(F.col("end_time")).alias("ended"))
 
 
 @query

@@ -45,6 +45,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def spread(source: DataFrame) -> DataFrame:
+    """Use every core on a source that arrives in fewer splits than there are cores.
+
+    For plain scans before work that costs more than moving its rows.  A source
+    that already has enough splits, as any large one has, is left alone.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source
+
+
 def write_and_read(df: DataFrame) -> DataFrame:
     """Cut lineage through a written table, which outlives any executor."""
     spark = df.sparkSession

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.times import parse_rfc3339
 from fleetlens.schemas import CONFIG, STATE
+from fleetlens.session import spread
 
 # The placeholder password of the sample documents, and the names
 # of the marker files.
@@ -92,7 +93,7 @@ def read_configs(spark: SparkSession, glob: str) -> DataFrame:
         folder_of(F.col("_metadata.file_path")).alias("directory"),
         F.col("_metadata.file_modification_time").alias("snapshot_ts"),
         F.col("value").alias("raw"))
-    return parse_configs(files)
+    return parse_configs(spread(files))
 
 
 def parse_states(df: DataFrame, text: str = "raw") -> DataFrame:

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Write a report, partitioned by controller where the rows carry one."""
-    writer = df.write.format(fmt).mode(mode)
-    if "controller_id" in df.columns:
+    keyed = "controller_id" in df.columns
+    writer = (df.hint("rebalance", "controller_id") if keyed else df).write.format(fmt).mode(mode)
+    if keyed:
         writer = writer.partitionBy("controller_id")
     writer.save(path)
 
 
 def append_snapshot(df: DataFrame, path: str, at: str = "snapshot_ts") -> None:
-    """Append one collection run; readers prune by ``snapshot_date``."""
-    (df.withColumn("snapshot_date", F.to_date(at))
+    """Append one collection run; readers prune by ``snapshot_date``.
+
+    Rows are rebalanced by date first, so a date gets few files, and a date that
+    holds most rows is split over several tasks.
+    """
+    (df.withColumn("snapshot_date", F.to_date(at)).hint("rebalance", "snapshot_date")
      .write.mode("append").partitionBy("snapshot_date").parquet(path))

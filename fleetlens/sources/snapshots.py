@@ -59,14 +59,13 @@ def read_inventory(spark: SparkSession, kind: str, glob: str) -> DataFrame:
 
 def parse_sockets(lines: DataFrame, text: str = "value") -> DataFrame:
     """Socket listing lines: state, queues, local ``address:port``, peer, process."""
-    parts = F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " ")
-    local = F.get(parts, F.lit(3))
-    port = F.substring_index(local, ":", -1)
-    return (lines.withColumns({
-        "local_addr": F.left(local, F.length(local) - F.length(port) - 1),
+    cut = lines.withColumn("_p", F.split(F.trim(F.col(text)), r"\s+")).withColumn("_l", F.get("_p", F.lit(3)))
+    port = F.substring_index("_l", ":", -1)
+    return (cut.withColumns({
+        "local_addr": F.left("_l", F.length("_l") - F.length(port) - 1),
         "port": port.try_cast("int"),
-        "process": F.coalesce(F.array_join(F.slice(parts, 6, 100), " "), F.lit(""))})
-        .filter(F.col("port").isNotNull()))
+        "process": F.coalesce(F.array_join(F.slice("_p", 6, 100), " "), F.lit(""))})
+        .filter(F.col("port").isNotNull()).drop("_p", "_l"))
 
 
 def parse_addresses(lines: DataFrame, text: str = "value") -> DataFrame:
