@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -84,19 +84,36 @@ def cidr_netmask(cidr: Column) -> Column:
         F.concat_ws(".", *[octet(i) for i in range(4)]))
 
 
-def cidr_contains(cidr: Column, ip: Column) -> Column:
-    """True or false within one family, false across families.
+def network_facts(cidr: Column, prefix: str = "_net") -> dict[str, Column]:
+    """Validity, value and length of a network, to be computed once per network row."""
+    valid = is_cidr(cidr)
+    return {f"{prefix}_ok": valid, f"{prefix}_bits": cidr_prefix(cidr),
+            f"{prefix}_base": F.when(valid, ipv4_to_long(F.substring_index(cidr, "/", 1)))}
 
-    Null when the network is invalid, the address is unparseable, or both are of
-    the longer family, for which containment is not computed.
+
+def address_facts(ip: Column, prefix: str = "_ip") -> dict[str, Column]:
+    """Validity and value of an address, to be computed once per address row."""
+    return {f"{prefix}_ok": is_ip(ip), f"{prefix}_value": ipv4_to_long(ip)}
+
+
+def inside(net: str = "_net", ip: str = "_ip") -> Column:
+    """Is the address in the network, from the columns of the two fact functions?
+
+    True or false within one family, false across families.  Null when either is
+    invalid, or both are of the longer family, for which it is not computed.
     """
-    bits = cidr_prefix(cidr)
-    width = F.pow(F.lit(2), F.lit(32) - bits).cast("bigint")
-    net = ipv4_to_long(F.substring_index(cidr, "/", 1))
-    addr = ipv4_to_long(ip)
-    same = F.floor(net / width) == F.floor(addr / width)
-    return (F.when(net.isNotNull() & addr.isNotNull() & bits.isNotNull(), same)
-            .when(is_cidr(cidr) & is_ip(ip) & (net.isNotNull() | addr.isNotNull()), F.lit(False)))
+    base, value = F.col(f"{net}_base"), F.col(f"{ip}_value")
+    drop = F.lit(32) - F.col(f"{net}_bits")
+    same = F.call_function("shiftright", base, drop) == F.call_function("shiftright", value, drop)
+    known = F.col(f"{net}_ok") & F.col(f"{ip}_ok")
+    return (F.when(base.isNotNull() & value.isNotNull(), same)
+            .when(known & (base.isNotNull() | value.isNotNull()), F.lit(False)))
+
+
+def with_inside(df: DataFrame, name: str, cidr: str, ip: str) -> DataFrame:
+    """Add one containment column."""
+    facts = df.withColumns({**network_facts(F.col(cidr)), **address_facts(F.col(ip))})
+    return facts.withColumn(name, inside()).drop("_net_ok", "_net_bits", "_net_base", "_ip_ok", "_ip_value")
 
 
 def mac_colons(mac: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.collections import contains, listed
-from fleetlens.functions.net import cidr_contains, is_cidr, is_ip, mac_colons
+from fleetlens.functions.net import address_facts, inside, mac_colons, network_facts
 from fleetlens.functions.text import blank, link_uuid, url_basename
 
 _CLUSTER = ("controller_id", "cluster_name")
@@ -149,12 +149,12 @@ def outside_network(nodes: DataFrame, configs: DataFrame, key: Sequence[str] = _
     The range test runs beside the cluster key, never alone.  ``strict`` also
     reports addresses that do not parse.
     """
-    net = configs.select(*key, "machine_cidr").filter(is_cidr(F.col("machine_cidr")))
-    inside = cidr_contains(F.col("machine_cidr"), F.col("ip"))
-    bad = is_ip(F.col("ip")) & (inside == F.lit(False))
+    net = configs.select(*key, "machine_cidr", *[v.alias(n) for n, v in network_facts(F.col("machine_cidr")).items()])
+    placed = nodes.withColumns(address_facts(F.col("ip"))).join(net.filter("_net_ok"), list(key))
+    bad = F.col("_ip_ok") & (inside() == F.lit(False))
     if strict:
-        bad = bad | ~is_ip(F.col("ip"))
-    return nodes.join(net, list(key)).filter(bad)
+        bad = bad | ~F.col("_ip_ok")
+    return placed.filter(bad).select(*nodes.columns, "machine_cidr")
 
 
 def live_conflicts(nodes: DataFrame, ping: DataFrame, scope: Sequence[str] = ("controller_id",)) -> DataFrame:

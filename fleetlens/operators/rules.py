@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.net import cidr_contains, is_cidr, is_ip
+from fleetlens.functions.net import address_facts, inside, network_facts
 from fleetlens.functions.text import blank, kb_to_gb
 from fleetlens.operators.ordered import HOT_ROWS, ordered
 
@@ -51,37 +51,47 @@ def _empty(name: str) -> Column:
     return F.col(name) == ""
 
 
-def _usable_cidr() -> Column:
-    return is_cidr(F.col("machine_cidr"))
+def config_facts(resolved: DataFrame) -> DataFrame:
+    """Parse each configuration's network and addresses once, for ``config_rules``."""
+    return resolved.withColumns({
+        **network_facts(F.col("machine_cidr")), **address_facts(F.col("vip"), "_vip"),
+        **address_facts(F.col("gateway"), "_gateway")})
+
+
+def node_facts(nodes: DataFrame) -> DataFrame:
+    """Parse each node's network and address once, for ``node_rules`` and ``scale_rules``."""
+    return nodes.withColumns({**network_facts(F.col("machine_cidr")), **address_facts(F.col("ip"))})
 
 
 def config_rules() -> list[Rule]:
-    """Row rules over resolved configurations.
+    """Row rules over resolved configurations with ``config_facts``.
 
     A missing or invalid network stops the rules that need it (R09-R14), which
     is written here as a guard in their predicates.
     """
     c = F.col
     net, vip, gateway, isolation = c("machine_cidr"), c("vip"), c("gateway"), c("isolation")
+    usable = c("_net_ok")
     agent = c("boot_method") == "agent"
 
-    def outside(address: Column) -> Column:
-        return _usable_cidr() & (address != "") & (~is_ip(address) | (cidr_contains(net, address) == F.lit(False)))
+    def outside(name: str) -> Column:
+        bad = ~c(f"_{name}_ok") | (inside(ip=f"_{name}") == F.lit(False))
+        return usable & (c(name) != "") & bad
 
     return [
         rule("R01", _empty("interface"), "controller interface is empty"),
-        rule("R02", (vip != "") & ~is_ip(vip), "vip is no address: ", vip),
+        rule("R02", (vip != "") & ~c("_vip_ok"), "vip is no address: ", vip),
         rule("R03", _empty("hmc_ip"), "hypervisor address is empty"),
         rule("R04", _empty("hmc_user"), "hypervisor user is empty"),
         rule("R05", ~c("hmc_password_set"), "hypervisor password is not set"),
         rule("R06", _empty("base_domain"), "base domain is empty"),
         rule("R07", net == "", "machine network is empty"),
-        rule("R08", (net != "") & ~_usable_cidr(), "machine network is invalid: ", net),
-        rule("R09", outside(gateway), "gateway ", gateway, " is outside ", net),
-        rule("R10", outside(vip), "vip ", vip, " is outside ", net),
-        rule("R11", _usable_cidr() & (gateway == ""), "gateway is empty"),
-        rule("R12", _usable_cidr() & c("dns_managed") & (F.size("dns_forwarders") == 0), "no forwarders for managed dns"),
-        rule("R13", _usable_cidr() & ~c("dns_managed") & _empty("dns_external"), "external dns is empty"),
+        rule("R08", (net != "") & ~usable, "machine network is invalid: ", net),
+        rule("R09", outside("gateway"), "gateway ", gateway, " is outside ", net),
+        rule("R10", outside("vip"), "vip ", vip, " is outside ", net),
+        rule("R11", usable & (gateway == ""), "gateway is empty"),
+        rule("R12", usable & c("dns_managed") & (F.size("dns_forwarders") == 0), "no forwarders for managed dns"),
+        rule("R13", usable & ~c("dns_managed") & _empty("dns_external"), "external dns is empty"),
         rule("R15", _empty("version"), "version is empty"),
         rule("R16", ~c("release_type").isin("official", "ci"), "unknown release type: ", c("release_type")),
         rule("R17", _empty("pull_secret"), "pull secret path is empty"),
@@ -142,7 +152,7 @@ def topology_rules() -> list[Rule]:
 
 
 def node_rules() -> list[Rule]:
-    """Row rules over exploded nodes joined with ``machine_cidr``.
+    """Row rules over exploded nodes with ``node_facts``.
 
     Workers and bootstrap nodes get no address syntax check.
     """
@@ -152,9 +162,9 @@ def node_rules() -> list[Rule]:
                      F.lit("["), c("role_ord").cast("string"), F.lit("]"))
     sno = role == "sno"
     out = [
-        rule("R37", is_cidr(net) & is_ip(ip) & (cidr_contains(net, ip) == F.lit(False)),
+        rule("R37", c("_net_ok") & c("_ip_ok") & (inside() == F.lit(False)),
              "node ", c("hostname"), " address ", ip, " is outside ", net),
-        rule("R38", sno & ((ip == "") | ~is_ip(ip)), "single node address is empty or invalid: ", ip),
+        rule("R38", sno & ~c("_ip_ok"), "single node address is empty or invalid: ", ip),
         rule("R39", sno & (c("system_name") == ""), "single node system is empty"),
         rule("R40", sno & (c("lpar_name") == ""), "single node partition is empty"),
     ]
@@ -163,7 +173,7 @@ def node_rules() -> list[Rule]:
         out += [rule(rid, here & (c(field) == ""), place, f" {label} is empty") for field, label in (
             ("hostname", "name"), ("system_name", "system"), ("ip", "address"), ("lpar_name", "partition"))]
         if name == "master":
-            out.append(rule(rid, here & (ip != "") & ~is_ip(ip), place, " address is invalid: ", ip))
+            out.append(rule(rid, here & (ip != "") & ~c("_ip_ok"), place, " address is invalid: ", ip))
     return out
 
 
@@ -269,7 +279,7 @@ def event_rules(states: DataFrame, entity: Sequence[str]) -> DataFrame:
 
 
 def scale_rules() -> list[Rule]:
-    """Scale checks over new nodes joined with network, status and live addresses.
+    """Scale checks over new nodes with ``node_facts``, status and live addresses.
 
     Stricter than R37: an unparseable address fails too.
     """
@@ -277,7 +287,7 @@ def scale_rules() -> list[Rule]:
     ip, net = c("ip"), c("machine_cidr")
     return [
         rule("R75", c("status") != "completed", "cluster is not completed: ", c("status")),
-        rule("R76", ~is_ip(ip) | (cidr_contains(net, ip) == F.lit(False)), "address ", ip, " is invalid or outside ", net),
+        rule("R76", ~c("_ip_ok") | (inside() == F.lit(False)), "address ", ip, " is invalid or outside ", net),
         rule("R77", c("alive"), "address ", ip, " already answers"),
     ]
 

@@ -310,7 +310,7 @@ def p14_redact(spark, sf):
 
 @query
 def r01_config_rules(spark, sf):
-    out = rules.check(b.resolved(spark, sf), rules.config_rules(), CLUSTER)
+    out = rules.check(rules.config_facts(b.resolved(spark, sf)), rules.config_rules(), CLUSTER)
     return out.select(*CLUSTER, "rule_id", "severity")
 
 
@@ -330,7 +330,7 @@ def r34_duplicate_rules(spark, sf):
 def r37_node_rules(spark, sf):
     sound = b.flat(spark, sf).filter(rules.topology_problem().isNull())
     nodes = resolve.explode_nodes(sound, *CLUSTER, "machine_cidr")
-    return rules.check(nodes, rules.node_rules(), CLUSTER).select(*CLUSTER, "rule_id", "message")
+    return rules.check(rules.node_facts(nodes), rules.node_rules(), CLUSTER).select(*CLUSTER, "rule_id", "message")
 
 
 def _host_addrs(spark, sf):
@@ -419,7 +419,7 @@ def r75_scale_rules(spark, sf):
     facts = b.networks(spark, sf).join(b.clusters(spark, sf).select("cluster_id", "status"), "cluster_id")
     live = b.ping(spark, sf).select("ip", F.lit(True).alias("alive"))
     df = n.join(facts, "cluster_id").join(live, "ip", "left")
-    return rules.check(df, rules.scale_rules(), ["cluster_id", "hostname", "lpar_name"])
+    return rules.check(rules.node_facts(df), rules.scale_rules(), ["cluster_id", "hostname", "lpar_name"])
 
 
 @query
@@ -991,10 +991,12 @@ def s6_addresses(spark, sf):
 def s7_networks(spark, sf):
     k = F.col("cluster_id")
     cidr = F.concat(F.lit("10."), (k % 16).cast("string"), F.lit(".3.4/"), (k % 40).cast("string"))
-    return b.clusters(spark, sf).select(
-        "cluster_id", net.is_cidr(cidr).alias("valid"), net.cidr_prefix(cidr).alias("prefix"),
-        net.cidr_netmask(cidr).alias("mask"), net.cidr_address(cidr).alias("address"),
-        net.cidr_contains(cidr, F.concat(F.lit("10."), (k % 16).cast("string"), F.lit(".3.9"))).alias("inside"))
+    df = b.clusters(spark, sf).select(
+        "cluster_id", cidr.alias("cidr"), F.concat(F.lit("10."), (k % 16).cast("string"), F.lit(".3.9")).alias("ip"))
+    c = F.col("cidr")
+    return net.with_inside(df, "inside", "cidr", "ip").select(
+        "cluster_id", net.is_cidr(c).alias("valid"), net.cidr_prefix(c).alias("prefix"),
+        net.cidr_netmask(c).alias("mask"), net.cidr_address(c).alias("address"), "inside")
 
 
 @query

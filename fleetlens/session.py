@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 # AQE does the runtime work (coalescing, skew splits, join switching).  Session
 # windows merge inside each map task first so that one busy key does not send
 # every raw row to one reducer.
+# Generated methods above 8000 bytes are never compiled by the JVM, so wide rule
+# projections run faster outside whole-stage code.
 SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
