@@ -8,6 +8,7 @@ repeated batch rewrites the same version.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -92,10 +93,13 @@ def waits(targets: DataFrame, first_ready: DataFrame, clock, limit_seconds: int,
 
 
 def wait_for_ready(events: DataFrame, targets: DataFrame, limit_seconds: int, out: str, state: str,
-                   checkpoint: str, key: Sequence[str] = ("cluster_name",), at: str = "ts") -> StreamingQuery:
+                   checkpoint: str, key: Sequence[str] = ("cluster_name",), at: str = "ts",
+                   lateness_seconds: int = 0) -> StreamingQuery:
     """Follow readiness events and write each wait's verdict once (ST3, ST4).
 
-    ``events``: key, hostname, ready, event time.
+    ``events``: key, hostname, ready, event time.  A wait times out only once
+    the newest event is ``lateness_seconds`` past its deadline, so events that
+    arrive out of order by less still count.
     """
     spark = targets.sparkSession
     shape = targets.select(*key, "hostname").schema.add("ready_at", "timestamp")
@@ -109,6 +113,8 @@ def wait_for_ready(events: DataFrame, targets: DataFrame, limit_seconds: int, ou
         now = table.write(batch_id, merged)
         tick = batch.select(F.col(at).alias("clock")).unionByName(clock_table.before(batch_id))
         clock = clock_table.write(batch_id, tick.agg(F.max("clock").alias("clock"))).first()["clock"]
+        if clock is not None:
+            clock -= datetime.timedelta(seconds=lateness_seconds)
         verdicts = waits(targets, now, clock, limit_seconds, key)
         if batch_id > 0:
             told = spark.read.parquet(out).filter(F.col("batch") < batch_id).select(*key)
