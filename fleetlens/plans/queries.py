@@ -1077,9 +1077,8 @@ def st2_pending_requests(spark, sf):
         F.col("user_id").alias("cluster_name"), F.col("event_type").alias("name"),
         (F.col("event_id") % 3 == 0).alias("has_status"), "ts")
     out = scratch_dir(spark)
-    feeds.append_files(feeds.pending_requests(stream).select("cluster_name", "name"), out,
-                       scratch_dir(spark)).awaitTermination()
-    return spark.read.parquet(out)
+    feeds.collect_pending(stream, out, scratch_dir(spark), scratch_dir(spark)).awaitTermination()
+    return spark.read.parquet(out).select("cluster_name", "name")
 
 
 @query

@@ -34,14 +34,48 @@ def follow(lines: DataFrame, text: str = "text", source: str = "mirror", tokens:
 
 
 def pending_requests(requests: DataFrame, delay: str = "10 minutes", at: str = "ts") -> DataFrame:
-    """Certificate requests without status, each once within the delay (ST2)."""
+    """Certificate requests without status, each once within the delay (ST2).
+
+    The engine's own deduplication; use ``collect_pending`` where one request
+    may be reported very many times within a batch.
+    """
     return (requests.filter(~F.coalesce("has_status", F.lit(False))).withWatermark(at, delay)
             .dropDuplicatesWithinWatermark(["cluster_name", "name"]))
 
 
+def collect_pending(requests: DataFrame, out: str, state: str, checkpoint: str, delay_seconds: int = 600,
+                    at: str = "ts") -> StreamingQuery:
+    """Pending requests as they first appear, again only after the delay without reports (ST2).
+
+    Repeats are reduced in map tasks before they are compared with what was told.
+    """
+    spark = requests.sparkSession
+    key = ["cluster_name", "name"]
+    shape = requests.select(*key).schema.add("last_seen", "timestamp")
+    table = StateTable(spark, state, shape)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        seen = (batch.filter(~F.coalesce("has_status", F.lit(False))).groupBy(*key)
+                .agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen")))
+        told = table.before(batch_id)
+        joined = seen.join(told.withColumnRenamed("last_seen", "_told"), key, "left")
+        quiet = F.unix_micros("first_seen") - F.unix_micros("_told") > delay_seconds * 1_000_000
+        fresh = joined.filter(F.col("_told").isNull() | quiet)
+        fresh.select(*key, "first_seen").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        merged = told.unionByName(seen.select(*key, "last_seen")).groupBy(*key).agg(F.max("last_seen").alias("last_seen"))
+        table.write(batch_id, merged)
+
+    return (requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def bursts(lines: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", at: str = "ts",
            key: Sequence[str] = ("cluster_name",)) -> DataFrame:
-    """Runs of log activity per cluster (ST7); sums merge inside map tasks first."""
+    """Runs of log activity per cluster (ST7).
+
+    Sessions merge inside map tasks first, so a busy cluster sends few rows.
+    """
+    lines.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (lines.withWatermark(at, delay).groupBy(*key, F.session_window(at, gap))
             .agg(F.count(F.lit(1)).alias("lines"))
             .select(*key, F.col("session_window.start").alias("burst_start"),

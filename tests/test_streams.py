@@ -82,5 +82,8 @@ def test_pending_requests_once(spark, tmp_path):
     _files(spark, reqs, f"{tmp_path}/in", 3, "ts")
     stream = feeds.pending_requests(_follow(spark, f"{tmp_path}/in", reqs.schema), "10 hours")
     feeds.append_files(stream.select("cluster_name", "name"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(
-        reqs.filter("not has_status").select("cluster_name", "name").distinct())
+    want = rows(reqs.filter("not has_status").select("cluster_name", "name").distinct())
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == want
+    feeds.collect_pending(_follow(spark, f"{tmp_path}/in", reqs.schema), f"{tmp_path}/out2", f"{tmp_path}/st2", f"{tmp_path}/cp2",
+                          36000).awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out2"), "cluster_name", "name") == want
