@@ -129,7 +129,8 @@ def pair_requests(requests: DataFrame, scope: Sequence[str] = ("cluster_name", "
     """
     opened = F.col("kind") == "open"
     marked = requests.withColumns({"_o": opened.cast("int"), "_c": (~opened).cast("int")})
-    seen = ordered(marked, list(scope), list(order), running={"_opens": "_o", "_closes": "_c"}, hot_rows=hot_rows)
+    seen = ordered(marked, list(scope), list(order), running={"_opens": "_o", "_closes": "_c"}, hot_rows=hot_rows,
+                   coarse=list(scope)[:1])
     turn = F.when(F.col("kind") == "open", F.col("_opens")).otherwise(F.col("_closes"))
     pending = F.col("_opens") - F.col("_closes")
     overlap = F.when(F.col("kind") == "open", pending > 1).otherwise(pending >= 1)

@@ -40,14 +40,22 @@ def ordered(
     running: Mapping[str, str] | None = None,
     rank: str | None = None,
     hot_rows: int = HOT_ROWS,
+    coarse: Sequence[str] = (),
+    coarse_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Add ordered columns; ``order`` must be total within each group.
 
     ``previous`` and ``following`` map a new column to the column whose
     neighbouring value it takes, ``running`` maps a new column to the column
     summed up to and including the row, ``rank`` names a row number from 1.
+
+    ``coarse`` names fewer columns that contain the groups (over ``coarse_rows``
+    where those are cheaper to count).  When none of these is hot, no group is,
+    and the finer sizes are not measured.
     """
     previous, following, running = dict(previous or {}), dict(following or {}), dict(running or {})
+    if coarse and hot_groups(df if coarse_rows is None else coarse_rows, coarse, hot_rows).isEmpty():
+        return _plain(df, group, order, previous, following, running, rank)
     hot = hot_groups(df, group, hot_rows)
     size = hot.agg(F.count(F.lit(1)).alias("groups"), F.sum("_rows").alias("rows")).first()
     if not size["groups"]:

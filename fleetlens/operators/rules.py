@@ -184,7 +184,7 @@ def duplicates(df: DataFrame, scope: Sequence[str], key: str, order: Sequence[st
                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows that repeat a key within a scope, with the previous holder's label."""
     seen = ordered(df, [*scope, key], list(order), previous={"previous_holder": label}, rank="occurrence",
-                   hot_rows=hot_rows)
+                   hot_rows=hot_rows, coarse=scope)
     return seen.filter(F.col("occurrence") > 1)
 
 
@@ -198,7 +198,7 @@ def duplicate_rules(nodes: DataFrame, scope: Sequence[str], order: Sequence[str]
                                         F.col(col).alias("_key")) for rid, (col, text) in _DUPLICATES.items()]))
     offered = nodes.select(*scope, *[c for c in order if c not in scope], "hostname", kinds)
     seen = ordered(offered, [*scope, "rule_id", "_key"], list(order), previous={"_prev": "hostname"}, rank="_n",
-                   hot_rows=hot_rows)
+                   hot_rows=hot_rows, coarse=scope, coarse_rows=nodes)
     text = F.concat(F.lit("duplicate "), F.col("_kind"), F.lit(" "), F.col("_key"), F.lit(": "),
                     F.col("_prev"), F.lit(", "), F.col("hostname"))
     return seen.filter(F.col("_n") > 1).select(
