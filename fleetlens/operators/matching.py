@@ -61,6 +61,16 @@ def vip_state(resolved: DataFrame, holders: DataFrame, host_addrs: DataFrame) ->
     return joined.withColumn("problem", kind).filter(F.col("problem").isNotNull()).drop("bound")
 
 
+def vip_alive(resolved: DataFrame, host_addrs: DataFrame, ping: DataFrame,
+              scope: Sequence[str] = ("controller_id",)) -> DataFrame:
+    """Managed shared addresses that answer although this host does not hold them."""
+    checked = resolved.filter(F.col("lb_managed") & (F.col("vip") != "") & (F.col("vip") != F.col("controller_ip")))
+    bound = host_addrs.select("controller_id", F.col("iface").alias("interface"), F.col("ip").alias("vip"))
+    answering = ping.filter("alive") if "alive" in ping.columns else ping
+    return (checked.join(bound, ["controller_id", "interface", "vip"], "left_anti")
+            .join(answering.select(*scope, F.col("ip").alias("vip")), [*scope, "vip"], "left_semi"))
+
+
 def shared_service(flat: DataFrame, markers: DataFrame, service: str) -> DataFrame:
     """Is the controller's registry or proxy still used by another live cluster (J2)?
 
@@ -213,6 +223,13 @@ def expected_files(clusters: DataFrame, form: str = "server") -> DataFrame:
     return clusters.select(*_CLUSTER, F.explode(F.array(*map(F.lit, names))).alias("path"))
 
 
+def missing_folders(clusters: DataFrame, files: DataFrame) -> DataFrame:
+    """Server folders of a cluster in which no file is listed."""
+    want = clusters.select(*_CLUSTER, F.explode(F.array(*map(F.lit, SERVER_FOLDERS))).alias("folder"))
+    have = files.select(*_CLUSTER, F.substring_index("path", "/", 1).alias("folder"))
+    return want.join(have, [*_CLUSTER, "folder"], "left_anti")
+
+
 def missing_files(expected: DataFrame, files: DataFrame, key: Sequence[str] = (*_CLUSTER, "path")) -> DataFrame:
     """Expected files that are not listed."""
     return expected.join(files.select(*key), list(key), "left_anti")

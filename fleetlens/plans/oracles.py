@@ -535,6 +535,12 @@ union all select controller_id, cluster_name, 'R51', 'W' from d where web is nul
 union all select controller_id, cluster_name, 'R52', 'E' from d where web is not null and needs and reg < 40
 union all select controller_id, cluster_name, 'R52', 'W' from d where web is not null and needs and reg is null""")
 
+oracle("r54_vip_alive", """
+select controller_id, cluster_name, vip from b_cfg c where lb_managed and vip <> controller_ip
+  and exists (select 1 from b_clusters p where p.cluster_id % 6 = 0 and p.controller_id = c.controller_id and p.vip = c.vip)
+  and not (interface = 'eth0' and exists (select 1 from b_clusters h where h.cluster_id % 11 = 0
+    and h.controller_id = c.controller_id and h.vip = c.vip))""")
+
 oracle("r55_live_node_addresses", """
 select cluster_id, count(*) as conflicts from b_nodes where ip in (select ip from b_ping) group by 1""")
 
@@ -704,6 +710,12 @@ from b_clusters where not deleted"""
 oracle("j12_missing_files", """
 select controller_id, cluster_name, path from o_server where (cluster_id + len(path)) % 3 = 0""")
 
+oracle("j12_missing_folders", """
+with w as (select controller_id, cluster_name, cluster_id, unnest(['ignition', 'rhcos', 'tools', 'scripts']) as folder
+  from b_clusters where not deleted)
+select controller_id, cluster_name, folder from w where case folder when 'ignition' then cluster_id % 2 <> 0
+  when 'rhcos' then cluster_id % 3 <> 0 when 'tools' then cluster_id % 5 <> 0 else true end""")
+
 oracle("j12_missing_helper_files", """
 with w as (select cluster_id, unnest(['ignition/bootstrap.ign', 'ignition/master.ign', 'ignition/worker.ign',
   'rhcos/rhcos-live-kernel-ppc64le', 'rhcos/rhcos-live-initramfs.ppc64le.img', 'rhcos/rhcos-live-rootfs.ppc64le.img',
@@ -761,6 +773,10 @@ select lpad(cast(m.cluster_id as varchar), 9, '0') as cluster_name,
   case when o_orderkey % 7 = 0 then 'deleted' else 'boot method' end as reason, count(*) as mappings
 from b_maps m join orders on o_orderkey = m.cluster_id where o_orderkey % 7 = 0 or o_orderkey % 3 <> 0 group by 1, 2""")
 
+oracle("j20_rename_context", """
+select cluster_id, case when hostname = 'n1' then 'c-' || cluster_id else hostname end as name, count(*) as entries
+from b_nodes group by 1, 2""")
+
 oracle("j20_overlay", """
 select distinct on (cluster_id, hostname) cluster_id, hostname, ord, kind, lpar_name from (
   select cluster_id, hostname, ord, 'old' as kind, lpar_name, 0 as layer from b_discovered
@@ -1045,10 +1061,11 @@ from (select *, lower(line) || case when pos % 2 = 0 then ' unauthorized' else '
 oracle("st2_pending_requests", """
 select distinct user_id as cluster_name, event_type as name from events where event_id % 3 <> 0""")
 
-oracle("st3_wait_for_ready", """
+for _name, _limit in (("st3_wait_for_ready", 64800), ("st4_phase_deadline", 5400)):
+    oracle(_name, f"""
 with t as (select user_id, event_type, min(ts) as started, min(case when value > 10 then ts end) as ready_at from events group by 1, 2),
-w as (select user_id, count(*) as targets, min(started) + interval 64800 second as deadline,
-  count(*) filter (ready_at <= started + interval 64800 second) as ready, max(ready_at) as last from t group by 1)
+w as (select user_id, count(*) as targets, min(started) + interval {_limit} second as deadline,
+  count(*) filter (ready_at <= started + interval {_limit} second) as ready, max(ready_at) as last from t group by 1)
 select user_id as cluster_name, targets, ready, case when ready = targets then 'ready' else 'timed_out' end as verdict,
   epoch_us(case when ready = targets then last else deadline end) as resolved_at
 from w where ready = targets or (select max(ts) from events) >= deadline""")

@@ -380,6 +380,13 @@ def r51_disk_rules(spark, sf):
     return rules.check(df, rules.disk_rules(), CLUSTER).select(*CLUSTER, "rule_id", "severity")
 
 
+@query
+def r54_vip_alive(spark, sf):
+    ping = b.clusters(spark, sf).filter((F.col("cluster_id") % 6 == 0) & (F.col("vip") != "")).select(
+        "controller_id", F.col("vip").alias("ip")).distinct()
+    return matching.vip_alive(b.resolved(spark, sf), _host_addrs(spark, sf), ping).select(*CLUSTER, "vip")
+
+
 @query
 def r55_live_node_addresses(spark, sf):
     return matching.live_conflicts(b.raw_nodes(spark, sf), b.ping(spark, sf), ()).groupBy("cluster_id").agg(
@@ -592,6 +599,16 @@ def j12_missing_files(spark, sf):
     return matching.missing_files(want, have)
 
 
+@query
+def j12_missing_folders(spark, sf):
+    c = planning.visible(b.clusters(spark, sf))
+    k = F.col("cluster_id")
+    files = c.select(*CLUSTER, F.explode(F.array_compact(F.array(
+        F.when(k % 2 == 0, "ignition/a.ign"), F.when(k % 3 == 0, "rhcos/kernel"), F.when(k % 5 == 0, "tools/oc"),
+        F.lit("other/x")))).alias("path"))
+    return matching.missing_folders(c, files)
+
+
 @query
 def j12_missing_helper_files(spark, sf):
     want = matching.expected_files(planning.visible(b.markers(spark, sf)), "helper")
@@ -672,6 +689,14 @@ def j19_orphans(spark, sf):
     return out.groupBy("cluster_name", "reason").agg(F.count(F.lit(1)).alias("mappings"))
 
 
+@query
+def j20_rename_context(spark, sf):
+    """Entries named like the current one take the cluster's name."""
+    e = b.raw_nodes(spark, sf).select("cluster_id", "lpar_name", F.col("hostname").alias("name"), F.lit("n1").alias("current"))
+    out = matching.rename_context(e, "current", F.concat(F.lit("c-"), F.col("cluster_id").cast("string")))
+    return out.groupBy("cluster_id", "name").agg(F.count(F.lit(1)).alias("entries"))
+
+
 @query
 def j20_overlay(spark, sf):
     """Known entries against rediscovered ones of the same cluster and host."""
@@ -1081,9 +1106,7 @@ def st2_pending_requests(spark, sf):
     return spark.read.parquet(out).select("cluster_name", "name")
 
 
-@query
-def st3_wait_for_ready(spark, sf):
-    """Events as readiness reports: every user waits for its event types after its first event."""
+def _waits(spark, sf, limit_seconds):
     e = b.phase_log(spark, sf)
     targets = e.groupBy(F.col("cluster_id").alias("cluster_name"), F.col("phase").alias("hostname")).agg(
         F.min("ts").alias("started_at"))
@@ -1091,12 +1114,23 @@ def st3_wait_for_ready(spark, sf):
         F.col("user_id").alias("cluster_name"), F.col("event_type").alias("hostname"),
         F.when(F.col("value") > 10, "True").otherwise("False").alias("ready"), "ts")
     out = scratch_dir(spark)
-    feeds.wait_for_ready(stream, targets, feeds.JOIN_LIMIT * 24, out, scratch_dir(spark),
-                         scratch_dir(spark)).awaitTermination()
+    feeds.wait_for_ready(stream, targets, limit_seconds, out, scratch_dir(spark), scratch_dir(spark)).awaitTermination()
     return spark.read.parquet(out).select("cluster_name", "targets", "ready", "verdict",
                                           F.unix_micros("resolved_at").alias("resolved_at"))
 
 
+@query
+def st3_wait_for_ready(spark, sf):
+    """Events as readiness reports: every user waits for its event types after its first event."""
+    return _waits(spark, sf, feeds.JOIN_LIMIT * 24)
+
+
+@query
+def st4_phase_deadline(spark, sf):
+    """The same waits against the install limit."""
+    return _waits(spark, sf, feeds.INSTALL_LIMIT)
+
+
 @query
 def st5_stale_locks(spark, sf):
     k = F.col("cluster_id")

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fleetlens.sources import snapshots
 from fleetlens.streaming import feeds
 from tests.conftest import rows
 
@@ -87,3 +88,13 @@ def test_pending_requests_once(spark, tmp_path):
     feeds.collect_pending(_follow(spark, f"{tmp_path}/in", reqs.schema), f"{tmp_path}/out2", f"{tmp_path}/st2", f"{tmp_path}/cp2",
                           36000).awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/out2"), "cluster_name", "name") == want
+
+
+def test_log_files_are_followed(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / "logs" / name).mkdir(parents=True)
+        (tmp_path / "logs" / name / "deployment.log").write_text("one\n=== two ===\n")
+    batch = snapshots.read_logs(spark, f"{tmp_path}/logs/*/deployment.log")
+    feeds.append_files(snapshots.stream_logs(spark, f"{tmp_path}/logs"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = rows(spark.read.parquet(f"{tmp_path}/out"), "cluster_name", "text")
+    assert got == rows(batch, "cluster_name", "text") and len(got) == 4
