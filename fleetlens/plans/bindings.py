@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,15 @@ def _stored(build):
     @functools.wraps(build)
     def read(spark: SparkSession, sf: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf, build.__name__)
-        if key not in _STORED:
-            path = scratch_dir(spark)
-            build(spark, sf).write.parquet(path)
-            _STORED[key] = path
-        return spark.read.parquet(_STORED[key])
+        if key in _STORED:
+            try:
+                return spark.read.parquet(_STORED[key])
+            except AnalysisException:
+                pass  # the folder was cleaned: collect again
+        path = scratch_dir(spark)
+        build(spark, sf).write.parquet(path)
+        _STORED[key] = path
+        return spark.read.parquet(path)
 
     return read
 
@@ -48,9 +53,6 @@ def _s(col: Column) -> Column:
     return col.cast("string")
 
 
-
-
-
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Status, markers and shared address of every cluster."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
