@@ -239,7 +239,7 @@ def name_collisions(clusters: DataFrame, paths: DataFrame) -> DataFrame:
     """Files on the host that already carry the cluster's name.
 
     ``paths`` has ``controller_id`` and ``path``.  The balancer file counts under
-    the name it is written with (``10-``); the name the reference check looks for
+    the name it is written with (``10-``); the older name
     (``99-``) is reported as ``legacy``.
     """
     path = F.col("path")
