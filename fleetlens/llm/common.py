@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: a lambda's variable is not written out again."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a longer name where a column (in any case) is already called so."""
     taken = {c.lower() for c in df.columns}
@@ -70,5 +75,5 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-__all__ = ["BATCH_ROWS", "components", "free_name", "read", "row_hash", "scratch_dir", "small_batches", "text_of",
+__all__ = ["BATCH_ROWS", "components", "free_name", "let", "read", "row_hash", "scratch_dir", "small_batches", "text_of",
            "write_and_read"]

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import read, row_hash, text_of, write_and_read
+from fleetlens.llm.common import let, read, row_hash, text_of, write_and_read
 
 WINDOW = 8
 #: Words of a window that are no placeholder.
@@ -56,20 +56,15 @@ def canonical(word: Column) -> Column:
     return F.when(word.contains(_MARK), placeholder(word)).otherwise(F.btrim(word, F.lit(_SIGNS)))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once: a lambda's variable is not written out again."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _windows(words: Column) -> Column:
     """Hashes of all windows of eight canonical words, in order; pairs, fours and eights are hashed from halves."""
     def joined(apart: int, then):
-        return lambda h: _let(F.zip_with(h, F.slice(h, apart + 1, F.size(h)), lambda a, b: F.xxhash64(a, b)), then)
+        return lambda h: let(F.zip_with(h, F.slice(h, apart + 1, F.size(h)), lambda a, b: F.xxhash64(a, b)), then)
 
     def first(h: Column) -> Column:
         return F.when(F.size(h) >= WINDOW, F.slice(h, 1, F.size(h) - (WINDOW - 1)))
 
-    return _let(F.transform(words, lambda t: F.xxhash64(canonical(t))), joined(1, joined(2, joined(4, first))))
+    return let(F.transform(words, lambda t: F.xxhash64(canonical(t))), joined(1, joined(2, joined(4, first))))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -112,7 +107,7 @@ def alignments(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     n = wanted.count()
     maybe = _bitmap(wanted, n)
     words = docs.select(*keys, _words(text_of()).alias("raw"))
-    places = _let(_windows(F.col("raw")), lambda ws: F.transform(
+    places = let(_windows(F.col("raw")), lambda ws: F.transform(
         F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: maybe(F.get(ws, i))),
         lambda i: F.struct(i.alias("pos"), F.get(ws, i).alias("w"))))
     # the outer form keeps Spark from working the windows out once more in a filter of its own

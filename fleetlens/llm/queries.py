@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from fleetlens.llm import decontaminate, mixing, quality, sharding, simhash
+from fleetlens.llm import decontaminate, mixing, neighbours, pii, quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op3_cross_polytope": neighbours.op3_cross_polytope,
     "op4_simhash_tiles": simhash.op4_simhash_tiles,
     "op5_template_windows": decontaminate.op5_template_windows,
     "op6_cotrained_quality": quality.op6_cotrained_quality,
     "op7_histogram_shards": sharding.op7_histogram_shards,
+    "op8_weak_pii": pii.op8_weak_pii,
     "op9_poisson_mix": mixing.op9_poisson_mix,
+    "op10_weak_toxicity": toxicity.op10_weak_toxicity,
 }
 
 ORACLES = {
