@@ -81,124 +81,118 @@ def _best(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     return qs, vs, cosines(q[qs], v[vs])
 
 
-def classes(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """Equal vectors as one class: (c, v), and members (c, vec_id) of the ``keep`` smallest ids.
+def _pack(rows: DataFrame, name: str) -> DataFrame:
+    """(id, dim, bytes of the doubles) of rows (id, v)."""
+    small_batches(rows.sparkSession, 1024)
 
-    More members of a class can never be among a query's nearest ``keep`` - 1,
-    as they tie and the smaller ids win.
-    """
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    named = vectors.filter(usable("embedding") & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"))
-    # a class is named by its smallest id
-    ids = named.select("vec_id", F.sha2(F.to_json(F.struct("v")), 256).alias("h"))
-    first = write_and_read(ids.groupBy("h").agg(F.min("vec_id").alias("c")))
-    members = ids.join(first, "h").select("c", "vec_id").distinct()
-    some = members.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    for group in (["c", "salt"], ["c"]):  # the smallest of each part first, so that a hot class is never in one task
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy("vec_id"))
-        some = some.withColumn("r", rank).filter(F.col("r") <= keep).drop("r")
-    points = named.join(write_and_read(first.select(F.col("c").alias("vec_id"))), "vec_id", "left_semi")
-    return write_and_read(points.select(F.col("vec_id").alias("c"), "v").dropDuplicates(["c"])), write_and_read(
-        some.select("c", "vec_id"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({name: b[name], "dim": b["v"].map(len), "v": [np.asarray(x, "<f8").tobytes() for x in b["v"]]})
 
+    return rows.select(name, "v").mapInPandas(run, f"{name} long, dim int, v binary")
 
-def _probe(rows: DataFrame, name: str, tables: int, probes: int) -> DataFrame:
-    """Rows (id, v) once for each bucket they belong to or probe, as 64-bit bucket keys with dimension."""
-    small_batches(rows.sparkSession, 1024)
 
+def _probe(rows: DataFrame, name: str, tables: int, probes: int) -> DataFrame:
+    """Packed rows once for each bucket they belong to or probe."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            dims = b["v"].map(len)
-            for dim in sorted(set(dims)):
-                part = b[dims == dim]
-                v = np.stack(part["v"].to_list()).astype(np.float64)
-                unit = v / np.abs(v).max(axis=1, keepdims=True)
+            for dim in sorted(set(b["dim"])):
+                part = b[b["dim"] == dim]
+                unit = np.frombuffer(b"".join(part["v"]), "<f8").reshape(len(part), dim)
+                unit = unit / np.abs(unit).max(axis=1, keepdims=True)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 for t in range(tables):
                     for at in buckets(unit, t, probes).T:
-                        yield pd.DataFrame({name: part[name].to_numpy(), "v": list(v), "dim": dim, "bucket": at * tables + t})
-
-    return rows.select(name, "v").mapInPandas(run, f"{name} long, v array<double>, dim int, bucket long")
-
-
-def _tiles(rows: DataFrame, name: str, size: int) -> DataFrame:
-    """Rows of a bucket packed into tiles of about ``size``, however large the bucket is."""
-    counts = rows.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    cut = rows.join(counts, ["dim", "bucket"]).withColumn(
-        "part", F.pmod(F.xxhash64(name), F.ceil(F.col("n") / size).cast("bigint")))
-    return cut.groupBy("dim", "bucket", "part").agg(F.collect_list(F.struct(name, "v")).alias("rows"))
+                        yield part.assign(bucket=at * tables + t)
 
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, tables: int = TABLES,
-           probes: int = PROBES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query (rows of ``vectors``) by cosine.
-
-    Vectors that are missing, zero or hold a missing or non-finite component,
-    and rows without vec_id, take no part, neither as query nor as candidate.
-    Only vectors of equal length are compared.  Rows repeated with one id count
-    once (the vectors of one id are taken to be equal).  A query that finds
-    fewer than k by its buckets is compared with all vectors, in tiles.
-    """
-    keep = k + 1  # a query may be among its own class
-    points, members = classes(vectors, keep)
-    asked = queries.select(F.col("vec_id").cast("bigint").alias("vec_id")).distinct()
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    q_ids = write_and_read(vectors.filter(usable("embedding") & F.col("vec_id").isNotNull()).join(asked, "vec_id", "left_semi")
-                           .select(F.col("vec_id").cast("bigint").alias("q"), v.alias("v")).dropDuplicates(["q"]))
-    h = F.sha2(F.to_json(F.struct("v")), 256)
-    q_class = write_and_read(q_ids.select("q", h.alias("h")).join(
-        points.select(F.col("c").alias("qc"), h.alias("h")), "h").select("q", "qc"))
-    q_points = write_and_read(q_ids.withColumn("h", h).groupBy("h").agg(F.min("q").alias("one")).join(
-        q_ids.withColumnRenamed("q", "one"), "one").join(q_class.withColumnRenamed("q", "one"), "one").select(
-            F.col("qc").alias("q"), "v"))
-    found = _meet(_tiles(_probe(points, "c", tables, 1), "c", TILE_ROWS),
-                  _tiles(_probe(q_points, "q", tables, probes), "q", QUERY_ROWS), keep)
-    found = write_and_read(_top(found.distinct(), members, q_class, k))
-    short = q_class.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("query_id", "q"),
-                         "q", "left").filter(F.coalesce("n", F.lit(0)) < k).select("q", "qc")
-    short = write_and_read(short)
-    again = q_points.join(short.select(F.col("qc").alias("q")).distinct(), "q", "left_semi")
-    whole = _meet(_tiles(_all(points, "c"), "c", TILE_ROWS),
-                  _tiles(_all(again, "q"), "q", QUERY_ROWS), keep)
-    if short.isEmpty():
-        return found
-    return found.join(short.select(F.col("q").alias("query_id")), "query_id", "left_anti").unionByName(
-        _top(whole.distinct(), members, short, k))
+    return rows.select(name, "dim", "v").mapInPandas(run, f"{name} long, dim int, v binary, bucket long")
 
 
-def _all(rows: DataFrame, name: str) -> DataFrame:
-    """Every vector of a length in one bucket."""
-    return rows.select(name, "v", F.size("v").alias("dim"), F.lit(0).cast("bigint").alias("bucket"))
+def _tiles(rows: DataFrame, name: str, parts: int) -> DataFrame:
+    """Rows of a bucket packed into ``parts`` tiles, as even as a hash makes them."""
+    return (rows.withColumn("part", F.pmod(F.xxhash64(name), F.lit(parts))).groupBy("dim", "bucket", "part")
+            .agg(F.collect_list(F.struct(F.col(name).alias("id"), "v")).alias("rows")))
 
 
 def _meet(index: DataFrame, probes: DataFrame, keep: int) -> DataFrame:
     """Exact scores (q, c, score) of the best candidates of each query in each tile pair."""
     small_batches(index.sparkSession, 4)
 
+    def matrix(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([r["id"] for r in rows]), np.frombuffer(b"".join(r["v"] for r in rows), "<f8").reshape(len(rows), dim)
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                q, v = (np.stack([r["v"] for r in rows]).astype(np.float64) for rows in (row.qrows, row.rows))
+                (qi, q), (vi, v) = matrix(row.qrows, row.dim), matrix(row.rows, row.dim)
                 qs, vs, scores = _best(q, v, keep)
-                yield pd.DataFrame({"q": np.array([r["q"] for r in row.qrows])[qs],
-                                    "c": np.array([r["c"] for r in row.rows])[vs], "score": scores})
+                yield pd.DataFrame({"q": qi[qs], "c": vi[vs], "score": scores})
 
     met = index.join(probes.select("dim", "bucket", F.col("part").alias("qpart"), F.col("rows").alias("qrows")), ["dim", "bucket"])
-    return met.select("rows", "qrows").mapInPandas(score, "q long, c long, score double")
+    return met.select("dim", "rows", "qrows").mapInPandas(score, "q long, c long, score double")
+
+
+def _members(named: DataFrame, points: DataFrame, keep: int) -> DataFrame:
+    """(c, vec_id): of each class of equal vectors the ``keep`` smallest ids.
+
+    Others can never be among a query's nearest ``keep`` - 1: they tie with
+    these, and the smaller ids win.
+    """
+    some = named.join(points.filter("n > 1").select("c", "v"), "v").select("c", "vec_id")
+    some = some.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    for group in (["c", "salt"], ["c"]):  # the smallest of each part first, so that a hot class is never in one task
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("vec_id"))
+        some = some.withColumn("r", rank).filter(F.col("r") <= keep).drop("r")
+    return points.filter("n = 1").select("c", F.col("c").alias("vec_id")).unionByName(some.select("c", "vec_id"))
 
 
 def _top(found: DataFrame, members: DataFrame, q_class: DataFrame, k: int) -> DataFrame:
     """The k nearest ids of each query from scored classes."""
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     # classes further than the k + 1 best cannot reach the k nearest ids
-    few = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
-    ids = few.join(members, "c").join(q_class.select(F.col("q").alias("query_id"), F.col("qc").alias("q")), "q")
+    few = found.distinct().withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
+    # queries with equal vectors share their candidates
+    ids = few.join(members, "c").join(q_class.select(F.col("vec_id").alias("query_id"), F.col("c").alias("q")), "q")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (ids.filter("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
+def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, tables: int = TABLES,
+           probes: int = PROBES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query (rows of ``vectors``) by cosine.
+
+    Vectors that are missing, zero or hold a missing or non-finite component,
+    and rows without vec_id, take no part, neither as query nor as candidate.
+    Only vectors of equal length are compared.  Rows repeated with one id count
+    once (the vectors of one id are taken to be equal).  A query that finds
+    fewer than k by its buckets is compared with all vectors, in tiles.
+    """
+    keep = k + 1  # a query may be among its own class
+    double = F.transform("embedding", lambda x: x.cast("double"))
+    named = write_and_read(vectors.filter(usable("embedding") & F.col("vec_id").isNotNull()).select(
+        F.col("vec_id").cast("bigint").alias("vec_id"), double.alias("v")).distinct())
+    points = write_and_read(named.groupBy("v").agg(F.min("vec_id").alias("c"), F.count_distinct("vec_id").alias("n")))
+    asked = queries.select(F.col("vec_id").cast("bigint").alias("vec_id")).distinct()
+    q_class = write_and_read(named.join(asked, "vec_id", "left_semi").join(points, "v").select("vec_id", "c"))
+    packed = write_and_read(_pack(points, "c"))
+    packed_q = packed.join(q_class.select("c").distinct(), "c", "left_semi").withColumnRenamed("c", "q")
+    # were all vectors in one bucket, a tile would still hold TILE_ROWS times 16 of them at most
+    parts, q_parts = -(-packed.count() // (16 * TILE_ROWS)) or 1, -(-q_class.count() // (16 * QUERY_ROWS)) or 1
+    members = _members(named, points, keep)
+    found = write_and_read(_top(_meet(_tiles(_probe(packed, "c", tables, 1), "c", parts),
+                                      _tiles(_probe(packed_q, "q", tables, probes), "q", q_parts), keep), members, q_class, k))
+    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("query_id", "vec_id")
+    short = write_and_read(q_class.join(counts, "vec_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("vec_id", "c"))
+    if short.isEmpty():
+        return found
+    one = F.lit(0).cast("bigint").alias("bucket")
+    again = packed_q.join(short.select(F.col("c").alias("q")).distinct(), "q", "left_semi")
+    whole = _meet(_tiles(packed.select("*", one), "c", 16 * parts), _tiles(again.select("*", one), "q", 16 * q_parts), keep)
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(
+        _top(whole, members, short, k))
+
+
 def op3_cross_polytope(spark, sf: str) -> DataFrame:
     vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
     return search(vectors, vectors.filter(F.col("vec_id") % EVERY == 0))

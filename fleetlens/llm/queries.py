@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from fleetlens.llm import decontaminate, mixing, neighbours, pii, quality, sharding, simhash, toxicity
+from fleetlens.llm import chat, decontaminate, mixing, neighbours, passages, pii, quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_role_repair": chat.op1_role_repair,
+    "op2_compact_windows": passages.op2_compact_windows,
     "op3_cross_polytope": neighbours.op3_cross_polytope,
     "op4_simhash_tiles": simhash.op4_simhash_tiles,
     "op5_template_windows": decontaminate.op5_template_windows,
