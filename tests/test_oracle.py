@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from fleetlens.plans.oracles import ORACLES
+from fleetlens.plans.queries import QUERIES
 from tests.compare import compare, engine
 
 
@@ -12,13 +14,13 @@ def con(small):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equal(name, spark, con, small):
-    assert compare(spark, con, small, name, queries()[name], oracle_sql()[name]) is None
+    assert compare(spark, con, small, name, QUERIES[name], ORACLES[name]) is None
