@@ -44,23 +44,21 @@ def row_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.xxhash64(*[part for c in names for part in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
 
 
-def star_step(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star pass over edges (u, v), u > v."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = write_and_read(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = write_and_read(large.filter("u <> v").distinct())
-    low = write_and_read(large.groupBy("u").agg(F.min("v").alias("m")))
-    small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return write_and_read(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+def hook_and_jump(edges: DataFrame) -> DataFrame:
+    """One pass over edges (u, v), u > v: each node and its neighbours below hook on the smallest, then jump a step on."""
+    low = write_and_read(edges.groupBy("u").agg(F.min("v").alias("m")))
+    hooked = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        low.select("u", F.col("m").alias("v")))
+    onward = low.select(F.col("u").alias("v"), F.col("m").alias("next"))
+    return write_and_read(hooked.join(onward, "v", "left").select("u", F.coalesce("next", "v").alias("v")).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): one row (node, root) per node of an edge.
 
-    Alternates large-star and small-star passes until nothing changes.  Each
-    pass works on written tables, so that joins on a busy node can be split and
-    a lost executor costs one pass.  ``root`` is the smallest node.
+    Hooks nodes on smaller ones and shortens their ways until nothing changes.
+    Each pass works on written tables, so that joins on a busy node can be split
+    and a lost executor costs one pass.  ``root`` is the smallest node.
     """
     now = write_and_read(edges.filter("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -70,7 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
                        F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
         if mark == seen or not mark["n"]:
             break
-        seen, now = mark, star_step(now)
+        seen, now = mark, hook_and_jump(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
