@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.collections import contains, listed
-from fleetlens.functions.net import address_facts, inside, mac_colons, network_facts
+from fleetlens.functions.net import address_facts, inside, is_cidr, mac_colons, network_facts
 from fleetlens.functions.text import blank, link_uuid, url_basename
 
 _CLUSTER = ("controller_id", "cluster_name")
@@ -49,8 +49,11 @@ def vip_candidates(resolved: DataFrame) -> DataFrame:
 
 
 def vip_state(resolved: DataFrame, holders: DataFrame, host_addrs: DataFrame) -> DataFrame:
-    """Address problems of R14: held by a cluster, or bound on the interface by nobody known."""
-    checked = vip_candidates(resolved)
+    """Address problems of R14: held by a cluster, or bound on the interface by nobody known.
+
+    A cluster whose network is missing or invalid (R07, R08) is not checked further.
+    """
+    checked = vip_candidates(resolved).filter(is_cidr(F.col("machine_cidr")))
     bound = host_addrs.select("controller_id", F.col("iface").alias("interface"), F.col("ip").alias("vip"),
                               F.lit(True).alias("bound")).distinct()
     conflicts = vip_conflicts(checked, holders).select(*_CLUSTER, "held_by")

@@ -113,7 +113,7 @@ def _sliced(df, group, order, previous, following, running, rank, slices) -> Dat
         | {f"_l_{name}": F.lag(src).over(local) for name, src in previous.items()}
         | {f"_l_{name}": F.lead(src).over(local) for name, src in following.items()}
         | {f"_l_{name}": F.sum(src).over(upto) for name, src in running.items()})
-    joined = here.join(F.broadcast(edge), _same(
+    joined = here.join(edge, _same(
         here, edge, [(c, f"_e_{c}") for c in group] + [("_slice", "_e_slice")]))
     out = {name: F.when(F.col("_n") == 1, F.col(f"_e_prev.{name}")).otherwise(F.col(f"_l_{name}"))
            for name in previous}

@@ -26,13 +26,24 @@ def prunable(markers: DataFrame) -> DataFrame:
     return markers.filter(F.col("deleted"))
 
 
-def is_resumable() -> Column:
-    """An unfinished deployment with at least one completed phase (FL4)."""
-    return F.col("status").isin("in_progress", "failed") & (F.size(listed(F.col("completed_phases"))) > 0)
+def repaired_status() -> Column:
+    """The status a state has once loaded: an empty one is filled from the end time."""
+    status = blank(F.col("status"))
+    return F.when(status != "", status).when(blank(F.col("end_time")) != "", F.lit("completed")).otherwise(
+        F.lit("in_progress"))
+
+
+def is_resumable(states: DataFrame) -> Column:
+    """An unfinished deployment with at least one completed phase (FL4), judged on the state as loaded.
+
+    A state marked ``corrupt`` cannot be loaded and never resumes.
+    """
+    readable = ~F.coalesce(F.col("corrupt"), F.lit(False)) if "corrupt" in states.columns else F.lit(True)
+    return readable & repaired_status().isin("in_progress", "failed") & (F.size(listed(F.col("completed_phases"))) > 0)
 
 
 def resumable(states: DataFrame) -> DataFrame:
-    return states.filter(is_resumable())
+    return states.filter(is_resumable(states)).withColumn("status", repaired_status())
 
 
 def create_gate(markers: DataFrame) -> DataFrame:
@@ -57,17 +68,15 @@ def repair(states: DataFrame) -> DataFrame:
     """Fill what a damaged state lacks.
 
     Only an empty status is repaired; an invalid one stays and is reported again.
+    The version is filled on loading, so a loaded state never lacks one.
     Running it twice changes nothing more.
     """
-    status = blank(F.col("status"))
-    fixed = F.when(status != "", status).when(blank(F.col("end_time")) != "", F.lit("completed")).otherwise(
-        F.lit("in_progress"))
     version = F.coalesce(F.nullif(F.col("state_version"), F.lit(0)), F.lit(STATE_VERSION))
     maps = {m: F.coalesce(F.col(m), F.create_map().cast(states.schema[m].dataType))
             for m in ("download_progress", "node_boot_status") if m in states.columns}
     lists = {"failed_events": listed(F.col("failed_events"))} if "failed_events" in states.columns else {}
     return states.withColumns({
-        "state_version": version, "status": fixed,
+        "state_version": version, "status": repaired_status(),
         "completed_events": F.array_distinct(listed(F.col("completed_events"))), **maps, **lists})
 
 
@@ -89,7 +98,7 @@ def resume_plan(states: DataFrame, files: DataFrame | None = None, key: Sequence
     # Whether a run resumes is judged on the phases as recorded.
     phases = F.array(*map(F.lit, PHASE_ORDER))
     left = F.filter(phases, lambda p: ~contains(done, p))
-    return df.select(*key, F.when(is_resumable(), left).otherwise(phases).alias("plan"))
+    return df.select(*key, F.when(is_resumable(states), left).otherwise(phases).alias("plan"))
 
 
 def boot_plan(nodes: DataFrame, states: DataFrame, key: Sequence[str] = _CLUSTER) -> DataFrame:

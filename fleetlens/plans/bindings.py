@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import resolve
 from fleetlens.operators.ordered import ordered
 from fleetlens.schemas import NODE
-from fleetlens.session import scratch_dir, spread
+from fleetlens.session import scratch_dir
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
@@ -45,6 +45,11 @@ def _stored(build):
     return read
 
 
+def spread(source: DataFrame) -> DataFrame:
+    """Rows of a one-file table over all cores, before whole documents are made of them."""
+    return source.repartition(source.sparkSession.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 

@@ -349,7 +349,7 @@ select controller_id, cluster_name, 'A' as kind, 'api.' || domain as name, vip a
 union all select controller_id, cluster_name, 'A', '*.apps.' || domain, vip from b_cfg"""
 
 oracle("p8_desired_dns", """
-select * from o_dns_common
+select q.* from (select * from o_dns_common
 union all select b_cfg.controller_id, b_cfg.cluster_name, 'A', 'api-int.' || domain, case when b_cfg.nm = 1 then b_cn.ip else vip end
   from b_cfg left join b_cn on b_cn.cluster_name = b_cfg.cluster_name and b_cn.placed = 'sno'
 union all select controller_id, cluster_name, 'A', hostname, ip from b_cn
@@ -359,28 +359,32 @@ union all select controller_id, cluster_name, 'A', 'etcd-' || j || '.' || cluste
 union all select controller_id, cluster_name, 'SRV', '_etcd-server-ssl._tcp.' || cluster_name || '.' || base_domain,
   'etcd-' || j || '.' || cluster_name || '.' || base_domain || ' 2380 0 ' || j from b_cn where placed = 'master'
 union all select controller_id, cluster_name, 'A', 'registry.' || domain, controller_ip from b_cfg
-  where isolation = 'air-gapped' and registry_managed""")
+  where isolation = 'air-gapped' and registry_managed) q semi join (select controller_id, cluster_name from b_cfg where dns_managed) g
+  using (controller_id, cluster_name)""")
 
 oracle("p8_desired_dns_external", """
-select * from o_dns_common
+select q.* from (select * from o_dns_common
 union all select controller_id, cluster_name, 'A', 'api-int.' || domain, vip from b_cfg
-union all select controller_id, cluster_name, 'A', hostname, ip from b_cn""")
+union all select controller_id, cluster_name, 'A', hostname, ip from b_cn) q semi join (select controller_id, cluster_name from b_cfg where not dns_managed) g
+  using (controller_id, cluster_name)""")
 
 oracle("p9_desired_dhcp", """
-select controller_id, cluster_name, hostname, lower(mac) as mac, ip,
-  case when mac = '' then 'pending' else 'reserved' end as state from b_cn""")
+select q.* from (select controller_id, cluster_name, hostname, lower(mac) as mac, ip,
+  case when mac = '' then 'pending' else 'reserved' end as state from b_cn) q semi join (select controller_id, cluster_name from b_cfg where dhcp_managed and boot_method <> 'agent') g
+  using (controller_id, cluster_name)""")
 
 oracle("p9_dhcp_network", """
-select controller_id, cluster_name, string_split(machine_cidr, '/')[1] as network,
+select q.* from (select controller_id, cluster_name, string_split(machine_cidr, '/')[1] as network,
   case when net_ok then '255.255.0.0' else '255.255.255.0' end as netmask, gateway,
   case when dns_external <> '' then dns_external else controller_ip end as dns_server,
-  case when pxe_external <> '' then pxe_external else controller_ip end as pxe_server from b_cfg""")
+  case when pxe_external <> '' then pxe_external else controller_ip end as pxe_server from b_cfg) q semi join (select controller_id, cluster_name from b_cfg where dhcp_managed and boot_method <> 'agent') g
+  using (controller_id, cluster_name)""")
 
 VIEWS["o_member"] = """
 select *, case when placed = 'sno' and hostname = '' then cluster_name else hostname end as host from b_cn"""
 
 oracle("p10_desired_pools", """
-with api as (select unnest([6443, 22623])::bigint as port), web as (
+select q.* from (with api as (select unnest([6443, 22623])::bigint as port), web as (
   select 80::bigint as port, 'http' as kind union all select 443, 'https')
 select controller_id, cluster_name, port, host as member, ip as address, true as backup from o_member, api
   where placed = 'bootstrap' and j = 0
@@ -388,14 +392,16 @@ union all select controller_id, cluster_name, port, 'bootstrap', ip, true from o
   where placed = 'master' and j = 0 and nb = 0 and boot_method = 'agent'
 union all select controller_id, cluster_name, port, host, ip, false from o_member, api where placed in ('master', 'sno')
 union all select controller_id, cluster_name, port, host || case when placed = 'sno' then '-' || kind
-  else '-' || kind || '-router0' end, ip, false from o_member, web where placed <> 'bootstrap'""")
+  else '-' || kind || '-router0' end, ip, false from o_member, web where placed <> 'bootstrap') q semi join (select controller_id, cluster_name from b_cfg where lb_managed) g
+  using (controller_id, cluster_name)""")
 
 oracle("p10_desired_pools_external", """
-with api as (select unnest([6443, 22623])::bigint as port), web as (select unnest([80, 443])::bigint as port)
+select q.* from (with api as (select unnest([6443, 22623])::bigint as port), web as (select unnest([80, 443])::bigint as port)
 select controller_id, cluster_name, port, host as member, ip as address, placed = 'bootstrap' as backup
   from o_member, api where placed <> 'worker'
 union all select controller_id, cluster_name, port, host, ip, false from o_member, web
-  where (nw > 0 and placed = 'worker') or (nw = 0 and placed in ('master', 'sno'))""")
+  where (nw > 0 and placed = 'worker') or (nw = 0 and placed in ('master', 'sno'))) q semi join (select controller_id, cluster_name from b_cfg where not lb_managed) g
+  using (controller_id, cluster_name)""")
 
 oracle("p11_required_ports", """
 with w as (
@@ -509,7 +515,7 @@ with x as (
       and a.cluster_name <> b_cfg.cluster_name) as held_by
   from b_cfg left join (select distinct controller_id, vip from b_clusters where cluster_id % 11 = 0 and vip <> '') h
     on h.controller_id = b_cfg.controller_id and h.vip = b_cfg.vip
-  where lb_managed and interface <> '' and b_cfg.vip <> controller_ip)
+  where lb_managed and interface <> '' and b_cfg.vip <> controller_ip and net_ok)
 select controller_id, cluster_name, vip, held_by, case when bound and held_by is not null then 'in use by cluster'
   when bound then 'bound on interface' else 'assigned to cluster' end as problem
 from x where bound or held_by is not null""")
@@ -610,7 +616,8 @@ oracle("fl1_visible", "select controller_id, cluster_name from b_clusters where
 oracle("fl2_active", "select controller_id, cluster_name from b_clusters where (managed or failed) and not deleted")
 oracle("fl3_prunable", "select controller_id, cluster_name from b_clusters where deleted")
 oracle("fl4_resumable", """
-select controller_id, cluster_name, status from b_states where status in ('in_progress', 'failed') and done <> ''""")
+select controller_id, cluster_name, (case when status <> '' then status when coalesce(end_clock, '') <> '' then 'completed' else 'in_progress' end) as status from b_states
+where (case when status <> '' then status when coalesce(end_clock, '') <> '' then 'completed' else 'in_progress' end) in ('in_progress', 'failed') and done <> '' and k % 25 <> 0""")
 oracle("fl5_create_gate", """
 select controller_id, cluster_name, case when deleted then 'fresh' when failed then 'resume' when managed then 'refuse'
   else 'start' end as decision,
@@ -970,7 +977,7 @@ select controller_id, cluster_name, concat_ws(',', {', '.join(
     f"case when not resumes or k % 8 = 1 or k % {n} <> 0{extra} then '{p}' end" for p, n, extra in (
         ("discovery", 2, ""), ("downloads", 3, " or k % 4 = 0"), ("services", 5, ""), ("ignition", 7, " or k % 6 = 0"),
         ("boot", 11, ""), ("wait", 13, "")))}) as plan
-from (select *, status in ('in_progress', 'failed') and done <> '' as resumes from b_states)""")
+from (select *, (case when status <> '' then status when coalesce(end_clock, '') <> '' then 'completed' else 'in_progress' end) in ('in_progress', 'failed') and done <> '' and k % 25 <> 0 as resumes from b_states)""")
 
 oracle("u3_boot_plan", """
 select controller_id, cluster_name, ord, hostname from b_cn where not (k % 17 = 0 and k % 8 <> 1 and hostname = 'm-1')""")

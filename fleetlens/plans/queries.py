@@ -16,7 +16,7 @@ from fleetlens.functions.collections import append_absent, first_match, map_put
 from fleetlens.operators import capacity, desired, history, logs, matching, planning, resolve, rules
 from fleetlens.plans import bindings as b
 from fleetlens.plans import reports
-from fleetlens.session import scratch_dir, spread
+from fleetlens.session import scratch_dir
 from fleetlens.sources import documents, snapshots
 from fleetlens.streaming import feeds
 
@@ -65,7 +65,7 @@ def src1_configs(spark, sf):
         F.array_join(F.transform(F.sequence(F.lit(1), (c % 3 + 1).cast("int")), lambda i: F.concat(
             F.lit("    - name: m"), i.cast("string"), F.lit("\n      ip: 10.0.0."), i.cast("string"), F.lit("\n"))), ""),
         F.when(bad, "broken: [\n").otherwise("# end\n"))
-    docs = spread(b.table(spark, sf, "orders")).select(k.alias("cluster_id"), raw.alias("raw"))
+    docs = b.spread(b.table(spark, sf, "orders")).select(k.alias("cluster_id"), raw.alias("raw"))
     df = documents.parse_configs(docs)
     return df.select(
         "cluster_id", F.col("_error").isNotNull().alias("failed"), F.col("openshift.cluster_name").alias("name"),
@@ -259,7 +259,7 @@ def p8_desired_dns_external(spark, sf):
 
 @query
 def p9_desired_dhcp(spark, sf):
-    return desired.desired_dhcp(_config_nodes(spark, sf), lower_mac=True)
+    return desired.desired_dhcp(_config_nodes(spark, sf), b.resolved(spark, sf), lower_mac=True)
 
 
 @query

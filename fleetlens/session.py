@@ -42,22 +42,17 @@ def _local_scratch() -> str:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is a temporary folder used.
+    Only a local master may go without one: executors elsewhere would each write
+    to a disk of their own, and rows would be missed when they are read again.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def spread(source: DataFrame) -> DataFrame:
-    """Use every core on a source that arrives in fewer splits than there are cores.
-
-    For plain scans before work that costs more than moving its rows.  A source
-    that already has enough splits, as any large one has, is left alone.
-    """
-    cores = source.sparkSession.sparkContext.defaultParallelism
-    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source
-
-
 def write_and_read(df: DataFrame) -> DataFrame:
     """Cut lineage through a written table, which outlives any executor."""
     spark = df.sparkSession

@@ -64,7 +64,7 @@ def parse_sockets(lines: DataFrame, text: str = "value") -> DataFrame:
     return (cut.withColumns({
         "local_addr": F.left("_l", F.length("_l") - F.length(port) - 1),
         "port": port.try_cast("int"),
-        "process": F.coalesce(F.array_join(F.slice("_p", 6, 100), " "), F.lit(""))})
+        "process": F.coalesce(F.array_join(F.slice("_p", 6, F.size("_p")), " "), F.lit(""))})
         .filter(F.col("port").isNotNull()).drop("_p", "_l"))
 
 
