@@ -163,7 +163,7 @@ def oracle() -> str:
 
     def words(table: str, key: str) -> str:
         marked = f"regexp_replace(coalesce(text, ''), '{_SLOT_RE}', '{_MARK}\\1\\2\\3\\4', 'g')"
-        return f"SELECT {key}, string_split_regex({marked}, '\\s+') AS raw FROM {table}"
+        return f"SELECT {key}, row_number() OVER () AS rid, string_split_regex({marked}, '\\s+') AS raw FROM {table}"
 
     value = f"split_part(t, '{_MARK}', -1)"
     template = (f"CASE WHEN contains(t, '{_MARK}') THEN CASE WHEN regexp_matches({value}, '^[0-9]') THEN CASE WHEN "
@@ -171,9 +171,12 @@ def oracle() -> str:
                 f"ELSE trim(t, '{signs}') END")
 
     def windows(table: str, key: str, pos: str) -> str:
-        return (f"SELECT {key}, {pos}, canon[{pos}:{pos} + {WINDOW - 1}] AS w, raw[{pos}:{pos} + {WINDOW - 1}] AS words "
-                f"FROM (SELECT *, list_transform(raw, lambda t: {template}) AS canon, "
-                f"unnest(range(1, len(raw) - {WINDOW - 2})) AS {pos} FROM {table} WHERE len(raw) >= {WINDOW})")
+        def row(column: str) -> str:
+            return ", ".join([column, *[f"lead({column}, {i}) OVER o" for i in range(1, WINDOW)]])
+
+        return (f"SELECT {key}, {pos}, [{row('c')}] AS w, [{row('t')}] AS words FROM (SELECT *, {template} AS c FROM "
+                f"(SELECT {key}, rid, generate_subscripts(raw, 1) AS {pos}, unnest(raw) AS t FROM {table})) "
+                f"WINDOW o AS (PARTITION BY rid ORDER BY {pos}) QUALIFY lead(c, {WINDOW - 1}) OVER o IS NOT NULL")
 
     return f"""
 WITH dt AS ({words("documents", "doc_id")}), it AS ({words("benchmark", "item_id")}),
