@@ -103,7 +103,7 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, rest: flo
     rate = rates(docs, weights, rest, epochs)
     times, copy, key = (free_name(docs, n) for n in ("_times", "copy", "shuffle_key"))
     many = (docs.withColumn(times, draws(group, rate, seed)).filter(F.col(times) > 0)
-            .withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(times) - 1))).drop(times))
+            .withColumn(copy, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times).cast("bigint") - 1))).drop(times))
     mark = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("doc_id").cast("string"),
                              F.col(copy).cast("string")).cast("binary"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -138,6 +138,6 @@ n AS (SELECT doc_id, source, md5(t) AS text_md5, list_sum(list_transform(range(0
         len(list_filter(cdf, lambda x: x < (('0x' || substr(md5(concat_ws('|', '{seed}', coalesce(doc_id::VARCHAR, 'none'),
           md5(t), i::VARCHAR)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)))) AS times
       FROM d JOIN c USING (g)),
-e AS (SELECT doc_id, source, text_md5, unnest(range(0, times::BIGINT))::INT AS copy FROM n WHERE times > 0)
+e AS (SELECT doc_id, source, text_md5, unnest(range(0, times::BIGINT)) AS copy FROM n WHERE times > 0)
 SELECT doc_id, source, copy, text_md5,
        md5(concat_ws('|', '{seed}', 'order', doc_id::VARCHAR, copy::VARCHAR)) AS shuffle_key FROM e"""
