@@ -47,8 +47,10 @@ def features(text: str, index: dict[str, int]) -> np.ndarray:
                 out[at] = 1
                 hits += t[-1] != "*"
     n = max(1, len(words))
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    capitals = np.count_nonzero((raw >= ord("A")) & (raw <= ord("Z")))
     out[len(index):] = (np.log1p(hits), np.sqrt(hits / n), np.log1p(len(words)) / 5, text.count("!") / n,
-                        sum(c.isupper() for c in text[:4000]) / max(1, len(text[:4000])))
+                        capitals / max(1, len(raw)))
     return out
 
 
