@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.collections import contains, listed
 from fleetlens.functions.net import address_facts, inside, is_cidr, mac_colons, network_facts
 from fleetlens.functions.text import blank, link_uuid, url_basename
 
@@ -99,8 +98,12 @@ def lpar_check(nodes: DataFrame, lpars: DataFrame) -> DataFrame:
 
 def enrich_nodes(nodes: DataFrame, discovered: DataFrame, key: Sequence[str] = (*_CLUSTER, "hostname"),
                  facts: Sequence[str] = ("mac", "uuid", "profile_uuid", "location_code")) -> DataFrame:
-    """Replace node facts by discovered ones where the host was discovered."""
-    found = discovered.select(*key, F.lit(True).alias("_found"), *[F.col(f).alias(f"_d_{f}") for f in facts])
+    """Replace node facts by discovered ones where the host was discovered.
+
+    A host discovered more than once counts as it was last, by ``ord``.
+    """
+    last = discovered.groupBy(*key).agg(F.max_by(F.struct(*facts), "ord").alias("_f"))
+    found = last.select(*key, F.lit(True).alias("_found"), *[F.col(f"_f.{f}").alias(f"_d_{f}") for f in facts])
     joined = nodes.join(found, list(key), "left")
     keep = [c for c in nodes.columns if c not in facts]
     merged = []
@@ -180,35 +183,59 @@ def live_conflicts(nodes: DataFrame, ping: DataFrame, scope: Sequence[str] = ("c
 ANY_ADDRESS = ("0.0.0.0", "*", "[::]")
 
 
-def port_collisions(ports: DataFrame, sockets: DataFrame, registry_answers: DataFrame | None = None) -> DataFrame:
-    """Needed ports held by another process.
+#: Processes that may hold a port; no name means that none may.
+OWNERS = ("", "haproxy", "dnsmasq", "squid")
+
 
-    ``registry_answers`` lists controllers whose own registry replied on its
-    port; there port 5000 is no collision.
+def port_collisions(ports: DataFrame, sockets: DataFrame, registry_answers: DataFrame | None = None,
+                    owners: Sequence[str] = OWNERS) -> DataFrame:
+    """Needed ports held by another process (J10); rows of ``ports`` as they are.
+
+    ``owners`` names every owner that ``ports`` may have.  Sockets are reduced
+    to one row per address before they meet the ports, with one mark per owner:
+    is some process there another one?  So the join makes no more rows than
+    there are ports, however many sockets share one.  ``registry_answers`` lists
+    controllers whose own registry replied on its port; there port 5000 is no
+    collision.
     """
-    held = sockets.select("controller_id", "proto", "port", "local_addr", F.lower("process").alias("process"))
-    here = F.col("local_addr").isin(*ANY_ADDRESS) | (F.col("local_addr") == F.col("own_addr"))
-    other = (F.col("owner") == "") | ~F.contains("process", "owner")
-    hits = ports.join(held, ["controller_id", "proto", "port"]).filter(here & other)
+    key = ["controller_id", "proto", "port"]
+    at = F.when(F.col("local_addr").isin(*ANY_ADDRESS), "").otherwise(F.col("local_addr"))
+    name = F.lower("process")
+    held = sockets.groupBy(*key, at.alias("_at")).agg(F.array(*[
+        F.coalesce(F.bool_or((F.lit(owner) == "") | ~F.contains(name, F.lit(owner))), F.lit(False))
+        for owner in owners]).alias("_foreign"))
+    place = F.array_position(F.array(*map(F.lit, owners)), F.col("owner")).cast("int") - 1
+
+    def foreign(marks: str) -> Column:
+        return F.coalesce(F.get(marks, place), F.lit(False))
+
+    everywhere = held.filter(F.col("_at") == "").select(*key, F.col("_foreign").alias("_any"))
+    single = held.filter(F.col("_at") != "").select(*key, F.col("_at").alias("own_addr"), F.col("_foreign").alias("_own"))
+    hits = (ports.join(everywhere, key, "left").join(single, [*key, "own_addr"], "left")
+            .filter(foreign("_any") | foreign("_own")))
     if registry_answers is not None:
         fine = registry_answers.select("controller_id", F.lit(5000).alias("port"))
         hits = hits.join(fine, ["controller_id", "port"], "left_anti")
-    return hits.select(*ports.columns).distinct()
+    return hits.select(*ports.columns)
 
 
 def stale_media(mappings: DataFrame, scsi_maps: DataFrame) -> DataFrame:
     """Media in each node's drive against the media it should hold.
 
     The suffix test on the partition link is an equality on its last 36
-    characters.  Status: mapped, stale (other media in the drive) or absent.
+    characters.  Status: mapped (some drive holds it), stale (only other media
+    are in its drives) or absent; ``others`` lists the other media.  The drives
+    of one partition are few, so they are gathered before the join.
     """
-    drive = scsi_maps.select(
-        "vios_uuid", F.lower(link_uuid(F.col("lpar_href"))).alias("_lpar"), F.col("media_name").alias("in_drive"))
+    filled = scsi_maps.filter(blank(F.col("media_name")) != "")
+    drives = filled.groupBy("vios_uuid", F.lower(link_uuid(F.col("lpar_href"))).alias("_lpar")).agg(
+        F.sort_array(F.collect_set("media_name")).alias("_media"))
     want = mappings.withColumn("_lpar", F.lower("lpar_uuid"))
-    joined = want.join(drive, ["vios_uuid", "_lpar"], "left").drop("_lpar")
-    status = (F.when(blank(F.col("in_drive")) == "", "absent")
-              .when(F.col("in_drive") == F.col("media_name"), "mapped").otherwise("stale"))
-    return joined.withColumn("status", status)
+    joined = want.join(drives, ["vios_uuid", "_lpar"], "left").drop("_lpar")
+    status = (F.when(F.col("_media").isNull(), "absent")
+              .when(F.array_contains("_media", F.col("media_name")), "mapped").otherwise("stale"))
+    others = F.coalesce(F.array_remove("_media", F.col("media_name")), F.array().cast("array<string>"))
+    return joined.withColumns({"status": status, "others": others}).drop("_media")
 
 
 # Folders and boot files each form of the check expects.
@@ -241,20 +268,25 @@ def missing_files(expected: DataFrame, files: DataFrame, key: Sequence[str] = (*
 def name_collisions(clusters: DataFrame, paths: DataFrame) -> DataFrame:
     """Files on the host that already carry the cluster's name.
 
-    ``paths`` has ``controller_id`` and ``path``.  The balancer file counts under
-    the name it is written with (``10-``); the older name
-    (``99-``) is reported as ``legacy``.
+    ``paths`` has ``controller_id`` and ``path``.  A name service file counts for
+    every run of words between two hyphens of its name, as cluster names may hold
+    hyphens themselves.  The balancer file counts under the name it is written
+    with (``10-``); the older name (``99-``) is reported as ``legacy``.
     """
     path = F.col("path")
-    dns = r"^/etc/dnsmasq\.d/[^/]*-(.+)-[^/-]*\.conf$"
+    dns = r"^/etc/dnsmasq\.d/([^/.][^/]*-[^/]+-[^/]*|-[^/]+-[^/]*)\.conf$"
+    words = F.split(F.regexp_extract(path, dns, 1), "-")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    runs = F.flatten(F.transform(inner, lambda _, i: F.transform(
+        F.sequence(F.lit(1), F.size(inner) - i), lambda n: F.array_join(F.slice(inner, i + 1, n), "-"))))
     pool = r"^/etc/haproxy/conf\.d/(10|99)-(.+)\.cfg$"
     found = paths.select(
         "controller_id", "path",
-        F.when(path.rlike("^/var/www/html/[^/]+"), F.regexp_extract(path, "^/var/www/html/([^/]+)", 1))
-        .when(path.rlike(dns), F.regexp_extract(path, dns, 1))
-        .when(path.rlike(pool), F.regexp_extract(path, pool, 2)).alias("cluster_name"),
+        F.explode(F.when(path.rlike("^/var/www/html/[^/]+"), F.array(F.regexp_extract(path, "^/var/www/html/([^/]+)", 1)))
+                  .when(path.rlike(dns), F.array_distinct(runs))
+                  .when(path.rlike(pool), F.array(F.regexp_extract(path, pool, 2)))).alias("cluster_name"),
         F.coalesce(F.regexp_extract(path, pool, 1) == "99", F.lit(False)).alias("legacy"))
-    return clusters.select(*_CLUSTER).join(found.filter(F.col("cluster_name").isNotNull()), list(_CLUSTER))
+    return clusters.select(*_CLUSTER).join(found, list(_CLUSTER))
 
 
 def absent_interfaces(resolved: DataFrame, host_addrs: DataFrame) -> DataFrame:
@@ -289,10 +321,15 @@ def decide_download(force: Column, expected: Column, present: Column, length: Co
 
 def resolve_uuid(nodes: DataFrame, discovered: DataFrame, lpars: DataFrame,
                  key: Sequence[str] = _CLUSTER) -> DataFrame:
-    """Partition id from state, otherwise from inventory."""
+    """Partition id from state, otherwise from inventory.
+
+    Of several the first in list order counts (``ord``; inventory without that
+    column has one row a partition, or the smallest id is taken).
+    """
     known = (discovered.filter(blank(F.col("uuid")) != "").groupBy(*key, "hostname")
-             .agg(F.min("uuid").alias("_state")))
-    stock = lpars.groupBy("system_name", "lpar_name").agg(F.min("lpar_uuid").alias("_stock"))
+             .agg(F.min_by("uuid", "ord").alias("_state")))
+    first = F.min_by("lpar_uuid", "ord") if "ord" in lpars.columns else F.min("lpar_uuid")
+    stock = lpars.groupBy("system_name", "lpar_name").agg(first.alias("_stock"))
     joined = nodes.join(known, [*key, "hostname"], "left").join(stock, ["system_name", "lpar_name"], "left")
     uuid = F.coalesce("_state", F.nullif(F.col("_stock"), F.lit("")))
     source = (F.when(F.col("_state").isNotNull(), "state").when(uuid.isNotNull(), "inventory").otherwise("unknown"))
@@ -315,6 +352,10 @@ def was_managed(resolved: DataFrame, services: DataFrame, key: Sequence[str] = _
                                  for k in SERVICE_RECORDS])
 
 
+#: Length and punctuation of hardware addresses and dotted addresses.
+ADDRESS_SHAPES = [(17, ":" * 5), *[(width, "...") for width in range(7, 16)]]
+
+
 def purge_leases(leases: DataFrame, nodes: DataFrame, mode: str = "exact",
                  scope: Sequence[str] = ("controller_id",)) -> DataFrame:
     """Lease lines that belong to the given nodes, by hardware or network address.
@@ -322,7 +363,9 @@ def purge_leases(leases: DataFrame, nodes: DataFrame, mode: str = "exact",
     ``exact`` compares whole tokens.  ``substring`` also removes lines that merely
     contain the text, so ``10.0.0.1`` takes ``10.0.0.10`` with it.  Both are
     equality joins: a match lies inside one run of address characters, so the
-    line offers every piece of its runs.
+    line offers every piece of its runs that is shaped like a hardware or dotted
+    address, and its whole tokens for sought text of any other shape.  A dot
+    stands for itself only.
     """
     sought = (nodes.select(*scope, F.explode(F.array_compact(F.array(
         F.when(F.col("mac") != "", mac_colons(F.col("mac"))), F.when(F.col("ip") != "", F.col("ip"))))).alias("_t"))
@@ -330,14 +373,8 @@ def purge_leases(leases: DataFrame, nodes: DataFrame, mode: str = "exact",
     if mode == "exact":
         tokens = F.array_distinct(F.split("line", r"\s+"))
     else:
-        # A few shapes (length and punctuation) cover every sought text; their
-        # number is bounded by the text length, so reading them here is safe.
-        shapes = [(r["w"], r["p"]) for r in sought.select(
-            F.length("_t").alias("w"), _punctuation(F.col("_t")).alias("p")).distinct().collect()]
-        if not shapes:
-            return leases.limit(0).select(*scope, "line")
-        tokens = F.array_distinct(F.flatten(F.transform(
-            F.split("line", r"[^0-9A-Fa-f.:]+"), lambda run: _pieces(run, shapes))))
+        pieces = F.flatten(F.transform(F.split("line", r"[^0-9A-Fa-f.:]+"), lambda run: _pieces(run, ADDRESS_SHAPES)))
+        tokens = F.array_distinct(F.concat(F.split("line", r"\s+"), pieces))
     offered = leases.select(*scope, "line", F.explode(tokens).alias("_t"))
     return offered.join(sought, [*scope, "_t"], "left_semi").drop("_t").distinct()
 
@@ -346,8 +383,8 @@ def _punctuation(text: Column) -> Column:
     return F.translate(text, "0123456789abcdefABCDEF", "")
 
 
-def _pieces(run: Column, shapes: list[tuple[int, str]]) -> Column:
-    """The substrings of a run that have the length and punctuation of a sought text."""
+def _pieces(run: Column, shapes: Sequence[tuple[int, str]]) -> Column:
+    """The substrings of a run that have the length and punctuation of one of the shapes."""
     marks = _punctuation(run)
     wanted = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in shapes])
     possible = F.filter(wanted, lambda s: F.contains(marks, s["p"]) & (s["w"] <= F.length(run)))
@@ -391,7 +428,3 @@ def stale_locks(locks: DataFrame, processes: DataFrame, as_of: Column, limit_sec
     verdict = (F.when(readable & F.col("_alive").isNull(), "stale")
                .when(readable, "held").when(age > limit_seconds, "stale").otherwise("held"))
     return joined.withColumn("verdict", verdict).drop("_alive")
-
-
-def has_marker(states: DataFrame, marker: Column) -> Column:
-    return contains(listed(F.col("completed_phases")), marker)

@@ -655,8 +655,13 @@ select system_id as system_name, case when state is null then 'missing' when sta
 from b_nodes n left join b_lpars l on l.system_name = n.system_id and l.lpar_name = n.lpar_name group by 1, 2""")
 
 oracle("j4_enrich_nodes", """
+with -- a host listed again counts as listed last
+found as (select * from b_discovered
+  union all select * replace ('a-' || uuid as uuid, ord + 20 as ord) from b_discovered where cluster_id % 4 = 0),
+latest as (select * from found f where not exists (select 1 from found g
+  where g.cluster_id = f.cluster_id and g.hostname = f.hostname and g.ord > f.ord))
 select n.cluster_id, n.ord, n.hostname, n.role, d.uuid, coalesce(d.mac, n.mac) as mac
-from b_nodes n left join b_discovered d on d.cluster_id = n.cluster_id and d.ord = n.ord""")
+from b_nodes n left join latest d on d.cluster_id = n.cluster_id and d.hostname = n.hostname""")
 
 oracle("j5_discover", """
 with x as (select n.system_id as system_name, l.lpar_uuid, l.mix from b_nodes n
@@ -705,10 +710,16 @@ where (addr <> '10.1.0.1' or addr = own_addr) and (owner = '' or process <> owne
   and not (n.port = 5000 and controller_id % 4 = 0)""")
 
 oracle("j11_stale_media", """
-with drive as (select vios_uuid, lpar_uuid, min(media_name) as held from b_maps where cluster_id % 4 <> 0 group by 1, 2)
-select cluster_id, case when held is null then 'absent' when held = media_name then 'mapped' else 'stale' end as status,
-  count(*) as nodes
-from b_maps left join drive using (vios_uuid, lpar_uuid) group by 1, 2""")
+with -- wanted media in any drive: mapped; every other filled drive is stale
+drive as (select vios_uuid, lpar_uuid, min(media_name) as held from b_maps where cluster_id % 4 <> 0 group by 1, 2
+  union select vios_uuid, lpar_uuid, unnest(['old.iso', 'zz.iso']) from b_maps where cluster_id % 3 = 0),
+per_node as (select m.cluster_id, m.node_name, m.media_name, m.vios_uuid, m.lpar_uuid,
+    (select count(*) from drive d where d.vios_uuid = m.vios_uuid and d.lpar_uuid = m.lpar_uuid and held = m.media_name) as fit,
+    (select count(*) from drive d where d.vios_uuid = m.vios_uuid and d.lpar_uuid = m.lpar_uuid and held <> m.media_name) as odd
+  from b_maps m)
+select cluster_id, case when fit > 0 then 'mapped' when odd > 0 then 'stale' else 'absent' end as status,
+  count(*) as nodes, sum(odd)::bigint as other_media
+from per_node group by 1, 2""")
 
 VIEWS["o_server"] = """
 select controller_id, cluster_name, cluster_id, unnest(['rhcos/kernel', 'rhcos/initramfs.img', 'rhcos/rootfs.img']) as path
@@ -730,11 +741,13 @@ with w as (select cluster_id, unnest(['ignition/bootstrap.ign', 'ignition/master
 select path, count(*) as clusters from w where (cluster_id + len(path)) % 3 = 0 group by 1""")
 
 oracle("j13_name_collisions", """
+with named as (select * replace (case when cluster_id % 8 < 4 then 'a-' else '' end || cluster_name as cluster_name)
+  from b_clusters)
 select controller_id, cluster_name, case cluster_id % 4 when 0 then '/var/www/html/' || cluster_name || '/x'
-    when 1 then '/etc/dnsmasq.d/10-' || cluster_name || '-dns.conf'
+    when 1 then '/etc/dnsmasq.d/10-x-' || cluster_name || '-my-dns.conf'
     else '/etc/haproxy/conf.d/' || case when cluster_id % 8 = 2 then '10' else '99' end || '-' || cluster_name || '.cfg' end as path,
   cluster_id % 8 = 6 as legacy
-from b_clusters where cluster_id % 3 <> 0 and cluster_id % 4 <> 3""")
+from named where cluster_id % 3 <> 0 and cluster_id % 4 <> 3""")
 
 oracle("j14_download_action", """
 select doc_id, case when doc_id % 11 = 0 then 'wipe'
@@ -742,7 +755,12 @@ select doc_id, case when doc_id % 11 = 0 then 'wipe'
   when doc_id % 7 <> 0 and n_chars > 0 then 'skip' else 'fetch' end as action from documents""")
 
 oracle("j15_resolve_uuid", """
-with known as (select cluster_id, hostname, min(uuid) as uuid from b_discovered where ord <> 1 group by 1, 2)
+with -- the first listed entry with an id
+listed as (select cluster_id, hostname, ord, case when ord = 1 then '' else uuid end as uuid from b_discovered),
+known as (select distinct on (cluster_id, hostname) cluster_id, hostname, uuid from (
+    select * from listed
+    union all select cluster_id, hostname, ord + 20, 'a-' || uuid from listed where cluster_id % 4 = 0)
+  where uuid <> '' order by cluster_id, hostname, ord)
 select n.cluster_id, n.hostname, n.lpar_name, coalesce(k.uuid, l.lpar_uuid) as resolved_uuid,
   case when k.uuid is not null then 'state' when l.lpar_uuid is not null then 'inventory' else 'unknown' end as uuid_source
 from b_nodes n left join known k using (cluster_id, hostname)
@@ -765,6 +783,13 @@ select coalesce(n.cluster_id, s.cluster_id) as cluster_id, coalesce(n.ord, s.ord
     else 'change' end as action, n.ip as want_ip, s.ip as have_ip
 from b_nodes n full join seen s on s.cluster_id = n.cluster_id and s.ord = n.ord""")
 
+oracle("j17_reconcile_values", """
+with want as (select distinct cluster_id, role, ip from b_nodes),
+have as (select * from want where len(ip) % 3 <> 0 union select cluster_id, role, ip || '9' from want where cluster_id % 10 = 3)
+select *, 'same' as action from (select * from want intersect select * from have)
+union all select *, 'add' from (select * from want except select * from have)
+union all select *, 'remove' from (select * from have except select * from want)""")
+
 oracle("j18_purge_leases", """
 with lease as (select distinct lower(replace(mac, '-', ':')) as m, ip || case when cluster_id % 2 = 0 then '1' else '' end as a,
     '1700000000 ' || m || ' ' || a || ' h *' as line from b_nodes),

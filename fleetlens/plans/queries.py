@@ -519,9 +519,12 @@ def j3_lpar_check(spark, sf):
 
 @query
 def j4_enrich_nodes(spark, sf):
-    key = ("cluster_id", "ord", "hostname")
-    out = matching.enrich_nodes(b.nodes(spark, sf), b.discovered(spark, sf), key, ("uuid", "mac"))
-    return out.select(*key, "role", "uuid", "mac")
+    """Every fourth cluster has hosts that were discovered again, further down, with other facts."""
+    found = b.discovered(spark, sf)
+    again = found.filter(F.col("cluster_id") % 4 == 0).withColumns(
+        {"uuid": F.concat(F.lit("a-"), "uuid"), "ord": F.col("ord") + 20})
+    out = matching.enrich_nodes(b.nodes(spark, sf), found.unionByName(again), ("cluster_id", "hostname"), ("uuid", "mac"))
+    return out.select("cluster_id", "ord", "hostname", "role", "uuid", "mac")
 
 
 @query
@@ -581,14 +584,18 @@ def j10_port_collisions(spark, sf):
 
 @query
 def j11_stale_media(spark, sf):
-    """Links end in 36 characters that differ in case from the recorded id."""
+    """Links end in 36 characters that differ in case from the recorded id; some partitions have several drives."""
     m = b.mappings(spark, sf)
     wide = F.lpad("lpar_uuid", 36, "0")
     drive = m.filter(F.col("cluster_id") % 4 != 0).groupBy("vios_uuid", "lpar_uuid").agg(
         F.min("media_name").alias("media_name")).select(
         "vios_uuid", F.concat(F.lit("https://h/lpar/"), F.upper(wide)).alias("lpar_href"), "media_name")
-    out = matching.stale_media(m.withColumn("lpar_uuid", wide), drive)
-    return out.groupBy("cluster_id", "status").agg(F.count(F.lit(1)).alias("nodes"))
+    more = m.filter(F.col("cluster_id") % 3 == 0).select(
+        "vios_uuid", F.concat(F.lit("https://h/lpar/"), wide).alias("lpar_href"),
+        F.explode(F.array(F.lit(""), F.lit("old.iso"), F.lit("zz.iso"))).alias("media_name"))
+    out = matching.stale_media(m.withColumn("lpar_uuid", wide), drive.unionByName(more))
+    return out.groupBy("cluster_id", "status").agg(
+        F.count(F.lit(1)).alias("nodes"), F.sum(F.size("others")).alias("other_media"))
 
 
 @query
@@ -618,10 +625,11 @@ def j12_missing_helper_files(spark, sf):
 
 @query
 def j13_name_collisions(spark, sf):
-    c = b.clusters(spark, sf)
+    """Half of the names hold a hyphen, and name service files have more words than the name."""
     k = F.col("cluster_id")
+    c = b.clusters(spark, sf).withColumn("cluster_name", F.concat(F.when(k % 8 < 4, "a-").otherwise(""), "cluster_name"))
     path = (F.when(k % 4 == 0, F.concat(F.lit("/var/www/html/"), "cluster_name", F.lit("/x")))
-            .when(k % 4 == 1, F.concat(F.lit("/etc/dnsmasq.d/10-"), "cluster_name", F.lit("-dns.conf")))
+            .when(k % 4 == 1, F.concat(F.lit("/etc/dnsmasq.d/10-x-"), "cluster_name", F.lit("-my-dns.conf")))
             .when(k % 4 == 2, F.concat(F.lit("/etc/haproxy/conf.d/"), F.when(k % 8 == 2, "10").otherwise("99"),
                                        F.lit("-"), "cluster_name", F.lit(".cfg")))
             .otherwise(F.concat(F.lit("/etc/other/"), "cluster_name")))
@@ -647,7 +655,11 @@ def j14_download_action(spark, sf):
 @query
 def j15_resolve_uuid(spark, sf):
     n = b.raw_nodes(spark, sf).withColumnRenamed("system_id", "system_name")
+    """Every fourth cluster lists hosts twice, the later entry with an id that is smaller as text."""
     found = b.discovered(spark, sf).withColumn("uuid", F.when(F.col("ord") == 1, "").otherwise(F.col("uuid")))
+    later = found.filter(F.col("cluster_id") % 4 == 0).withColumns(
+        {"uuid": F.concat(F.lit("a-"), "uuid"), "ord": F.col("ord") + 20})
+    found = found.unionByName(later)
     return matching.resolve_uuid(n, found, b.lpars(spark, sf), ("cluster_id",)).select(
         "cluster_id", "hostname", "lpar_name", "resolved_uuid", "uuid_source")
 
@@ -669,6 +681,15 @@ def j17_reconcile(spark, sf):
     return out.select("cluster_id", "ord", "action", F.col("want.ip").alias("want_ip"), F.col("have.ip").alias("have_ip"))
 
 
+@query
+def j17_reconcile_values(spark, sf):
+    """Addresses by cluster and role, several a key, against a copy that lost some and gained others."""
+    n = b.nodes(spark, sf).select("cluster_id", "role", "ip").distinct()
+    seen = n.filter(F.length("ip") % 3 != 0).unionByName(
+        n.filter(F.col("cluster_id") % 10 == 3).withColumn("ip", F.concat("ip", F.lit("9"))))
+    return desired.reconcile_values(n, seen, ["cluster_id", "role"])
+
+
 @query
 def j18_purge_leases(spark, sf):
     """Leases of every node's neighbour addresses against sought nodes, both matching modes."""

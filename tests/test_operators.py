@@ -213,5 +213,32 @@ def test_stale_media(spark):
     maps = spark.createDataFrame([("n1", "m1", "v", uuid + "1"), ("n2", "m1", "v", uuid + "2"), ("n3", "m1", "v", uuid + "3")],
                                  "node_name string, media_name string, vios_uuid string, lpar_uuid string")
     drive = spark.createDataFrame([("v", "https://h/" + uuid.lower() + "1", "m1"), ("v", "https://h/" + uuid + "2", "old"),
-                                   ("v", "short", "m9")], "vios_uuid string, lpar_href string, media_name string")
+                                   ("v", "https://h/" + uuid + "1", ""), ("v", "https://h/" + uuid + "1", "x"), ("v", "short", "m9")], "vios_uuid string, lpar_href string, media_name string")
     assert rows(matching.stale_media(maps, drive), "node_name", "status") == [("n1", "mapped"), ("n2", "stale"), ("n3", "absent")]
+
+
+def test_name_collision_words(spark):
+    names = ("prod", "prod-east", "east", "10-prod", "dns")
+    clusters = spark.createDataFrame([("c", n) for n in names], "controller_id string, cluster_name string")
+    paths = spark.createDataFrame([("c", "/etc/dnsmasq.d/10-prod-east-dns.conf"), ("c", "/etc/dnsmasq.d/dns.conf"),
+                                   ("c", "/etc/dnsmasq.d/a-dns.conf")], "controller_id string, path string")
+    assert rows(matching.name_collisions(clusters, paths), "cluster_name") == [("east",), ("prod",), ("prod-east",)]
+
+
+def test_values_are_compared_one_by_one(spark):
+    want = spark.createDataFrame([("api", "1"), ("api", "2"), ("n", None)], "k string, v string")
+    have = spark.createDataFrame([("api", "2"), ("n", None), ("old", "3")], "k string, v string")
+    assert rows(desired.reconcile_values(want, have, ["k"]), "k", "action") == [
+        ("api", "add"), ("api", "same"), ("n", "same"), ("old", "remove")]
+
+
+def test_ports_meet_few_rows(spark):
+    kind = "controller_id string, cluster_name string, port int, proto string, owner string, own_addr string"
+    ports = spark.createDataFrame([("c", "a", 80, "tcp", "haproxy", "10.0.0.1"), ("c", "b", 80, "tcp", "", "10.0.0.2"),
+                                   ("c", "d", 53, "udp", "dnsmasq", "10.0.0.3")], kind)
+    held = [("c", "tcp", 80, "10.0.0.1", "HAProxy"), ("c", "tcp", 80, "*", "haproxy"), ("c", "udp", 53, "10.0.0.9", "named")]
+    sockets = spark.createDataFrame(held, "controller_id string, proto string, port int, local_addr string, process string")
+    assert rows(matching.port_collisions(ports, sockets), "cluster_name") == [("b",)]
+    more = sockets.unionByName(spark.createDataFrame([("c", "udp", 53, "10.0.0.3", "x"), ("c", "tcp", 80, "10.0.0.1", "nginx")],
+                                                     sockets.schema))
+    assert rows(matching.port_collisions(ports, more), "cluster_name") == [("a",), ("b",), ("d",)]
