@@ -32,61 +32,138 @@ def folder_of(path: Column, up: int = 1) -> Column:
     return F.element_at(F.split(path, "/"), F.lit(-1 - up))
 
 
+# Words that a yes-or-no field takes.
+YES, NO = ("y", "yes", "on", "true"), ("n", "no", "off", "false")
+
+
 @functools.cache
 def _loader():
-    """Decimals and dates stay as written, so version ``4.20`` keeps its zero."""
+    """Scalars stay as written (``4.20``, ``010``, ``on``, ``10:20:30``); only null and merge keys are told apart."""
     import yaml
 
     class Plain(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         pass
 
-    dropped = {"tag:yaml.org,2002:float", "tag:yaml.org,2002:timestamp"}
+    kept = {"tag:yaml.org,2002:null", "tag:yaml.org,2002:merge"}
     Plain.yaml_implicit_resolvers = {
-        first: [(tag, rule) for tag, rule in rules if tag not in dropped]
-        for first, rules in Plain.yaml_implicit_resolvers.items()}
+        first: [(tag, rule) for tag, rule in rules if tag in kept]
+        for first, rules in yaml.SafeLoader.yaml_implicit_resolvers.items()}
     return Plain
 
 
-def _yaml_to_json(text: str | None) -> tuple[str | None, str | None]:
-    """One document as JSON with every password replaced by a presence flag."""
-    import yaml
-
+def _check(node, above: set[int], done: set[int]) -> None:
+    """Refuse keys given twice and anchors that contain themselves."""
+    if node.id == "scalar" or id(node) in done:
+        return
+    if id(node) in above:
+        raise ValueError("anchor contains itself")
+    above.add(id(node))
+    if node.id == "mapping":
+        names = [key.value for key, _ in node.value if key.id == "scalar"]
+        if len(names) != len(set(names)):
+            raise ValueError(f"key given twice: {next(n for n in names if names.count(n) > 1)}")
+    for child in node.value if node.id == "sequence" else [part for pair in node.value for part in pair]:
+        _check(child, above, done)
+    above.discard(id(node))
+    done.add(id(node))
+
+
+def _null(node) -> bool:
+    return node.id == "scalar" and node.tag.endswith(":null")
+
+
+def _entries(node) -> dict:
+    """Key texts and value nodes of a mapping; its own keys go before merged ones."""
+    own, merged = {}, {}
+    for key, value in node.value:
+        if key.tag.endswith(":merge"):
+            for source in value.value if value.id == "sequence" else [value]:
+                if source.id != "mapping":
+                    raise ValueError("merge of something that is no mapping")
+                merged = _entries(source) | merged
+        elif key.id == "scalar":
+            own[key.value] = value
+    return merged | own
+
+
+def _whole(text: str) -> int:
+    bare = text.replace("_", "")
     try:
-        doc = yaml.load(text or "", Loader=_loader())
-    except yaml.YAMLError as err:
-        return None, str(err).splitlines()[0]
-    if doc is None:
-        doc = {}
-    if not isinstance(doc, dict):
-        return None, "document is not a mapping"
-    hmc = doc.get("hmc")
-    if isinstance(hmc, dict):
-        password = hmc.pop("password", None)
-        hmc["password_set"] = bool(password) and password != PASSWORD_PLACEHOLDER
-    registry = (doc.get("services") or {}).get("registry") if isinstance(doc.get("services"), dict) else None
-    if isinstance(registry, dict):
-        registry.pop("password", None)
-    return json.dumps(doc, default=str), None
-
-
-def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = [_yaml_to_json(value) for value in batch.column("raw").to_pylist()]
-        added = [pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, *added], names=[*batch.schema.names, "_json", "_error"])
+        if bare.lstrip("+-").isdigit() and bare.lstrip("+-").startswith("0"):
+            return int(bare, 8)
+        return int(bare, 0)
+    except ValueError:
+        return int(float(bare))
+
+
+def _fit(node, kind: T.DataType, place: str):
+    """The node as a value of the wanted type; ValueError where it has another shape."""
+    if _null(node):
+        return None
+    if isinstance(kind, T.StructType) and node.id == "mapping":
+        have = _entries(node)
+        return {f.name: _fit(have[f.name], f.dataType, f"{place}.{f.name}") for f in kind.fields if f.name in have}
+    if isinstance(kind, T.MapType) and node.id == "mapping":
+        return {name: _fit(value, kind.valueType, f"{place}.{name}") for name, value in _entries(node).items()}
+    if isinstance(kind, T.ArrayType) and node.id == "sequence":
+        return [_fit(value, kind.elementType, place) for value in node.value]
+    if node.id == "scalar" and not isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
+        if isinstance(kind, T.StringType):
+            return node.value
+        word = node.value.lower()
+        if not node.style and isinstance(kind, T.BooleanType) and word in YES + NO:
+            return word in YES
+        if not node.style and isinstance(kind, T.IntegralType):
+            number = _whole(node.value)
+            if abs(number) < 2 ** (31 if isinstance(kind, T.IntegerType) else 63):
+                return number
+    raise ValueError(f"wrong type at {place.lstrip('.')}")
+
+
+def _yaml_to_json(text: str | None, schema: T.StructType) -> tuple[str | None, str | None]:
+    """One document as JSON of the schema's types, with the password replaced by a presence flag.
+
+    Whatever is wrong with a document becomes its error text.
+    """
+    try:
+        loader = _loader()(text or "")
+        try:
+            node = loader.get_single_node()
+        finally:
+            loader.dispose()
+        if node is None or _null(node):
+            return "{}", None
+        if node.id != "mapping":
+            return None, "document is not a mapping"
+        _check(node, set(), set())
+        doc = _fit(node, schema, "")
+        if isinstance(doc.get("hmc"), dict):
+            password = _entries(_entries(node)["hmc"]).get("password")
+            given = None if password is None else _fit(password, T.StringType(), "hmc.password")
+            doc["hmc"]["password_set"] = bool(given) and given != PASSWORD_PLACEHOLDER
+        return json.dumps(doc), None
+    except Exception as err:  # one bad document must not end the job
+        return None, (str(err).splitlines() or [type(err).__name__])[0]
 
 
 def parse_configs(df: DataFrame) -> DataFrame:
     """Add the parsed document to rows carrying its text in ``raw``.
 
-    A document that does not parse keeps its row, with nulls and ``_error``.
+    A document that does not parse, gives a key twice, contains itself or has a
+    value of the wrong type keeps its row, with nulls and ``_error``.
     """
+    schema = T.StructType.fromDDL(CONFIG)
     shape = T.StructType([*df.schema.fields, T.StructField("_json", T.StringType()),
                           T.StructField("_error", T.StringType())])
-    parsed = df.mapInArrow(_convert, shape)
-    doc = F.from_json("_json", T.StructType.fromDDL(CONFIG))
-    return parsed.withColumn("_doc", doc).select(*df.columns, "_doc.*", "_error")
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [_yaml_to_json(value, schema) for value in batch.column("raw").to_pylist()]
+            added = [pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "_json", "_error"])
+
+    parsed = df.mapInArrow(convert, shape)
+    return parsed.withColumn("_doc", F.from_json("_json", schema)).select(*df.columns, "_doc.*", "_error")
 
 
 def read_configs(spark: SparkSession, glob: str) -> DataFrame:

@@ -182,3 +182,19 @@ def test_snapshot_history_is_dated(spark, tmp_path):
     sinks.append_snapshot(df, f"{tmp_path}/h")
     sinks.append_snapshot(df, f"{tmp_path}/h")
     assert rows(spark.read.parquet(f"{tmp_path}/h"), F.col("snapshot_date").cast("string")) == [("2026-01-02",)] * 2
+
+
+def test_scalars_stay_as_written_and_errors_stay_in_their_row(spark):
+    good = ("openshift: {cluster_name: on, version: 4.20, cluster_network_host_prefix: 23, force_ocp_download: yes}\n"
+            "nodes: {workers: [{name: 010, mac_address: 10:20:30:40:50:55, ip: ~, system_name: '~'}]}\n")
+    bad = ["a: &x {b: *x}", "nodes: {boot_method: a, boot_method: b}", "openshift: {cluster_network_host_prefix: abc}",
+           "services: [1]", "openshift: {force_ocp_download: 'yes'}", "[1]", "a: [", "openshift: {version: {a: 1}}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([good, *bad, "", None])], "i int, raw string")
+    out = {r["i"]: r for r in documents.parse_configs(df).collect()}
+    first = out[0]
+    assert first["_error"] is None and first["openshift"]["cluster_name"] == "on" and first["openshift"]["version"] == "4.20"
+    assert first["openshift"]["cluster_network_host_prefix"] == 23 and first["openshift"]["force_ocp_download"] is True
+    worker = first["nodes"]["workers"][0]
+    assert (worker["name"], worker["mac_address"], worker["ip"], worker["system_name"]) == ("010", "10:20:30:40:50:55", None, "~")
+    assert all(out[i]["_error"] and out[i]["openshift"] is None for i in range(1, len(bad) + 1))
+    assert all(out[i]["_error"] is None for i in (len(bad) + 1, len(bad) + 2))
