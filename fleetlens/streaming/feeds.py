@@ -55,8 +55,10 @@ def collect_pending(requests: DataFrame, out: str, state: str, checkpoint: str,
     table = StateTable(spark, state, shape)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        seen = (batch.filter(~F.coalesce("has_status", F.lit(False))).groupBy(*key)
-                .agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen")))
+        # runs without a longer pause, so that the answer does not hang on how rows fall into batches
+        run = F.session_window(at, f"{delay_seconds} seconds 1 microsecond")
+        seen = (batch.filter(~F.coalesce("has_status", F.lit(False))).groupBy(*key, run)
+                .agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen")).drop("session_window").persist())
         told = table.before(batch_id)
         joined = seen.join(told.withColumnRenamed("last_seen", "_told"), key, "left")
         quiet = F.unix_micros("first_seen") - F.unix_micros("_told") > delay_seconds * 1_000_000
@@ -64,6 +66,7 @@ def collect_pending(requests: DataFrame, out: str, state: str, checkpoint: str,
         fresh.select(*key, "first_seen").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         merged = told.unionByName(seen.select(*key, "last_seen")).groupBy(*key).agg(F.max("last_seen").alias("last_seen"))
         table.write(batch_id, merged)
+        seen.unpersist()
 
     return (requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -1,5 +1,7 @@
 """Streams over split files give what one batch gives."""
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -98,3 +100,20 @@ def test_log_files_are_followed(spark, tmp_path):
     feeds.append_files(snapshots.stream_logs(spark, f"{tmp_path}/logs"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = rows(spark.read.parquet(f"{tmp_path}/out"), "cluster_name", "text")
     assert got == rows(batch, "cluster_name", "text") and len(got) == 4
+
+
+def test_pending_requests_do_not_hang_on_batches(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    at = [day + datetime.timedelta(seconds=s) for s in (0, 600, 1200, 1801, 9000)]
+    reports = [("c", "n", False, t) for t in at]
+    kind = "cluster_name string, name string, has_status boolean, ts timestamp"
+
+    def told(name, cuts):
+        place = tmp_path / name
+        for part in cuts:
+            spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{place}/in")
+            feeds.collect_pending(_follow(spark, f"{place}/in", spark.createDataFrame([], kind).schema), f"{place}/out",
+                                  f"{place}/st", f"{place}/cp").awaitTermination()
+        return [r["first_seen"] for r in spark.read.parquet(f"{place}/out").orderBy("first_seen").collect()]
+
+    assert told("one", [reports]) == told("two", [reports[:2], reports[2:4], reports[4:]]) == [at[0], at[3], at[4]]
