@@ -4,7 +4,8 @@ Unit vectors go through three rounds of random signs and a fast Hadamard
 transform; the largest coordinate and its sign name the bucket.  A table is one
 such rotation.  Queries probe the buckets of their largest coordinates in every
 table.  Buckets and the queries that probe them meet as packed tiles, where
-cosines are worked out exactly in double precision on the original vectors.
+cosines are worked out exactly in double precision on the original vectors, which travel
+in their own component type.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from fleetlens.llm.common import read, small_batches, write_and_read
 
-TABLES = 8
-PROBES = 12
+#: Few tables with many probes: each table sends every vector once, a probe only the queries.
+TABLES = 4
+PROBES = 24
 NEAREST = 5
 EVERY = 50
 #: Vectors of one tile of a bucket, and queries of one tile of probes.
@@ -81,24 +84,30 @@ def _best(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     return qs, vs, cosines(q[qs], v[vs])
 
 
+def _kind(rows: DataFrame) -> str:
+    """Component type of packed vectors: floats stay floats, which doubles hold exactly."""
+    return "<f4" if isinstance(rows.schema["v"].dataType.elementType, FloatType) else "<f8"
+
+
 def _pack(rows: DataFrame, name: str) -> DataFrame:
-    """(id, dim, bytes of the doubles) of rows (id, v)."""
+    """(id, dim, bytes of the components) of rows (id, v)."""
+    kind = _kind(rows)
     small_batches(rows.sparkSession, 1024)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({name: b[name], "dim": b["v"].map(len), "v": [np.asarray(x, "<f8").tobytes() for x in b["v"]]})
+            yield pd.DataFrame({name: b[name], "dim": b["v"].map(len), "v": [np.asarray(x, kind).tobytes() for x in b["v"]]})
 
     return rows.select(name, "v").mapInPandas(run, f"{name} long, dim int, v binary")
 
 
-def _probe(rows: DataFrame, name: str, tables: int, probes: int) -> DataFrame:
+def _probe(rows: DataFrame, name: str, kind: str, tables: int, probes: int) -> DataFrame:
     """Packed rows once for each bucket they belong to or probe."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for dim in sorted(set(b["dim"])):
                 part = b[b["dim"] == dim]
-                unit = np.frombuffer(b"".join(part["v"]), "<f8").reshape(len(part), dim)
+                unit = np.frombuffer(b"".join(part["v"]), kind).astype(float).reshape(len(part), dim)
                 unit = unit / np.abs(unit).max(axis=1, keepdims=True)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 for t in range(tables):
@@ -114,12 +123,13 @@ def _tiles(rows: DataFrame, name: str, parts: int) -> DataFrame:
             .agg(F.collect_list(F.struct(F.col(name).alias("id"), "v")).alias("rows")))
 
 
-def _meet(index: DataFrame, probes: DataFrame, keep: int) -> DataFrame:
+def _meet(index: DataFrame, probes: DataFrame, kind: str, keep: int) -> DataFrame:
     """Exact scores (q, c, score) of the best candidates of each query in each tile pair."""
     small_batches(index.sparkSession, 4)
 
     def matrix(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([r["id"] for r in rows]), np.frombuffer(b"".join(r["v"] for r in rows), "<f8").reshape(len(rows), dim)
+        v = np.frombuffer(b"".join(r["v"] for r in rows), kind).astype(float)
+        return np.array([r["id"] for r in rows]), v.reshape(len(rows), dim)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -169,26 +179,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, tables: int
     fewer than k by its buckets is compared with all vectors, in tiles.
     """
     keep = k + 1  # a query may be among its own class
-    double = F.transform("embedding", lambda x: x.cast("double"))
+    exact = vectors.schema["embedding"].dataType == ArrayType(FloatType())
+    v = F.col("embedding") if exact else F.transform("embedding", lambda x: x.cast("double"))
     named = write_and_read(vectors.filter(usable("embedding") & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("bigint").alias("vec_id"), double.alias("v")).distinct())
+        F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).distinct())
     points = write_and_read(named.groupBy("v").agg(F.min("vec_id").alias("c"), F.count_distinct("vec_id").alias("n")))
     asked = queries.select(F.col("vec_id").cast("bigint").alias("vec_id")).distinct()
     q_class = write_and_read(named.join(asked, "vec_id", "left_semi").join(points, "v").select("vec_id", "c"))
+    kind = _kind(points)
     packed = write_and_read(_pack(points, "c"))
     packed_q = packed.join(q_class.select("c").distinct(), "c", "left_semi").withColumnRenamed("c", "q")
     # were all vectors in one bucket, a tile would still hold TILE_ROWS times 16 of them at most
     parts, q_parts = -(-packed.count() // (16 * TILE_ROWS)) or 1, -(-q_class.count() // (16 * QUERY_ROWS)) or 1
     members = _members(named, points, keep)
-    found = write_and_read(_top(_meet(_tiles(_probe(packed, "c", tables, 1), "c", parts),
-                                      _tiles(_probe(packed_q, "q", tables, probes), "q", q_parts), keep), members, q_class, k))
+    found = write_and_read(_top(_meet(_tiles(_probe(packed, "c", kind, tables, 1), "c", parts),
+                                      _tiles(_probe(packed_q, "q", kind, tables, probes), "q", q_parts), kind, keep),
+                                members, q_class, k))
     counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("query_id", "vec_id")
     short = write_and_read(q_class.join(counts, "vec_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("vec_id", "c"))
     if short.isEmpty():
         return found
     one = F.lit(0).cast("bigint").alias("bucket")
     again = packed_q.join(short.select(F.col("c").alias("q")).distinct(), "q", "left_semi")
-    whole = _meet(_tiles(packed.select("*", one), "c", 16 * parts), _tiles(again.select("*", one), "q", 16 * q_parts), keep)
+    whole = _meet(_tiles(packed.select("*", one), "c", 16 * parts), _tiles(again.select("*", one), "q", 16 * q_parts), kind, keep)
     return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(
         _top(whole, members, short, k))
 
