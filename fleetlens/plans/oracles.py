@@ -605,6 +605,57 @@ select b_raw.controller_id, b_raw.cluster_name, count(rule_id) as errors, 0::big
   min(rule_id) as first_rule
 from b_raw left join o_preflight p using (cluster_name) group by 1, 2""")
 
+VIEWS["o_host"] = """
+select controller_id, cluster_name, 'R14' as rule_id, 'E' as severity, 'address ' || vip || ' is ' || case
+  when bound and held_by is not null then 'in use by cluster' when bound then 'bound on interface' else 'assigned to cluster' end
+  || ' ' || coalesce(held_by, '') as message
+from (select c.*, (select min(a.cluster_name) from o_active a where a.controller_id = c.controller_id and a.vip = c.vip
+    and a.cluster_name <> c.cluster_name) as held_by, interface = 'eth0' and exists (select 1 from b_clusters h
+    where h.cluster_id % 11 = 0 and h.controller_id % 4 <> 0 and h.controller_id = c.controller_id and h.vip = c.vip) as bound
+  from b_cfg c where lb_managed and interface <> '' and vip <> controller_ip and net_ok and vip <> '')
+where bound or held_by is not null
+union all select controller_id, cluster_name, rule_id, 'E', case rule_id when 'R17' then 'pull secret' else 'ssh key' end
+  || ' file is missing: ' || path from o_missing
+union all select controller_id, cluster_name, 'R50', 'E', 'interface is not on the host: ' || interface from b_cfg
+where interface <> '' and not (interface = 'eth0' and controller_id in (
+  select controller_id from b_clusters where cluster_id % 11 = 0 and vip <> '' and controller_id % 4 <> 0))
+union all select controller_id, cluster_name, 'R53', 'E', 'files of this name are already on the host'
+from b_clusters where cluster_id % 4 in (0, 1)
+union all select controller_id, cluster_name, 'R54', 'E', 'address already answers: ' || vip from b_cfg c
+where lb_managed and vip <> controller_ip and vip <> ''
+  and exists (select 1 from b_clusters p where p.cluster_id % 6 = 0 and p.controller_id = c.controller_id and p.vip = c.vip)
+  and not (interface = 'eth0' and exists (select 1 from b_clusters h where h.cluster_id % 11 = 0
+    and h.controller_id % 4 <> 0 and h.controller_id = c.controller_id and h.vip = c.vip))"""
+
+VIEWS["o_missing"] = ORACLES["r17_missing_paths"]
+
+VIEWS["o_inventory"] = """
+select controller_id, cluster_name, 'R60' as rule_id, 'E' as severity, case when system_id % 9 = 0
+  then 'system not found: ' || system_id else 'partition not found: ' || lpar_name || ' on ' || system_id end as message
+from b_nodes join b_clusters using (cluster_id) where system_id % 9 = 0 or (system_id + substr(lpar_name, 2)::bigint) % 4 = 0
+union all select controller_id, cluster_name, 'R61', 'E', 'partition is running: ' || lpar_name || ' on ' || system_id
+from b_nodes join b_clusters using (cluster_id) where system_id % 9 <> 0
+  and (system_id + substr(lpar_name, 2)::bigint) % 4 <> 0 and substr(lpar_name, 2)::bigint % 3 = 0
+union all select controller_id, cluster_name, 'R55', 'E', 'address already answers: ' || hostname || ' ' || ip
+from b_nodes join b_clusters using (cluster_id) where (controller_id, ip) in (
+  select (controller_id, ip) from b_nodes join b_clusters using (cluster_id) where cluster_id % 10 = 0)"""
+
+VIEWS["o_external"] = ORACLES["r64_external_rules"]
+
+oracle("r53_host_violations", "select * from o_host")
+
+oracle("r60_inventory_violations", "select * from o_inventory")
+
+oracle("a3_full_rollup", """
+with v as (select cluster_name, rule_id, 'E' as severity from o_preflight
+  union all select cluster_name, rule_id, severity from o_host
+  union all select cluster_name, rule_id, severity from o_inventory
+  union all select cluster_name, rule_id, severity from o_external)
+select b_raw.controller_id, b_raw.cluster_name, count(*) filter (where severity = 'E') as errors,
+  count(*) filter (where severity = 'W') as warnings, count(*) filter (where severity = 'E') = 0 as passed,
+  min(rule_id) filter (where severity = 'E') as first_rule
+from b_raw left join v using (cluster_name) group by 1, 2""")
+
 oracle("a3_report_pages", """
 select controller_id, (n - 1) // 3 as page, string_agg(message, ' | ' order by n) as messages from (
   select controller_id, message, row_number() over (partition by controller_id order by rule_id, message) as n

@@ -436,6 +436,56 @@ def a3_rollup(spark, sf):
         *CLUSTER, "errors", "warnings", "passed", "first_rule")
 
 
+def _host_facts(spark, sf):
+    """Holders, bound addresses, files and answering addresses of each controller; every fourth one has no interface."""
+    c = b.clusters(spark, sf)
+    k = F.col("cluster_id")
+    addrs = _host_addrs(spark, sf).filter(F.col("controller_id") % 4 != 0)
+    secrets = b.table(spark, sf, "customer").filter(F.col("c_custkey") % 3 != 0).select(
+        (F.col("c_custkey") % 50).alias("controller_id"), F.explode(F.array(
+            F.concat(F.lit("/s/"), (F.col("c_custkey") % 30).cast("string")),
+            F.concat(F.lit("/k/"), (F.col("c_custkey") % 15).cast("string")))).alias("path")).distinct()
+    artifacts = c.filter(k % 4 < 3).select("controller_id", F.when(k % 4 == 0, F.concat(
+        F.lit("/var/www/html/"), "cluster_name", F.lit("/x"))).when(k % 4 == 1, F.concat(
+            F.lit("/etc/dnsmasq.d/10-"), "cluster_name", F.lit("-dns.conf"))).otherwise(F.concat(
+                F.lit("/etc/haproxy/conf.d/99-"), "cluster_name", F.lit(".cfg"))).alias("path"))
+    ping = c.filter((k % 6 == 0) & (F.col("vip") != "")).select("controller_id", F.col("vip").alias("ip")).distinct()
+    return _holders(spark, sf), addrs, secrets.unionByName(artifacts), ping
+
+
+def _host_violations(spark, sf):
+    return reports.host_violations(b.resolved(spark, sf), *_host_facts(spark, sf))
+
+
+def _inventory_violations(spark, sf):
+    keys = b.clusters(spark, sf).select("cluster_id", *CLUSTER)
+    nodes = b.raw_nodes(spark, sf).withColumnRenamed("system_id", "system_name").join(keys, "cluster_id")
+    systems = b.table(spark, sf, "supplier").filter(F.col("s_suppkey") % 9 != 0).select(F.col("s_suppkey").alias("system_name"))
+    stock = b.lpars(spark, sf).join(systems, "system_name", "left_semi")
+    ping = nodes.filter(F.col("cluster_id") % 10 == 0).select("controller_id", "ip").distinct()
+    return reports.node_inventory_violations(nodes, systems, stock, ping)
+
+
+@query
+def r53_host_violations(spark, sf):
+    """What the hosts show against each configuration, as violations."""
+    return _host_violations(spark, sf)
+
+
+@query
+def r60_inventory_violations(spark, sf):
+    """Planned nodes against inventory and answering addresses, as violations."""
+    return _inventory_violations(spark, sf)
+
+
+@query
+def a3_full_rollup(spark, sf):
+    """Pre-flight outcome with the host, inventory and external checks."""
+    every = reports.full_preflight(b.resolved(spark, sf), _host_violations(spark, sf), _inventory_violations(spark, sf),
+                                   r64_external_rules(spark, sf))
+    return rules.rollup(every, b.resolved(spark, sf), CLUSTER).select(*CLUSTER, "errors", "warnings", "passed", "first_rule")
+
+
 @query
 def a3_report_pages(spark, sf):
     """Messages of the configuration rules, as pages of three."""
