@@ -103,8 +103,18 @@ def _pack(rows: DataFrame, name: str) -> DataFrame:
 
 def _probe(rows: DataFrame, name: str, kind: str, tables: int, probes: int) -> DataFrame:
     """Packed rows once for each bucket they belong to or probe."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the tiles of the same job ask for batches of a few rows
         for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= 1024:
+                yield pd.concat(held)
+                held = []
+        if held:
+            yield pd.concat(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in gathered(batches):
             for dim in sorted(set(b["dim"])):
                 part = b[b["dim"] == dim]
                 unit = np.frombuffer(b"".join(part["v"]), kind).astype(float).reshape(len(part), dim)
