@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.collections import listed
@@ -26,6 +26,17 @@ def _keep(df, key, order, pick) -> DataFrame:
     return best.select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
+def as_of(snapshots: DataFrame, key: Sequence[str], moment: Column, at: str = "snapshot_ts") -> DataFrame:
+    """The facts of one moment: all rows of each key's newest snapshot not after ``moment``.
+
+    ``key`` names what one snapshot covers (a controller, a system), so a fact
+    that a newer snapshot no longer lists is gone.  Rows without a time take no part.
+    """
+    seen = snapshots.filter(F.col(at) <= moment)
+    newest = seen.groupBy(*key).agg(F.max(at).alias(at))
+    return seen.join(newest, [*key, at], "left_semi").select(*snapshots.columns)
+
+
 def latest_with_attempts(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The newest run per key, with the number of runs as ``attempts``."""
     rest = [c for c in df.columns if c not in key]

@@ -948,6 +948,14 @@ select user_id as cluster_id, event_type as phase, arg_max(event_id, (ts, event_
   arg_max(case when value < 20 then 'failed' else 'success' end, (ts, event_id)) as status,
   arg_max(cast(floor(value * 1000) as bigint), (ts, event_id)) as dur_ms, count(*) as attempts from events group by 1, 2""")
 
+oracle("w3_inventory_as_of", """
+with stock as (select system_name, lpar_name, 'running' as state from b_lpars where system_name % 2 = 1
+  or system_name not in (select system_name from b_lpars where substr(lpar_name, 2)::bigint % 5 <> 0)
+  union all select system_name, lpar_name, state from b_lpars where system_name % 2 = 0 and substr(lpar_name, 2)::bigint % 5 <> 0)
+select system_id as system_name, case when state is null then 'missing' when state = 'running' then 'running' else 'ok' end
+  as verdict, count(*) as nodes, min(state) as state
+from b_nodes n left join stock s on s.system_name = n.system_id and s.lpar_name = n.lpar_name group by 1, 2""")
+
 for _name, _dir in (("w3_keep_last", "desc"), ("w3_keep_first", "asc")):
     oracle(_name, f"""
 select distinct on (cluster_id, hostname) * from b_discovered order by cluster_id, hostname, ord {_dir}""")

@@ -893,6 +893,21 @@ def w3_keep_last(spark, sf):
     return history.keep_last(b.discovered(spark, sf), ["cluster_id", "hostname"], ["ord"])
 
 
+@query
+def w3_inventory_as_of(spark, sf):
+    """Planned partitions against the inventory as it was in June: an older, a current and a later snapshot per system."""
+    p, old = b.lpars(spark, sf), F.col("system_name") % 2 == 0
+    day = F.lit("2002-01-01").cast("timestamp")
+    snaps = p.withColumns({"snapshot_ts": day, "state": F.lit("running")}).unionByName(
+        p.filter(old & (F.substring("lpar_name", 2, 20).cast("bigint") % 5 != 0)).withColumn(
+            "snapshot_ts", F.lit("2002-05-01").cast("timestamp"))).unionByName(
+                p.withColumns({"snapshot_ts": F.lit("2002-09-01").cast("timestamp"), "state": F.lit("later")}))
+    n = b.raw_nodes(spark, sf).withColumnRenamed("system_id", "system_name")
+    now = history.as_of(snaps, ["system_name"], as_of())
+    return matching.lpar_check(n, now).groupBy("system_name", "verdict").agg(
+        F.count(F.lit(1)).alias("nodes"), F.min("lpar_state").alias("state"))
+
+
 @query
 def w3_keep_first(spark, sf):
     return history.keep_first(b.discovered(spark, sf), ["cluster_id", "hostname"], ["ord"])
