@@ -640,22 +640,12 @@ union all select controller_id, cluster_name, 'R55', 'E', 'address already answe
 from b_nodes join b_clusters using (cluster_id) where (controller_id, ip) in (
   select (controller_id, ip) from b_nodes join b_clusters using (cluster_id) where cluster_id % 10 = 0)"""
 
+oracle("r60_inventory_violations", "select * from o_inventory")
+
 VIEWS["o_external"] = ORACLES["r64_external_rules"]
 
 oracle("r53_host_violations", "select * from o_host")
 
-oracle("r60_inventory_violations", "select * from o_inventory")
-
-oracle("a3_full_rollup", """
-with v as (select cluster_name, rule_id, 'E' as severity from o_preflight
-  union all select cluster_name, rule_id, severity from o_host
-  union all select cluster_name, rule_id, severity from o_inventory
-  union all select cluster_name, rule_id, severity from o_external)
-select b_raw.controller_id, b_raw.cluster_name, count(*) filter (where severity = 'E') as errors,
-  count(*) filter (where severity = 'W') as warnings, count(*) filter (where severity = 'E') = 0 as passed,
-  min(rule_id) filter (where severity = 'E') as first_rule
-from b_raw left join v using (cluster_name) group by 1, 2""")
-
 oracle("a3_report_pages", """
 select controller_id, (n - 1) // 3 as page, string_agg(message, ' | ' order by n) as messages from (
   select controller_id, message, row_number() over (partition by controller_id order by rule_id, message) as n
@@ -760,6 +750,25 @@ from need n join sockets s using (controller_id, proto, port)
 where (addr <> '10.1.0.1' or addr = own_addr) and (owner = '' or process <> owner)
   and not (n.port = 5000 and controller_id % 4 = 0)""")
 
+VIEWS["o_held"] = ORACLES["j10_port_collisions"]
+
+VIEWS["o_ports"] = """
+select controller_id, cluster_name, case when port = 53 then 'R57' when port = 5000 then 'R58' when port = 3128 then 'R59'
+  else 'R56' end as rule_id, 'E' as severity, proto || ' port ' || port || ' is held by another process' as message from o_held"""
+
+oracle("r56_port_violations", "select * from o_ports")
+
+oracle("a3_full_rollup", """
+with v as (select cluster_name, rule_id, 'E' as severity from o_preflight
+  union all select cluster_name, rule_id, severity from o_host
+  union all select cluster_name, rule_id, severity from o_inventory
+  union all select cluster_name, rule_id, severity from o_ports
+  union all select cluster_name, rule_id, severity from o_external)
+select b_raw.controller_id, b_raw.cluster_name, count(*) filter (where severity = 'E') as errors,
+  count(*) filter (where severity = 'W') as warnings, count(*) filter (where severity = 'E') = 0 as passed,
+  min(rule_id) filter (where severity = 'E') as first_rule
+from b_raw left join v using (cluster_name) group by 1, 2""")
+
 oracle("j11_stale_media", """
 with -- wanted media in any drive: mapped; every other filled drive is stale
 drive as (select vios_uuid, lpar_uuid, min(media_name) as held from b_maps where cluster_id % 4 <> 0 group by 1, 2

@@ -478,11 +478,17 @@ def r60_inventory_violations(spark, sf):
     return _inventory_violations(spark, sf)
 
 
+@query
+def r56_port_violations(spark, sf):
+    """Needed ports that another process holds, as violations."""
+    return reports.port_violations(j10_port_collisions(spark, sf))
+
+
 @query
 def a3_full_rollup(spark, sf):
-    """Pre-flight outcome with the host, inventory and external checks."""
+    """Pre-flight outcome with the host, port, inventory and external checks."""
     every = reports.full_preflight(b.resolved(spark, sf), _host_violations(spark, sf), _inventory_violations(spark, sf),
-                                   r64_external_rules(spark, sf))
+                                   r56_port_violations(spark, sf), r64_external_rules(spark, sf))
     return rules.rollup(every, b.resolved(spark, sf), CLUSTER).select(*CLUSTER, "errors", "warnings", "passed", "first_rule")
 
 
