@@ -240,6 +240,19 @@ def test_repeated_passages(spark, docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_every_passage_of_a_pair(spark):
+    one, two = prose(301, 60), prose(302, 80)
+    rows = [(1, " ".join([prose(310, 50), one, prose(311, 100), two, prose(312, 30)])),
+            (2, " ".join([prose(320, 20), one, prose(321, 100), two, prose(322, 40)])),
+            (3, " ".join([prose(330, 20), two, prose(331, 90), one, prose(332, 40)]))]
+    cut = {i: passages.shingles(t) for i, t in rows}
+    for a, b in itertools.combinations(cut, 2):
+        got = sorted(e - s for s, e, *_ in passages.common_passages(cut[a], cut[b], 47, 0.8))
+        assert got == [56, 76]
+    got = passages.repeated_passages(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
+    assert sorted(r["end"] - r["start"] for r in got) == [60, 80]
+
+
 @pytest.mark.parametrize("name", ["quality", "toxic"])
 def test_classifiers(spark, docs, empty, name):
     rows = [(i, prose(i, 50).upper() + "!!" * 30 if i % 3 == 0 and name == "quality" else
