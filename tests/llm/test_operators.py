@@ -253,6 +253,25 @@ def test_every_passage_of_a_pair(spark):
     assert sorted(r["end"] - r["start"] for r in got) == [60, 80]
 
 
+@pytest.mark.parametrize("words", [51, 55, 63, 75])
+def test_edited_passages(words):
+    """One changed word anywhere: found exactly where some pair of stretches is similar enough."""
+    least = 47
+    for at in range(words):
+        one = prose(400 + words, words).split()
+        two = [*one[:at], "edited", *one[at + 1:]]
+        a = passages.shingles(" ".join([prose(500 + at, 30), *one, prose(600 + at, 20)]))
+        b = passages.shingles(" ".join([prose(700 + at, 10), *two, prose(800 + at, 40)]))
+        want = any(len(x & y) >= 0.8 * len(x | y) for x, y in (
+            (set(a[s:s + least + w].tolist()), set(b[s - 20:s - 20 + least + w].tolist()))
+            for s in range(20, len(a) - least + 1) for w in range(0, 30, 3)))
+        got = passages.common_passages(a, b, least, 0.8)
+        assert want and len(got) == 1
+        s, e, rs, re_, j = got[0]
+        x, y = set(a[s:e].tolist()), set(b[rs:re_].tolist())
+        assert min(e - s, re_ - rs) >= least and j == len(x & y) / len(x | y) >= 0.8
+
+
 @pytest.mark.parametrize("name", ["quality", "toxic"])
 def test_classifiers(spark, docs, empty, name):
     rows = [(i, prose(i, 50).upper() + "!!" * 30 if i % 3 == 0 and name == "quality" else
