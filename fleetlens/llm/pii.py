@@ -27,8 +27,9 @@ BASE = {
 #: Words that announce a credential, and beginnings of known access keys.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "credential")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "sk_live_", "xoxb-")
-CANDIDATE = ("(?i:" + "|".join(KEYWORDS) + r")[\x20]?[=:][\x20]?+[\"']?+[A-Za-z0-9_/+-]{6,80}+|(?<![A-Za-z0-9_])(?:" + "|".join(PREFIXES)
-             + r")[A-Za-z0-9]{8,40}+|(?<![A-Za-z0-9_])(?=[A-Za-z]{0,60}+[0-9])[A-Za-z0-9]{20,64}+(?![A-Za-z0-9_])")
+# Whole secrets, however long: runs are possessive, and bare ones start where the run starts, so each is gone over once.
+CANDIDATE = ("(?i:" + "|".join(KEYWORDS) + r")[\x20]?[=:][\x20]?+[\"']?+[A-Za-z0-9_/+-]{6,}+|(?<![A-Za-z0-9_])(?:" + "|".join(PREFIXES)
+             + r")[A-Za-z0-9]{8,}+|(?<![A-Za-z0-9_])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{20,}+(?![A-Za-z0-9_])")
 LABELERS = ("pattern", "gazetteer", "context")
 CONTEXT = 24
 

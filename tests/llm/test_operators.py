@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fleetlens.llm import (chat, decontaminate, mixing, neighbours, passages, pii, quality, sharding, simhash,
                            toxicity)
@@ -140,6 +141,21 @@ def test_pii(docs, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+def test_long_secrets(spark):
+    rng = random.Random(8)
+    key = "".join(rng.choice("abcdef0123456789") for _ in range(300))
+    secrets = ["password=" + key[:120], "sk_live_" + key[:110], key[:128], "Q" * 70 + key[:30], "token: " + key * 200]
+    text = " and ".join(["start", *secrets, "end"])
+    rows = [(1, text)] + [(i, f"see password=b7db7aa4a5fcc78305 and AKIASJDZWJNP6ZRYWK{i}") for i in range(10, 40)]
+    found = pii._spans(F.col("text"), pii.CANDIDATE, F.lit(True))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = table.filter("doc_id = 1").select(F.transform(found, lambda s: s["value"]).alias("v")).first()["v"]
+    assert got == secrets
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_pii(table).collect()}[1].split(",")
+    for secret in (secrets[0], secrets[1], secrets[4]):
+        assert f"secret:{text.index(secret)}:{text.index(secret) + len(secret)}" in spans
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 16)).astype(np.float32)
