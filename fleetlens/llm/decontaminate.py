@@ -97,10 +97,26 @@ def _bitmap(wanted: DataFrame, n: int):
     return lambda w: F.getbit(F.get(table, word(w)), bit(w)) == 1
 
 
-def alignments(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+def _one_to_one(slots: Column) -> Column:
+    """Whether distinct pairs (i, d) map one to one."""
+    one = F.size(slots)
+    return (one == F.size(F.array_distinct(slots["i"]))) & (one == F.size(F.array_distinct(slots["d"])))
+
+
+def _some_run(windows: Column, need: Column) -> Column:
+    """Whether, of windows (ipos, slots), so many have unchanged slots, or so many in a row have slots that map one to one."""
+    plain = F.filter(windows, lambda w: F.forall(w["slots"], lambda s: s["i"] == s["d"]))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(windows) - need + 1, F.lit(1)))
+    return (F.size(windows) >= need) & ((F.size(plain) >= need) | let(F.array_sort(windows), lambda row: F.exists(
+        starts, lambda i: let(F.array_distinct(F.flatten(F.slice(row, i, need)["slots"])), _one_to_one))))
+
+
+def alignments(docs: DataFrame, items: DataFrame, keys: list[str], whole: bool = True) -> DataFrame:
     """Per document key, item and offset: matched windows, the item's windows, changed slots.
 
-    Only alignments long enough and with consistent slots remain.
+    Only alignments long enough and with consistent slots remain.  All slots of
+    an alignment have to be consistent, or without ``whole`` those of a part of
+    it that is long enough on its own.
     """
     bench = write_and_read(item_windows(items))
     wanted = write_and_read(bench.select("w").distinct())
@@ -119,12 +135,14 @@ def alignments(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     met = write_and_read(hits).join(bench, "w").select(
         *keys, "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "windows", pairs.alias("slots"))
     # one window of the item at most per place of the alignment: lists are as long as an item
+    parts = [] if whole else [F.collect_set(F.struct("ipos", "slots")).alias("parts")]
     lined = met.groupBy(*keys, "item_id", "shift").agg(
-        F.count_distinct("ipos").alias("matched"), F.max("windows").alias("windows"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    one = F.size("slots")
-    return (lined.filter(F.col("matched") >= F.least(F.lit(RUN), "windows"))
-            .filter((one == F.size(F.array_distinct("slots.i"))) & (one == F.size(F.array_distinct("slots.d"))))
+        F.count_distinct("ipos").alias("matched"), F.max("windows").cast("int").alias("windows"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), *parts)
+    need = F.least(F.lit(RUN), "windows")
+    right = _one_to_one(F.col("slots"))
+    return (lined.filter(F.col("matched") >= need)
+            .filter(right if whole else right | _some_run(F.col("parts"), need))
             .select(*keys, "item_id", "matched", "windows",
                     F.size(F.filter("slots", lambda s: s["i"] != s["d"])).alias("changed_slots")))
 
@@ -145,10 +163,15 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows in which an item is found; rows are told apart by their hash."""
+    """docs without the rows in which an item is found; rows are told apart by their hash.
+
+    Finds more than ``contaminated``: parts of an alignment that are long enough
+    count on their own, whatever its other slots do.
+    """
     columns = docs.columns
     keyed = docs.withColumn("_row", row_hash(docs))
-    bad = alignments(keyed.select("_row", "text"), items.select("item_id", "text"), ["_row"]).select("_row").distinct()
+    texts, bench = keyed.select("_row", "text"), items.select("item_id", "text")
+    bad = alignments(texts, bench, ["_row"], whole=False).select("_row").distinct()
     return keyed.join(write_and_read(bad), "_row", "left_anti").select(*columns)
 
 

@@ -100,6 +100,18 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, items).count() == 0
 
 
+def test_decontamination_by_parts(spark):
+    plain = prose(41, 30)
+    item = f"The first train of Maria Lopez leaves with 12 people and 12 bags. {plain} The next one waits for the rest of the day"
+    changed = [item, item.replace("12 bags", "13 bags"), "A" + item[3:], item.replace("12 people", "75 people").replace("Maria", "Anna")]
+    rows = list(enumerate([*changed, prose(42, 60), "The first train of", None]))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(table, items).collect()} == {4, 5, 6}
+    parts = decontaminate.alignments(table, items, ["doc_id"], whole=False)
+    assert {r["doc_id"] for r in parts.collect()} == {0, 1, 2, 3}
+
+
 def test_mixing(docs, empty):
     assert mixing.replicate(empty).count() == 0
     got = mixing.replicate(docs, {"src0": 1.0}, 1.0, 3.0)
