@@ -56,15 +56,15 @@ def canonical(word: Column) -> Column:
     return F.when(word.contains(_MARK), placeholder(word)).otherwise(F.btrim(word, F.lit(_SIGNS)))
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of all windows of eight canonical words, in order; pairs, fours and eights are hashed from halves."""
+def _windows(words: Column, form=canonical) -> Column:
+    """Hashes of all windows of eight words in their form, in order; pairs, fours and eights are hashed from halves."""
     def joined(apart: int, then):
         return lambda h: let(F.zip_with(h, F.slice(h, apart + 1, F.size(h)), lambda a, b: F.xxhash64(a, b)), then)
 
     def first(h: Column) -> Column:
         return F.when(F.size(h) >= WINDOW, F.slice(h, 1, F.size(h) - (WINDOW - 1)))
 
-    return let(F.transform(words, lambda t: F.xxhash64(canonical(t))), joined(1, joined(2, joined(4, first))))
+    return let(F.transform(words, lambda t: F.xxhash64(form(t))), joined(1, joined(2, joined(4, first))))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -147,6 +147,27 @@ def alignments(docs: DataFrame, items: DataFrame, keys: list[str], whole: bool =
                     F.size(F.filter("slots", lambda s: s["i"] != s["d"])).alias("changed_slots")))
 
 
+def folded_copies(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of documents that hold a run of an item's plain words, whatever their case and the signs around them."""
+    def cut(table: DataFrame, *names: str) -> DataFrame:
+        words = F.filter(F.transform(F.split(F.lower(text_of()), r"\s+"), lambda t: F.btrim(t, F.lit(_SIGNS))), lambda t: t != "")
+        return table.select(*names, _windows(words, lambda t: t).alias("ws"))
+
+    bench = cut(items, "item_id").select("item_id", F.posexplode_outer("ws").alias("ipos", "w")).filter("w is not null")
+    bench = write_and_read(bench.join(bench.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows")), "item_id"))
+    wanted = write_and_read(bench.select("w").distinct())
+    n = wanted.count()
+    maybe = _bitmap(wanted, n)
+    places = let(F.col("ws"), lambda ws: F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: maybe(F.get(ws, i))),
+        lambda i: F.struct(i.alias("pos"), F.get(ws, i).alias("w"))))
+    seen = cut(docs, *keys).select(*keys, F.explode_outer(places).alias("at")).select(*keys, "at.pos", "at.w")
+    hits = write_and_read(seen.join(F.broadcast(wanted) if n <= BROADCAST_WINDOWS else wanted, "w", "left_semi"))
+    return (hits.join(bench, "w").groupBy(*keys, "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
+            .agg(F.count_distinct("ipos").alias("matched"), F.max("windows").alias("windows"))
+            .filter(F.col("matched") >= F.least(F.lit(RUN), "windows")).select(*keys).distinct())
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it.
 
@@ -166,12 +187,14 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows in which an item is found; rows are told apart by their hash.
 
     Finds more than ``contaminated``: parts of an alignment that are long enough
-    count on their own, whatever its other slots do.
+    count on their own, whatever its other slots do, and so do verbatim copies in
+    any case, of items with few plain words too.  Items under eight words match nothing.
     """
     columns = docs.columns
     keyed = docs.withColumn("_row", row_hash(docs))
     texts, bench = keyed.select("_row", "text"), items.select("item_id", "text")
-    bad = alignments(texts, bench, ["_row"], whole=False).select("_row").distinct()
+    bad = alignments(texts, bench, ["_row"], whole=False).select("_row").unionByName(
+        folded_copies(texts, bench, ["_row"])).distinct()
     return keyed.join(write_and_read(bad), "_row", "left_anti").select(*columns)
 
 

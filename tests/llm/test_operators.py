@@ -112,6 +112,15 @@ def test_decontamination_by_parts(spark):
     assert {r["doc_id"] for r in parts.collect()} == {0, 1, 2, 3}
 
 
+def test_decontamination_in_any_case(spark):
+    item = "Maria and Jose take 3 trains from Berlin to Rome, then " + prose(51, 8)
+    title = " ".join(w.title() for w in prose(52, 16).split())
+    rows = [(1, item.upper()), (2, item.lower()), (3, "Before: " + title + " after"), (4, title.lower()), (5, prose(53, 40)), (6, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, title), (3, None)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(table, items).collect()} == {5, 6}
+
+
 def test_mixing(docs, empty):
     assert mixing.replicate(empty).count() == 0
     got = mixing.replicate(docs, {"src0": 1.0}, 1.0, 3.0)
