@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from fleetlens.llm import chat, decontaminate, mixing, neighbours, passages, pii, quality, sharding, simhash, toxicity
+from fleetlens.llm import (centroids, chat, decontaminate, mixing, neighbours, packing, passages, pii, prefixes, quality, sharding,
+                           simhash, toxicity)
 
 QUERIES = {
     "op1_role_repair": chat.op1_role_repair,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_weak_pii": pii.op8_weak_pii,
     "op9_poisson_mix": mixing.op9_poisson_mix,
     "op10_weak_toxicity": toxicity.op10_weak_toxicity,
+    "op11_geometric_drift": centroids.op11_geometric_drift,
+    "op12_tournament_packing": packing.op12_tournament_packing,
+    "op13_truncation_peeling": prefixes.op13_truncation_peeling,
 }
 
 ORACLES = {
