@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: a lambda's variable is not written out again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.collections import let
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _HEX = r"[0-9A-Fa-f]{1,4}"
@@ -25,7 +27,8 @@ def _v6_pattern() -> str:
 
 
 _V6 = _v6_pattern()
-_HOST_LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?"
+_LABEL_LETTERS = "a-zA-Z0-9-"
+_LABEL_LENGTH = 63
 
 
 def is_ipv4(ip: Column) -> Column:
@@ -62,11 +65,6 @@ def cidr_prefix(cidr: Column) -> Column:
     return F.when(is_cidr(cidr), F.substring_index(cidr, "/", -1).try_cast("int"))
 
 
-def cidr_prefix_or_24(cidr: Column) -> Column:
-    """Text after the slash, ``24`` when there is none."""
-    return F.when(F.size(F.split(cidr, "/")) == 2, F.substring_index(cidr, "/", -1)).otherwise(F.lit("24"))
-
-
 def cidr_address(cidr: Column) -> Column:
     """The address as written before the slash.  It is not masked."""
     return F.when(F.locate("/", cidr) > 1, F.substring_index(cidr, "/", 1)).otherwise(cidr)
@@ -84,45 +82,95 @@ def cidr_netmask(cidr: Column) -> Column:
         F.concat_ws(".", *[octet(i) for i in range(4)]))
 
 
+def _six_halves(ip: Column) -> Column:
+    """Both 64-bit halves of valid longer-family text: a dotted tail becomes two groups, ``::`` the zeros it stands for."""
+    tail = F.substring_index(ip, ":", -1)
+    dotted = ipv4_to_long(tail)
+    text = F.when(dotted.isNull(), ip).otherwise(F.concat(
+        F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)), F.hex(F.shiftright(dotted, 16)), F.lit(":"),
+        F.hex(dotted.bitwiseAND(0xFFFF))))
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+
+    def joined(sides: Column) -> Column:
+        left, right = groups(F.get(sides, 0)), groups(F.coalesce(F.get(sides, 1), F.lit("")))
+        zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+        return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), "")
+
+    def halves(digits: Column) -> Column:
+        word = [F.conv(F.substring(digits, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(4)]
+        return F.struct(*[F.shiftleft(word[i], 32).bitwiseOR(word[i + 1]).alias(n) for i, n in ((0, "hi"), (2, "lo"))])
+
+    return let(let(F.split(text, "::"), joined), halves)
+
+
+def _written(ip: Column) -> Column:
+    """An address as text gives it: ``wide`` tells the families apart, dotted ones fill the top 32 bits.  Null if invalid."""
+    four = ipv4_to_long(ip)
+    six = let(_six_halves(ip), lambda h: F.struct(F.lit(True).alias("wide"), h["hi"].alias("hi"), h["lo"].alias("lo")))
+    return (F.when(four.isNotNull(), F.struct(
+        F.lit(False).alias("wide"), F.shiftleft(four, 32).alias("hi"), F.lit(0).cast("bigint").alias("lo"))).when(is_ipv6(ip), six))
+
+
+def _is_mapped(at: Column) -> Column:
+    """Does longer-family text carry a dotted address?"""
+    return at["wide"] & (at["hi"] == 0) & (F.shiftrightunsigned(at["lo"], 32) == 0xFFFF)
+
+
+def _at(family: int, hi: Column, lo: Column, *bits: Column) -> Column:
+    return F.struct(F.lit(family).alias("family"), hi.alias("hi"), lo.alias("lo"), *[b.alias("bits") for b in bits])
+
+
 def network_facts(cidr: Column, prefix: str = "_net") -> dict[str, Column]:
-    """Validity, value and length of a network, to be computed once per network row."""
-    valid = is_cidr(cidr)
-    return {f"{prefix}_ok": valid, f"{prefix}_bits": cidr_prefix(cidr),
-            f"{prefix}_base": F.when(valid, ipv4_to_long(F.substring_index(cidr, "/", 1)))}
+    """Validity of a network, and its family, value and length, to be computed once per network row."""
+    valid, bits = is_cidr(cidr), cidr_prefix(cidr)
+    none = F.lit(0).cast("bigint")
+    at = let(_written(F.substring_index(cidr, "/", 1)), lambda w: (
+        F.when(_is_mapped(w) & (bits >= 96), _at(4, F.shiftleft(w["lo"], 32), none, bits - 96))
+        .when(w["wide"], _at(6, w["hi"], w["lo"], bits)).otherwise(_at(4, w["hi"], w["lo"], bits))))
+    return {f"{prefix}_ok": valid, f"{prefix}_at": F.when(valid, at)}
 
 
 def address_facts(ip: Column, prefix: str = "_ip") -> dict[str, Column]:
-    """Validity and value of an address, to be computed once per address row."""
-    return {f"{prefix}_ok": is_ip(ip), f"{prefix}_value": ipv4_to_long(ip)}
+    """Validity of an address, and its family and value, to be computed once per address row.
+
+    A dotted address written in the longer form belongs to the dotted family.
+    """
+    none, valid = F.lit(0).cast("bigint"), is_ip(ip)
+    at = let(_written(ip), lambda w: (
+        F.when(_is_mapped(w), _at(4, F.shiftleft(w["lo"], 32), none))
+        .when(w["wide"], _at(6, w["hi"], w["lo"])).otherwise(_at(4, w["hi"], w["lo"]))))
+    return {f"{prefix}_ok": valid, f"{prefix}_at": F.when(valid, at)}
 
 
 def inside(net: str = "_net", ip: str = "_ip") -> Column:
     """Is the address in the network, from the columns of the two fact functions?
 
-    True or false within one family, false across families.  Null when either is
-    invalid, or both are of the longer family, for which it is not computed.
+    False across families, null when either is invalid.
     """
-    base, value = F.col(f"{net}_base"), F.col(f"{ip}_value")
-    drop = F.lit(32) - F.col(f"{net}_bits")
-    same = F.call_function("shiftright", base, drop) == F.call_function("shiftright", value, drop)
-    known = F.col(f"{net}_ok") & F.col(f"{ip}_ok")
-    return (F.when(base.isNotNull() & value.isNotNull(), same)
-            .when(known & (base.isNotNull() | value.isNotNull()), F.lit(False)))
+    n, a = F.col(f"{net}_at"), F.col(f"{ip}_at")
+
+    def alike(half: str, first: Column) -> Column:
+        """Are the first bits of this half equal?  A shift by all 64 bits would be none."""
+        apart = n[half].bitwiseXOR(a[half])
+        return (first <= 0) | (F.call_function("shiftrightunsigned", apart, F.lit(64) - F.least(first, F.lit(64))) == 0)
+
+    same = (n["family"] == a["family"]) & alike("hi", n["bits"]) & alike("lo", n["bits"] - 64)
+    return F.when(n.isNotNull() & a.isNotNull(), same)
 
 
 def with_inside(df: DataFrame, name: str, cidr: str, ip: str) -> DataFrame:
     """Add one containment column."""
     facts = df.withColumns({**network_facts(F.col(cidr)), **address_facts(F.col(ip))})
-    return facts.withColumn(name, inside()).drop("_net_ok", "_net_bits", "_net_base", "_ip_ok", "_ip_value")
+    return facts.withColumn(name, inside()).drop("_net_ok", "_net_at", "_ip_ok", "_ip_at")
 
 
 def mac_colons(mac: Column) -> Column:
     return F.translate(F.lower(mac), "-", ":")
 
 
-def mac_dashes(mac: Column) -> Column:
-    return F.translate(F.lower(mac), ":", "-")
-
-
 def is_hostname(name: Column) -> Column:
-    return F.coalesce(name.rlike(rf"\A{_HOST_LABEL}(?:\.{_HOST_LABEL})*\z"), F.lit(False))
+    """Labels between dots: letters, digits and hyphens, no hyphen at either end, 63 characters at most."""
+    def label(x: Column) -> Column:
+        return (F.length(x).between(1, _LABEL_LENGTH) & ~x.rlike(f"[^{_LABEL_LETTERS}]") & ~x.startswith("-") & ~x.endswith("-"))
+
+    return F.coalesce(F.forall(F.split(name, r"\."), label), F.lit(False))

@@ -29,12 +29,6 @@ def human_duration(seconds: Column) -> Column:
             .otherwise(F.concat(rest.cast("string"), F.lit("s"))))
 
 
-def seconds_between(start: Column, end: Column) -> Column:
-    """Whole seconds, truncated towards zero."""
-    micros = F.unix_micros(end) - F.unix_micros(start)
-    return (F.signum(micros) * F.floor(F.abs(micros) / 1_000_000)).cast("bigint")
-
-
 def with_elapsed(df: DataFrame, as_of: Column, *, listed: str | None = None, detailed: str | None = None,
                  status: str = "status", start: str = "start_time", end: str = "end_time") -> DataFrame:
     """Add end minus start, or time so far with ``*`` while in progress, else ``N/A``.

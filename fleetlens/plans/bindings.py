@@ -329,3 +329,31 @@ def mappings(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("iso-"), _s(k % 40)).alias("media_name"),
         F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("/mnt/"), _s(k % 500))).alias("mount_point"),
         (k * 10 + n).alias("ord"))
+
+
+def wide_networks(spark: SparkSession, sf: str) -> DataFrame:
+    """A network of each cluster: longer-family ones in several forms, mapped and dotted ones."""
+    k = F.col("o_orderkey")
+    x = F.lower(F.hex(k % 16))
+    return table(spark, sf, "orders").select(
+        k.alias("cluster_id"),
+        F.when(k % 6 == 0, F.concat(F.lit("fd00:"), x, F.lit("::/32")))
+        .when(k % 6 == 1, F.concat(F.lit("2001:DB8:"), x, F.lit(":0:0:0:0:0/"), _s(k % 20 + 40)))
+        .when(k % 6 == 2, F.concat(F.lit("::ffff:10."), _s(k % 16), F.lit(".0.0/112")))
+        .when(k % 6 == 3, F.concat(F.lit("fd00::"), x, F.lit(":0/"), _s(k % 40 + 95)))
+        .when(k % 6 == 4, F.concat(F.lit("10."), _s(k % 16), F.lit(".0.0/16")))
+        .otherwise(F.concat(F.lit("fd00:"), x, F.lit("::/129"))).alias("machine_cidr"))
+
+
+def wide_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes with longer-family addresses: compressed, full, with a dotted tail, mapped, dotted and damaged ones."""
+    m = F.substring("lpar_name", 2, 20).cast("bigint")
+    x, y = F.hex(F.col("cluster_id") % 16), F.hex(m % 4096)
+    last = _s(m % 250)
+    ip = (F.when(m % 7 <= 1, F.concat(F.lit("fd00:"), x, F.lit("::"), F.lower(y)))
+          .when(m % 7 == 2, F.concat(F.lit("FD00:0:0:0:0:0:"), x, F.lit(":"), y))
+          .when(m % 7 == 3, F.concat(F.lit("2001:db8:"), x, F.lit("::10.1.2."), last))
+          .when(m % 7 == 4, F.concat(F.lit("::FFFF:10."), _s((F.col("cluster_id") + F.col("ord") % 2) % 16), F.lit(".7."), last))
+          .when(m % 7 == 5, F.concat(F.lit("10."), _s(F.col("cluster_id") % 16), F.lit(".1."), last))
+          .otherwise(F.concat(F.lit("fd00:::"), x)))
+    return nodes(spark, sf).withColumn("ip", ip)

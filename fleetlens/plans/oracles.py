@@ -594,6 +594,87 @@ union all select cluster_id, hostname, lpar_name, 'R76', 'E', 'address ' || ip |
   || (cluster_id % 16) || '.0.0/16' from s where not inside
 union all select cluster_id, hostname, lpar_name, 'R77', 'E', 'address ' || ip || ' already answers' from s where alive""")
 
+# Longer-family text as 128 characters 0 and 1; a dotted address is its mapped form, so one comparison serves both families.
+VIEWS["b_wide_nodes"] = """
+with m as (select *, substr(lpar_name, 2)::bigint as m from b_nodes),
+hexes as (select *, printf('%x', cluster_id % 16) as x, printf('%x', m % 4096) as y from m)
+select * exclude (ip, m, x, y), case
+  when m % 7 <= 1 then 'fd00:' || upper(x) || '::' || y
+  when m % 7 = 2 then 'FD00:0:0:0:0:0:' || upper(x) || ':' || upper(y)
+  when m % 7 = 3 then '2001:db8:' || upper(x) || '::10.1.2.' || (m % 250)
+  when m % 7 = 4 then '::FFFF:10.' || ((cluster_id + ord % 2) % 16) || '.7.' || (m % 250)
+  when m % 7 = 5 then '10.' || (cluster_id % 16) || '.1.' || (m % 250)
+  else 'fd00:::' || upper(x) end as ip from hexes"""
+
+VIEWS["b_wide_nets"] = """
+select k as cluster_id, case k % 6 when 0 then 'fd00:' || x || '::/32' when 1 then '2001:DB8:' || x || ':0:0:0:0:0/' || (k % 20 + 40)
+  when 2 then '::ffff:10.' || (k % 16) || '.0.0/112' when 3 then 'fd00::' || x || ':0/' || (k % 40 + 95)
+  when 4 then '10.' || (k % 16) || '.0.0/16' else 'fd00:' || x || '::/129' end as machine_cidr
+from (select o_orderkey as k, printf('%x', o_orderkey % 16) as x from orders)"""
+
+VIEWS["o_wide_texts"] = """
+select distinct t, not contains(t, ':::') and not contains(t, 'g') as ok from (
+  select ip as t from b_wide_nodes union all select string_split(machine_cidr, '/')[1] from b_wide_nets
+  union all select vip from o_wide_configs union all select gateway from o_wide_configs)"""
+
+VIEWS["o_wide_bits"] = """
+with dotted as (select t, ok, string_split(regexp_extract(t, '[0-9]+[.][0-9.]+$'), '.') as d from o_wide_texts where ok and t <> ''),
+plain as (select t, case when len(d) < 4 then lower(t) else
+  case when contains(t, ':') then lower(regexp_replace(t, '[0-9]+[.][0-9.]+$', '')) else '::ffff:' end
+  || printf('%02x%02x:%02x%02x', d[1]::int, d[2]::int, d[3]::int, d[4]::int) end as p from dotted),
+sides as (select t, list_filter(string_split(string_split(p, '::')[1], ':'), lambda g: g <> '') as l,
+  list_filter(string_split(coalesce(string_split(p, '::')[2], ''), ':'), lambda g: g <> '') as r from plain),
+digits as (select t, array_to_string(list_transform(l, lambda g: lpad(g, 4, '0')), '') || repeat('0000', 8 - len(l) - len(r))
+  || array_to_string(list_transform(r, lambda g: lpad(g, 4, '0')), '') as h from sides)
+select t, array_to_string(list_transform(range(1, 33), lambda i:
+  lpad(bin(strpos('0123456789abcdef', substr(h, i, 1)) - 1), 4, '0')), '') as bits from digits"""
+
+VIEWS["o_wide_nets"] = """
+select cluster_id, machine_cidr, bits, case when contains(machine_cidr, ':') then 0 else 96 end + n as n,
+  starts_with(bits, repeat('0', 80) || repeat('1', 16)) as four
+from (select *, string_split(machine_cidr, '/')[2]::int as n from b_wide_nets) join o_wide_bits on t = string_split(machine_cidr, '/')[1]
+where n <= 128"""
+
+VIEWS["o_wide_configs"] = """
+select controller_id, cluster_name, k, case when k % 7 = 0 then '' else 'fd00:' || case when k % 5 = 0 then '99' else printf('%x', k % 16) end
+  || '::1' end as gateway, case k % 3 when 0 then 'FD00:' || printf('%x', k % 16) || ':0:0:0:0:0:5'
+  when 1 then '::ffff:10.' || (k % 16) || '.0.9' else 'fd00::g' end as vip from b_cfg"""
+
+oracle("s8_wide_networks", """
+select n.cluster_id, n.ord, n.ip, w.machine_cidr, left(a.bits, g.n) = left(g.bits, g.n) as inside,
+  case when g.bits is not null then if(g.four, 4, 6) end::bigint as net_family, (g.n - if(g.four, 96, 0))::bigint as bits,
+  case when a.bits is not null then if(starts_with(a.bits, repeat('0', 80) || repeat('1', 16)), 4, 6) end::bigint as family
+from b_wide_nodes n join b_wide_nets w using (cluster_id) left join o_wide_nets g using (cluster_id)
+left join o_wide_bits a on a.t = n.ip""")
+
+oracle("j8_wide_outside", """
+select n.cluster_id, n.ord, n.ip, g.machine_cidr from b_wide_nodes n join o_wide_nets g using (cluster_id)
+left join o_wide_bits a on a.t = n.ip where coalesce(left(a.bits, g.n) <> left(g.bits, g.n), true)""")
+
+oracle("r09_wide_config_rules", """
+with c as (select c.*, w.machine_cidr, g.n, g.bits, gw.bits as gb, vb.bits as vb from o_wide_configs c
+  join b_wide_nets w on w.cluster_id = c.k left join o_wide_nets g on g.cluster_id = c.k
+  left join o_wide_bits gw on gw.t = c.gateway left join o_wide_bits vb on vb.t = c.vip)
+select controller_id, cluster_name, 'R02' as rule_id, 'E' as severity, 'vip is no address: ' || vip as message from c where vb is null
+union all select controller_id, cluster_name, 'R08', 'E', 'machine network is invalid: ' || machine_cidr from c where n is null
+union all select controller_id, cluster_name, 'R09', 'E', 'gateway ' || gateway || ' is outside ' || machine_cidr from c
+  where n is not null and gateway <> '' and left(gb, n) <> left(bits, n)
+union all select controller_id, cluster_name, 'R10', 'E', 'vip ' || vip || ' is outside ' || machine_cidr from c
+  where n is not null and coalesce(left(vb, n) <> left(bits, n), true)
+union all select controller_id, cluster_name, 'R11', 'E', 'gateway is empty' from c where n is not null and gateway = ''""")
+
+oracle("r76_wide_scale_rules", """
+with s as (select n.*, c.status, w.machine_cidr, g.n, g.bits, a.bits as ab, case when role = 'master' then 'masters' else 'workers' end
+    || '[' || ord || ']' as place from b_wide_nodes n join b_clusters c using (cluster_id) join b_wide_nets w using (cluster_id)
+  left join o_wide_nets g using (cluster_id) left join o_wide_bits a on a.t = n.ip)
+select cluster_id, hostname, lpar_name, 'R37' as rule_id, 'E' as severity,
+  'node ' || hostname || ' address ' || ip || ' is outside ' || machine_cidr as message from s where left(ab, n) <> left(bits, n)
+union all select cluster_id, hostname, lpar_name, 'R47', 'E', place || ' address is invalid: ' || ip from s where role = 'master' and ab is null
+union all select cluster_id, hostname, lpar_name, 'R75', 'E', 'cluster is not completed: ' || status from s where status <> 'completed'
+union all select cluster_id, hostname, lpar_name, 'R76', 'E', 'address ' || ip || ' is invalid or outside ' || machine_cidr from s
+  where ab is null or left(ab, n) <> left(bits, n)
+union all select cluster_id, hostname, lpar_name, 'R77', 'E', 'address ' || ip || ' already answers' from s where ord % 3 = 0""")
+
 VIEWS["o_preflight"] = """
 select controller_id, cluster_name, rule_id from o_config_rules
 union all select controller_id, cluster_name, rule_id from o_topology

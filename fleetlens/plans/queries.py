@@ -429,6 +429,32 @@ def r75_scale_rules(spark, sf):
     return rules.check(rules.node_facts(df), rules.scale_rules(), ["cluster_id", "hostname", "lpar_name"])
 
 
+@query
+def r09_wide_config_rules(spark, sf):
+    """Address and network rules over configurations of the longer family."""
+    k = F.col("cluster_name").cast("bigint")
+    x = F.lower(F.hex(k % 16))
+    wide = b.wide_networks(spark, sf).withColumnRenamed("machine_cidr", "_cidr")
+    df = (b.resolved(spark, sf).withColumn("cluster_id", k).join(wide, "cluster_id")
+          .withColumns({"machine_cidr": F.col("_cidr"), "gateway": F.when(k % 7 == 0, "").otherwise(F.concat(
+              F.lit("fd00:"), F.when(k % 5 == 0, "99").otherwise(x), F.lit("::1"))),
+              "vip": F.when(k % 3 == 0, F.concat(F.lit("FD00:"), x, F.lit(":0:0:0:0:0:5"))).when(k % 3 == 1, F.concat(
+                  F.lit("::ffff:10."), (k % 16).cast("string"), F.lit(".0.9"))).otherwise("fd00::g")}))
+    picked = [r for r in rules.config_rules() if r.rule_id in ("R02", "R07", "R08", "R09", "R10", "R11")]
+    return rules.check(rules.config_facts(df), picked, CLUSTER)
+
+
+@query
+def r76_wide_scale_rules(spark, sf):
+    """Node and scale rules where networks and addresses may be of the longer family."""
+    facts = b.wide_networks(spark, sf).join(b.clusters(spark, sf).select("cluster_id", "status"), "cluster_id")
+    df = b.wide_nodes(spark, sf).join(facts, "cluster_id").withColumns({
+        "alive": F.col("ord") % 3 == 0, "role_ord": F.col("ord"), "system_name": F.col("system_id").cast("string")})
+    known = rules.node_facts(df)
+    entity = ["cluster_id", "hostname", "lpar_name"]
+    return rules.check(known, [*rules.node_rules(), *rules.scale_rules()], entity)
+
+
 @query
 def a3_rollup(spark, sf):
     """Pre-flight outcome of every cluster."""
@@ -619,6 +645,13 @@ def j8_outside_network(spark, sf):
         "cluster_id", "ord", "ip", "machine_cidr")
 
 
+@query
+def j8_wide_outside(spark, sf):
+    """Nodes outside their cluster's network where either may be of the longer family; damaged addresses count as outside."""
+    return matching.outside_network(b.wide_nodes(spark, sf), b.wide_networks(spark, sf), ["cluster_id"], strict=True).select(
+        "cluster_id", "ord", "ip", "machine_cidr")
+
+
 @query
 def j9_live_conflicts(spark, sf):
     return matching.live_conflicts(b.nodes(spark, sf), b.ping(spark, sf), ()).select("cluster_id", "ord", "ip")
@@ -1116,6 +1149,16 @@ def s7_networks(spark, sf):
         net.cidr_netmask(c).alias("mask"), net.cidr_address(c).alias("address"), "inside")
 
 
+@query
+def s8_wide_networks(spark, sf):
+    """Containment and its parts for networks and addresses of both families."""
+    df = b.wide_nodes(spark, sf).select("cluster_id", "ord", "ip").join(b.wide_networks(spark, sf), "cluster_id")
+    facts = df.withColumns(net.network_facts(F.col("machine_cidr")) | net.address_facts(F.col("ip")))
+    return facts.select("cluster_id", "ord", "ip", "machine_cidr", net.inside().alias("inside"),
+                        F.col("_net_at.family").alias("net_family"), F.col("_net_at.bits").alias("bits"),
+                        F.col("_ip_at.family").alias("family"))
+
+
 @query
 def s9_names(spark, sf):
     """Hardware addresses, host names, media names, link ids and link file names of every node."""
