@@ -26,7 +26,7 @@ def expected(cidr, ip):
         whole, n = ipaddress.ip_address(address), int(bits)
     except ValueError:
         return None
-    if n > whole.max_prefixlen or parsed(ip) is None:
+    if not 0 <= n <= whole.max_prefixlen or parsed(ip) is None:
         return None
     version, value = whole.version, int(whole)
     if version == 6 and whole.ipv4_mapped and n >= 96:
