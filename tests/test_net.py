@@ -11,7 +11,7 @@ from fleetlens.functions import net
 def parsed(text):
     """Family and value; a dotted address written long is a dotted one."""
     try:
-        at = ipaddress.ip_address(text)
+        at = ipaddress.ip_address("zone" if "%" in text else text)
     except ValueError:
         return None
     if at.version == 6 and at.ipv4_mapped:
