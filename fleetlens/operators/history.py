@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.collections import listed
-from fleetlens.operators.ordered import HOT_ROWS, ordered
+from fleetlens.operators.ordered import ordered
 
 
 def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -64,15 +64,15 @@ def head_tail(df: DataFrame, group: Sequence[str], order: Sequence[str], k: int
 
 
 def config_changes(configs: DataFrame, key: Sequence[str], order: Sequence[str], raw: str = "raw",
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   slices: int | None = None) -> DataFrame:
     """Snapshots whose bytes differ from the one before (W5); comment edits count."""
     hashed = configs.withColumn("content_hash", F.sha2(F.col(raw), 256)).drop(raw)
-    seen = ordered(hashed, key, order, previous={"previous_hash": "content_hash"}, hot_rows=hot_rows)
+    seen = ordered(hashed, key, order, previous={"previous_hash": "content_hash"}, slices=slices)
     return seen.filter(F.col("previous_hash").isNotNull() & (F.col("previous_hash") != F.col("content_hash")))
 
 
 def command_deltas(commands: DataFrame, key: Sequence[str], order: Sequence[str],
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   slices: int | None = None) -> DataFrame:
     """Phases each command added, and resumes so far.
 
     A create command resumes when it started from an unfinished deployment
@@ -81,7 +81,7 @@ def command_deltas(commands: DataFrame, key: Sequence[str], order: Sequence[str]
     marked = commands.withColumns({
         "added": F.array_except(listed(F.col("phases_after")), listed(F.col("phases_before"))),
         "_r": F.coalesce(F.col("resumes"), F.lit(False)).cast("int")})
-    return ordered(marked, key, order, running={"resume_count": "_r"}, hot_rows=hot_rows).drop("_r")
+    return ordered(marked, key, order, running={"resume_count": "_r"}, slices=slices).drop("_r")
 
 
 def latest_backup(files: DataFrame, key: Sequence[str], prefix: str = "state.json.backup-") -> DataFrame:

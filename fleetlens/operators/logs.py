@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import blank
-from fleetlens.operators.ordered import HOT_ROWS, ordered
+from fleetlens.operators.ordered import ordered
 
 # Text written over a secret, the secret's element, and the
 # marks of request lines and phase headers.
@@ -94,7 +94,7 @@ def redact(df: DataFrame, text: str, tokens: Sequence[str] = (), tag: str = SESS
 
 
 def segment_log(lines: DataFrame, scope: Sequence[str] = ("cluster_name", "file"), at: str = "line_no",
-                text: str = "text", header: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                text: str = "text", header: Column | None = None, slices: int | None = None) -> DataFrame:
     """Log segments from one phase header to the next.
 
     Lines before the first header form segment 0.  Segments are summed up, not
@@ -103,7 +103,7 @@ def segment_log(lines: DataFrame, scope: Sequence[str] = ("cluster_name", "file"
     is_header = header if header is not None else F.col(text).rlike(HEADER_LINE)
     marked = lines.select(*scope, at, is_header.cast("int").alias("_h"), F.when(
         is_header, F.coalesce(F.nullif(F.regexp_extract(text, HEADER_LINE, 1), F.lit("")), F.col(text))).alias("_t"))
-    numbered = ordered(marked, list(scope), [at], running={"segment": "_h"}, hot_rows=hot_rows)
+    numbered = ordered(marked, list(scope), [at], running={"segment": "_h"}, slices=slices)
     return numbered.groupBy(*scope, "segment").agg(
         F.max("_t").alias("title"), F.min(at).alias("first_line"), F.max(at).alias("last_line"),
         F.count(F.lit(1)).alias("lines"))
@@ -121,7 +121,7 @@ def request_lines(lines: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pair_requests(requests: DataFrame, scope: Sequence[str] = ("cluster_name", "url"),
-                  order: Sequence[str] = ("at", "line_no"), at: str = "at", hot_rows: int = HOT_ROWS) -> DataFrame:
+                  order: Sequence[str] = ("at", "line_no"), at: str = "at", slices: int | None = None) -> DataFrame:
     """The n-th request to an address with its n-th reply, and the time between.
 
     Lines carry no request id.  A pair is ``ambiguous`` when another request was
@@ -129,8 +129,7 @@ def pair_requests(requests: DataFrame, scope: Sequence[str] = ("cluster_name", "
     """
     opened = F.col("kind") == "open"
     marked = requests.withColumns({"_o": opened.cast("int"), "_c": (~opened).cast("int")})
-    seen = ordered(marked, list(scope), list(order), running={"_opens": "_o", "_closes": "_c"}, hot_rows=hot_rows,
-                   coarse=list(scope)[:1])
+    seen = ordered(marked, list(scope), list(order), running={"_opens": "_o", "_closes": "_c"}, slices=slices)
     turn = F.when(F.col("kind") == "open", F.col("_opens")).otherwise(F.col("_closes"))
     pending = F.col("_opens") - F.col("_closes")
     overlap = F.when(F.col("kind") == "open", pending > 1).otherwise(pending >= 1)

@@ -1,33 +1,51 @@
 """Ordered scans (lag, lead, running sum, row number) that survive a hot group.
 
-A plain window sends a whole group to one task.  Here the group sizes are
-measured first, reading only the key columns.  Ordinary groups use the plain
-window.  Groups above ``hot_rows`` are cut into range slices that follow the
-row order, each slice is scanned on its own, and what one slice hands to the
-next (last row, sums so far) is carried through a table of one row per slice.
-Both ways give the same rows.
+A plain window sends a whole group to one task.  Here all rows are cut into
+slices that follow (group, order), so that a large group is spread over many of
+them and small ones mostly share one.  Each slice is scanned on its own, and what
+one slice hands to the next (last row, sums so far) is carried through a table
+of one row for each slice of a group that a cut goes through.  There are fewer
+cuts than slices, so that table is bounded by the number of slices.
+
+The cuts come from a sample that a hash of the row picks, worked out by a
+subquery when the plan runs: building it starts no job, and a second run cuts at
+the same places.  The path does not depend on the size of any group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.session import write_and_read
+#: Rows of the sample for each slice.
+SAMPLE = 8
 
-HOT_ROWS = 2_000_000
-BROADCAST_GROUPS = 100_000
 
+def _cuts(keys: DataFrame, slices: int) -> DataFrame:
+    """One row with an ascending array of ``slices - 1`` keys at most."""
+    picked = keys.orderBy(F.xxhash64("_scan_key")).limit(SAMPLE * slices)
+    whole = picked.agg(F.array_sort(F.collect_list("_scan_key")).alias("_keys"))
+    step = F.size("_keys") / F.lit(slices)
+    cut = F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: F.get("_keys", F.floor(i * step).cast("int")))
+    return whole.select(F.filter(cut, lambda k: k.isNotNull()))
 
-def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
-    return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
+def _placed(keyed: DataFrame, steps: int) -> DataFrame:
+    """Add how many cuts are at or below each row's key, by halving, and whether a cut next to it is in its group.
 
-def hot_groups(df: DataFrame, group: Sequence[str], hot_rows: int) -> DataFrame:
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    One projection a step keeps the search in generated code.  The row number is
+    there to be asked for by the filter on cut groups: the optimiser would else
+    move it below the search and write the search out again.
+    """
+    at = F.lit(0)
+    for step in (1 << i for i in reversed(range(steps))):
+        below = F.coalesce(F.get("_scan_cuts", at + (step - 1)) <= F.col("_scan_key"), F.lit(False))
+        keyed = keyed.withColumn("_scan_slice", at + F.when(below, step).otherwise(0))
+        at = F.col("_scan_slice")
+    near = [F.coalesce(F.get("_scan_cuts", i)["_scan_g"] == F.col("_scan_g"), F.lit(False)) for i in (at - 1, at)]
+    return keyed.withColumns({"_scan_cut": near[0] | near[1], "_scan_no": F.monotonically_increasing_id()})
 
 
 def ordered(
@@ -39,89 +57,53 @@ def ordered(
     following: Mapping[str, str] | None = None,
     running: Mapping[str, str] | None = None,
     rank: str | None = None,
-    hot_rows: int = HOT_ROWS,
-    coarse: Sequence[str] = (),
-    coarse_rows: DataFrame | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add ordered columns; ``order`` must be total within each group.
 
     ``previous`` and ``following`` map a new column to the column whose
     neighbouring value it takes, ``running`` maps a new column to the column
     summed up to and including the row, ``rank`` names a row number from 1.
-
-    ``coarse`` names fewer columns that contain the groups (over ``coarse_rows``
-    where those are cheaper to count).  When none of these is hot, no group is,
-    and the finer sizes are not measured.
+    ``slices`` is the number of shuffle partitions unless given, rounded up to a
+    power of two.  Missing values come first and form a group of their own.
     """
     previous, following, running = dict(previous or {}), dict(following or {}), dict(running or {})
-    if coarse and hot_groups(df if coarse_rows is None else coarse_rows, coarse, hot_rows).isEmpty():
-        return _plain(df, group, order, previous, following, running, rank)
-    hot = hot_groups(df, group, hot_rows)
-    size = hot.agg(F.count(F.lit(1)).alias("groups"), F.sum("_rows").alias("rows")).first()
-    if not size["groups"]:
-        return _plain(df, group, order, previous, following, running, rank)
-
-    keys = write_and_read(hot.select(*[F.col(c).alias(f"_k_{c}") for c in group]))
-    if size["groups"] <= BROADCAST_GROUPS:
-        keys = F.broadcast(keys)
-    pairs = [(c, f"_k_{c}") for c in group]
-    cold = df.join(keys, _same(df, keys, pairs), "left_anti")
-    warm = df.join(keys, _same(df, keys, pairs), "left_semi")
-    slices = max(2, 2 * -(-size["rows"] // hot_rows))
-    return _plain(cold, group, order, previous, following, running, rank).unionByName(
-        _sliced(warm, group, order, previous, following, running, rank, slices))
-
-
-def _plain(df, group, order, previous, following, running, rank) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = {name: F.lag(src).over(w) for name, src in previous.items()}
-    out |= {name: F.lead(src).over(w) for name, src in following.items()}
-    out |= {name: F.sum(src).over(upto) for name, src in running.items()}
-    if rank:
-        out[rank] = F.row_number().over(w).cast("bigint")
-    return df.withColumns(out)
-
-
-def _sliced(df, group, order, previous, following, running, rank, slices) -> DataFrame:
+    wanted = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = max(1, (wanted - 1).bit_length())
     columns = df.columns
-    cut = write_and_read(
-        df.repartitionByRange(slices, *group, *order).withColumn("_slice", F.spark_partition_id()))
+    keyed = df.withColumns({"_scan_g": F.struct(*group), "_scan_o": F.struct(*order)}).withColumn(
+        "_scan_key", F.struct("_scan_g", "_scan_o"))
+    cuts = _cuts(keyed.select("_scan_key"), 1 << steps).scalar()
+    placed = _placed(keyed.withColumn("_scan_cuts", cuts), steps).drop("_scan_cuts", "_scan_key")
 
-    at = F.struct(*order)
     last = F.struct(*[F.col(src).alias(name) for name, src in previous.items()], F.lit(1).alias("_one"))
     first = F.struct(*[F.col(src).alias(name) for name, src in following.items()], F.lit(1).alias("_one"))
-    edge = cut.groupBy(*[F.col(c).alias(f"_e_{c}") for c in group], F.col("_slice").alias("_e_slice")).agg(
-        F.count(F.lit(1)).alias("_e_rows"),
-        F.max_by(last, at).alias("_e_last"),
-        F.min_by(first, at).alias("_e_first"),
-        *[F.sum(src).alias(f"_e_sum_{name}") for name, src in running.items()])
-    # At most one row per slice and group boundary: groups + slices rows in all.
-    w = Window.partitionBy(*[f"_e_{c}" for c in group]).orderBy("_e_slice")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    edge = placed.filter("_scan_cut and _scan_no >= 0").groupBy(F.col("_scan_g").alias("_scan_eg"), F.col("_scan_slice").alias("_scan_es")).agg(
+        F.count(F.lit(1)).alias("_scan_e_rows"), F.max_by(last, "_scan_o").alias("_scan_e_last"), F.min_by(first, "_scan_o").alias("_scan_e_first"),
+        *[F.sum(src).alias(f"_scan_e_sum_{name}") for name, src in running.items()])
+    across = Window.partitionBy("_scan_eg").orderBy("_scan_es")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.select(
-        *[f"_e_{c}" for c in group], "_e_slice", "_e_rows",
-        F.coalesce(F.sum("_e_rows").over(before), F.lit(0)).alias("_e_base"),
-        F.lag("_e_last").over(w).alias("_e_prev"),
-        F.lead("_e_first").over(w).alias("_e_next"),
-        *[F.sum(f"_e_sum_{name}").over(before).alias(f"_e_sum_{name}") for name in running])
+        "_scan_eg", "_scan_es", "_scan_e_rows", F.coalesce(F.sum("_scan_e_rows").over(before), F.lit(0)).alias("_scan_e_base"),
+        F.lag("_scan_e_last").over(across).alias("_scan_e_prev"), F.lead("_scan_e_first").over(across).alias("_scan_e_next"),
+        *[F.sum(f"_scan_e_sum_{name}").over(before).alias(f"_scan_e_sum_{name}") for name in running])
 
-    local = Window.partitionBy(*group, "_slice").orderBy(*order)
+    local = Window.partitionBy(*group, "_scan_slice").orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = cut.withColumns(
-        {"_n": F.row_number().over(local)}
-        | {f"_l_{name}": F.lag(src).over(local) for name, src in previous.items()}
-        | {f"_l_{name}": F.lead(src).over(local) for name, src in following.items()}
-        | {f"_l_{name}": F.sum(src).over(upto) for name, src in running.items()})
-    joined = here.join(edge, _same(
-        here, edge, [(c, f"_e_{c}") for c in group] + [("_slice", "_e_slice")]))
-    out = {name: F.when(F.col("_n") == 1, F.col(f"_e_prev.{name}")).otherwise(F.col(f"_l_{name}"))
+    values = {"_scan_n": F.row_number().over(local)}
+    values |= {f"_scan_l_{name}": F.lag(src).over(local) for name, src in previous.items()}
+    values |= {f"_scan_l_{name}": F.lead(src).over(local) for name, src in following.items()}
+    values |= {f"_scan_l_{name}": F.sum(src).over(upto) for name, src in running.items()}
+    # two rows for each cut at most
+    joined = placed.withColumns(values).join(F.broadcast(edge), (F.col("_scan_g") == F.col("_scan_eg")) & (F.col("_scan_slice") == F.col("_scan_es")), "left")
+
+    out = {name: F.when((F.col("_scan_n") == 1) & F.col("_scan_e_rows").isNotNull(), F.col(f"_scan_e_prev.{name}")).otherwise(F.col(f"_scan_l_{name}"))
            for name in previous}
-    out |= {name: F.when(F.col("_n") == F.col("_e_rows"), F.col(f"_e_next.{name}")).otherwise(F.col(f"_l_{name}"))
+    out |= {name: F.when(F.col("_scan_n") == F.col("_scan_e_rows"), F.col(f"_scan_e_next.{name}")).otherwise(F.col(f"_scan_l_{name}"))
             for name in following}
     for name in running:
-        base, mine = F.col(f"_e_sum_{name}"), F.col(f"_l_{name}")
+        base, mine = F.col(f"_scan_e_sum_{name}"), F.col(f"_scan_l_{name}")
         out[name] = F.when(base.isNull(), mine).when(mine.isNull(), base).otherwise(base + mine)
     if rank:
-        out[rank] = (F.col("_n") + F.col("_e_base")).cast("bigint")
+        out[rank] = (F.col("_scan_n") + F.coalesce("_scan_e_base", F.lit(0))).cast("bigint")
     return joined.select(*columns, *[value.alias(name) for name, value in out.items()])

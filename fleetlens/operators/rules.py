@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.net import address_facts, inside, network_facts
 from fleetlens.functions.text import blank, kb_to_gb
-from fleetlens.operators.ordered import HOT_ROWS, ordered
+from fleetlens.operators.ordered import ordered
 
 # Limits and placeholders.
 DISK_GB = 10.0
@@ -181,15 +181,15 @@ _DUPLICATES = {"R34": ("ip", "address"), "R35": ("hostname", "hostname"), "R36":
 
 
 def duplicates(df: DataFrame, scope: Sequence[str], key: str, order: Sequence[str], label: str,
-               hot_rows: int = HOT_ROWS) -> DataFrame:
+               slices: int | None = None) -> DataFrame:
     """Rows that repeat a key within a scope, with the previous holder's label."""
     seen = ordered(df, [*scope, key], list(order), previous={"previous_holder": label}, rank="occurrence",
-                   hot_rows=hot_rows, coarse=scope)
+                   slices=slices)
     return seen.filter(F.col("occurrence") > 1)
 
 
 def duplicate_rules(nodes: DataFrame, scope: Sequence[str], order: Sequence[str] = ("ord",),
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    slices: int | None = None) -> DataFrame:
     """R34-R36 in one ordered scan: each node offers its three keys.
 
     Empty text counts as equal, and partitions are compared without their system.
@@ -198,7 +198,7 @@ def duplicate_rules(nodes: DataFrame, scope: Sequence[str], order: Sequence[str]
                                         F.col(col).alias("_key")) for rid, (col, text) in _DUPLICATES.items()]))
     offered = nodes.select(*scope, *[c for c in order if c not in scope], "hostname", kinds)
     seen = ordered(offered, [*scope, "rule_id", "_key"], list(order), previous={"_prev": "hostname"}, rank="_n",
-                   hot_rows=hot_rows, coarse=scope, coarse_rows=nodes)
+                   slices=slices)
     text = F.concat(F.lit("duplicate "), F.col("_kind"), F.lit(" "), F.col("_key"), F.lit(": "),
                     F.col("_prev"), F.lit(", "), F.col("hostname"))
     return seen.filter(F.col("_n") > 1).select(
@@ -310,9 +310,9 @@ def rollup(violations: DataFrame, entities: DataFrame, entity: Sequence[str]) ->
 
 
 def report_pages(violations: DataFrame, entity: Sequence[str], per_page: int = 500,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 slices: int | None = None) -> DataFrame:
     """All messages of an entity as ordered pages of bounded size."""
-    numbered = ordered(violations, list(entity), ["severity", "rule_id", "message"], rank="_n", hot_rows=hot_rows)
+    numbered = ordered(violations, list(entity), ["severity", "rule_id", "message"], rank="_n", slices=slices)
     paged = numbered.withColumn("page", F.floor((F.col("_n") - 1) / per_page))
     return paged.groupBy(*entity, "page").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_n", "message"))), lambda s: s["message"]).alias("messages"))

@@ -28,7 +28,7 @@ def test_networks(spark):
         ("10.0.0.0/33", "10.0.0.1"), ("10.0.0.0/8", "::1"), ("fd00::/8", "fd00::1"), ("10.0.0.0/8", "x")],
         "c string, i string")
     got = [r["inside"] for r in net.with_inside(df, "inside", "c", "i").collect()]
-    assert got == [True, False, True, True, None, False, None, None]
+    assert got == [True, False, True, True, None, False, True, None]
     masks = values(column(spark, ["10.0.0.0/20", "10.0.0.0/0", "bad"]), net.cidr_netmask(F.col("x")))
     assert masks == ["255.255.240.0", "0.0.0.0", "255.255.255.0"]
 
@@ -195,7 +195,7 @@ def test_segments_and_blocks(spark):
                                "cluster_name string, file string, line_no int, text string")
     got = rows(logs.segment_log(df), "segment", "title", "first_line", "last_line", "lines")
     assert got == [(0, None, 0, 0, 1), (1, "one", 1, 2, 2), (2, "TOOL OUTPUT", 3, 5, 3), (3, "two", 6, 6, 1)]
-    assert got == rows(logs.segment_log(df, hot_rows=2), "segment", "title", "first_line", "last_line", "lines")
+    assert got == rows(logs.segment_log(df, slices=7), "segment", "title", "first_line", "last_line", "lines")
 
 
 def test_pairs_flag_overlap(spark):
