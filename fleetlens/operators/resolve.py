@@ -185,7 +185,17 @@ def explode_nodes(flat: DataFrame, *keep: str) -> DataFrame:
     Exactly one master means a single-node cluster: that node alone, role ``sno``.
     """
     keep = keep or ("controller_id", "cluster_name")
+    each = flat.select(*keep, F.posexplode(node_entries()).alias("ord", "n"))
+    return each.select(
+        *keep, "ord", "n.role", "n.role_ord",
+        blank(F.col("n.node.name")).alias("hostname"), blank(F.col("n.node.ip")).alias("ip"),
+        blank(F.col("n.node.existing_lpar_name")).alias("lpar_name"),
+        blank(F.col("n.node.system_name")).alias("system_name"),
+        blank(F.col("n.node.mac_address")).alias("mac"))
+
 
+def node_entries() -> Column:
+    """A document's nodes in order, as an array of (role, role_ord, node)."""
     def tagged(role: str, label: str) -> Column:
         return F.transform(F.col(role), lambda n, i: F.struct(
             F.lit(label).alias("role"), i.alias("role_ord"), n.alias("node")))
@@ -193,13 +203,7 @@ def explode_nodes(flat: DataFrame, *keep: str) -> DataFrame:
     single = F.transform(F.slice("masters", 1, 1), lambda n, i: F.struct(
         F.lit("sno").alias("role"), i.alias("role_ord"), n.alias("node")))
     many = F.concat(tagged("bootstrap", "bootstrap"), tagged("masters", "master"), tagged("workers", "worker"))
-    each = flat.select(*keep, F.posexplode(F.when(is_single_node(), single).otherwise(many)).alias("ord", "n"))
-    return each.select(
-        *keep, "ord", "n.role", "n.role_ord",
-        blank(F.col("n.node.name")).alias("hostname"), blank(F.col("n.node.ip")).alias("ip"),
-        blank(F.col("n.node.existing_lpar_name")).alias("lpar_name"),
-        blank(F.col("n.node.system_name")).alias("system_name"),
-        blank(F.col("n.node.mac_address")).alias("mac"))
+    return F.when(is_single_node(), single).otherwise(many)
 
 
 def cluster_labels(flat: DataFrame, readable: Column | None = None) -> DataFrame:

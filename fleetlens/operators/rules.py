@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.collections import let
 from fleetlens.functions.net import address_facts, inside, network_facts
 from fleetlens.functions.text import blank, kb_to_gb
 from fleetlens.operators.ordered import ordered
@@ -39,12 +40,16 @@ def rule(rule_id: str, when: Column, *message: Column | str, severity: str = "E"
     return Rule(rule_id, when, F.concat(*[F.coalesce(p, F.lit("")) for p in parts]), severity)
 
 
-def check(df: DataFrame, rules: Iterable[Rule], entity: Sequence[str]) -> DataFrame:
-    """Violations as ``entity..., rule_id, severity, message`` rows, in one pass."""
+def check(df: DataFrame, rules: Iterable[Rule], entity: Sequence[str], *more: Column) -> DataFrame:
+    """Violations as ``entity..., rule_id, severity, message`` rows, in one pass.
+
+    ``more`` are arrays of (rule_id, severity, message) that a row has besides.
+    """
     hits = [F.when(F.coalesce(r.when, F.lit(False)), F.struct(
         F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), r.message.alias("message")))
         for r in rules]
-    return df.select(*entity, F.inline(F.array_compact(F.array(*hits))))
+    found = F.array_compact(F.array(*hits))
+    return df.select(*entity, F.inline(F.concat(found, *more) if more else found))
 
 
 def _empty(name: str) -> Column:
@@ -188,6 +193,30 @@ def duplicates(df: DataFrame, scope: Sequence[str], key: str, order: Sequence[st
     return seen.filter(F.col("occurrence") > 1)
 
 
+def document_duplicates(nodes: Column) -> Column:
+    """R34-R36 within one document, as an array of violations; ``nodes`` are its ``node_entries``.
+
+    Each of the three keys is sorted with the node's place, so that repeats are
+    neighbours: a document of n nodes costs n log n and no row leaves it.
+    """
+    def repeats(rid: str, field: str, kind: str) -> Column:
+        place = F.transform(nodes, lambda n, i: F.struct(
+            blank(n["node"][field]).alias("key"), i.alias("ord"), blank(n["node"]["name"]).alias("hostname")))
+
+        def twice(s: Column) -> Column:
+            same = F.filter(F.transform(s, lambda n, i: F.struct(
+                n.alias("n"), F.get(s, i - 1).alias("before"))), lambda p: p["n"]["key"] == p["before"]["key"])
+            return F.transform(same, lambda p: F.struct(
+                F.lit(rid).alias("rule_id"), F.lit("E").alias("severity"), F.concat(
+                    F.lit(f"duplicate {kind} "), p["n"]["key"], F.lit(": "), p["before"]["hostname"], F.lit(", "),
+                    p["n"]["hostname"]).alias("message")))
+
+        return let(F.array_sort(place), twice)
+
+    fields = {"ip": "ip", "hostname": "name", "lpar_name": "existing_lpar_name"}
+    return F.concat(*[repeats(rid, fields[col], kind) for rid, (col, kind) in _DUPLICATES.items()])
+
+
 def duplicate_rules(nodes: DataFrame, scope: Sequence[str], order: Sequence[str] = ("ord",),
                     slices: int | None = None) -> DataFrame:
     """R34-R36 in one ordered scan: each node offers its three keys.
@@ -292,20 +321,24 @@ def scale_rules() -> list[Rule]:
     ]
 
 
+_FOUND = ("rule_id", "severity", "message")
+
+
 def rollup(violations: DataFrame, entities: DataFrame, entity: Sequence[str]) -> DataFrame:
     """Error and warning counts per entity; an entity passes when it has no errors (A3).
 
     Entities without violations are kept.  Counting reduces inside map tasks, so
     an entity with very many violations costs no more than any other.
     """
-    counts = violations.groupBy(*entity).agg(
+    # each entity adds a row without a rule, so that one shuffle counts and keeps
+    own = entities.select(*entity, F.lit(True).alias("_own"), *[F.lit(None).cast("string").alias(c) for c in _FOUND])
+    counts = violations.select(*entity, F.lit(False).alias("_own"), *_FOUND).unionByName(own).groupBy(*entity).agg(
+        F.bool_or("_own").alias("_own"),
         F.count_if(F.col("severity") == "E").alias("errors"),
         F.count_if(F.col("severity") == "W").alias("warnings"),
         F.min(F.when(F.col("severity") == "E", F.struct("rule_id", "message"))).alias("_first"))
-    joined = entities.select(*entity).join(counts, list(entity), "left")
-    return joined.select(
-        *entity, F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"),
-        (F.coalesce("errors", F.lit(0)) == 0).alias("passed"), F.col("_first.rule_id").alias("first_rule"),
+    return counts.filter("_own").select(
+        *entity, "errors", "warnings", (F.col("errors") == 0).alias("passed"), F.col("_first.rule_id").alias("first_rule"),
         F.col("_first.message").alias("first_message"))
 
 

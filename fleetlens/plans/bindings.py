@@ -167,7 +167,9 @@ def flat(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.flatten(configs(spark, sf))
 
 
+@_stored
 def resolved(spark: SparkSession, sf: str) -> DataFrame:
+    """Configurations with their defaults, resolved once as a collector would."""
     return resolve.resolve_defaults(flat(spark, sf))
 
 

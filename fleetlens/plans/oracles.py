@@ -839,17 +839,6 @@ select controller_id, cluster_name, case when port = 53 then 'R57' when port = 5
 
 oracle("r56_port_violations", "select * from o_ports")
 
-oracle("a3_full_rollup", """
-with v as (select cluster_name, rule_id, 'E' as severity from o_preflight
-  union all select cluster_name, rule_id, severity from o_host
-  union all select cluster_name, rule_id, severity from o_inventory
-  union all select cluster_name, rule_id, severity from o_ports
-  union all select cluster_name, rule_id, severity from o_external)
-select b_raw.controller_id, b_raw.cluster_name, count(*) filter (where severity = 'E') as errors,
-  count(*) filter (where severity = 'W') as warnings, count(*) filter (where severity = 'E') = 0 as passed,
-  min(rule_id) filter (where severity = 'E') as first_rule
-from b_raw left join v using (cluster_name) group by 1, 2""")
-
 oracle("j11_stale_media", """
 with -- wanted media in any drive: mapped; every other filled drive is stale
 drive as (select vios_uuid, lpar_uuid, min(media_name) as held from b_maps where cluster_id % 4 <> 0 group by 1, 2
@@ -977,6 +966,32 @@ select cluster_id, system_name, need_mb, target_vg, case when not ok then 'W no
   when size_mb = 0 and target_vg is not null then 'create' when size_mb = 0 then 'R63'
   when free_mb < need_mb then 'R62' else 'ok' end as verdict from x""")
 
+VIEWS["o_capacity"] = ORACLES["a1_capacity"]
+VIEWS["o_disk"] = ORACLES["r51_disk_rules"]
+
+VIEWS["o_media"] = """
+select controller_id, cluster_name, case verdict when 'R63' then 'R63' else 'R62' end as rule_id,
+  case when verdict like 'R%' then 'E' else 'W' end as severity,
+  case verdict when 'R62' then 'media repository is full on ' || system_name || ', needed MB: ' || need_mb
+    when 'R63' then 'no volume group for a media repository on ' || system_name
+    else 'media repository is not checked on ' || system_name end as message
+from o_capacity join b_clusters using (cluster_id) where verdict not in ('ok', 'create') and cluster_id % 3 = 0"""
+
+oracle("r62_capacity_violations", "select * from o_media")
+
+oracle("a3_full_rollup", """
+with v as (select cluster_name, rule_id, 'E' as severity from o_preflight
+  union all select cluster_name, rule_id, severity from o_host
+  union all select cluster_name, rule_id, severity from o_disk
+  union all select cluster_name, rule_id, severity from o_inventory
+  union all select cluster_name, rule_id, severity from o_media
+  union all select cluster_name, rule_id, severity from o_ports
+  union all select cluster_name, rule_id, severity from o_external)
+select b_raw.controller_id, b_raw.cluster_name, count(*) filter (where severity = 'E') as errors,
+  count(*) filter (where severity = 'W') as warnings, count(*) filter (where severity = 'E') = 0 as passed,
+  min(rule_id) filter (where severity = 'E') as first_rule
+from b_raw left join v using (cluster_name) group by 1, 2""")
+
 oracle("a2_topology", """
 select cluster_id, count(*) as nodes, count(*) filter (role = 'master') as masters,
   count(*) filter (role = 'worker') as workers, 0::bigint as bootstraps from b_nodes group by 1""")

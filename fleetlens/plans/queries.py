@@ -201,7 +201,7 @@ def snk2_snapshots(spark, sf):
 
 @query
 def p1_resolve_defaults(spark, sf):
-    return b.resolved(spark, sf).select(
+    return resolve.resolve_defaults(b.flat(spark, sf)).select(
         *CLUSTER, "isolation", "release_type", "vip", "release_image", "registry_image", "registry_repo",
         "registry_user", "client_url", "installer_url", "mirror_url", "kernel_url", "initramfs_url", "rootfs_url",
         "cluster_cidr", "host_prefix", "service_network")
@@ -371,13 +371,17 @@ def r50_absent_interfaces(spark, sf):
     return matching.absent_interfaces(b.resolved(spark, sf), have).select(*CLUSTER, "interface")
 
 
-@query
-def r51_disk_rules(spark, sf):
+def _disk_violations(spark, sf):
     df = b.resolved(spark, sf).withColumns({
         "_k": F.col("cluster_name").cast("bigint")}).withColumns({
             "web_avail_kb": F.when(F.col("_k") % 13 != 0, F.col("_k") * 1000),
             "registry_avail_kb": F.when(F.col("_k") % 17 != 0, F.col("_k") * 5000)})
-    return rules.check(df, rules.disk_rules(), CLUSTER).select(*CLUSTER, "rule_id", "severity")
+    return rules.check(df, rules.disk_rules(), CLUSTER)
+
+
+@query
+def r51_disk_rules(spark, sf):
+    return _disk_violations(spark, sf).select(*CLUSTER, "rule_id", "severity")
 
 
 @query
@@ -510,10 +514,18 @@ def r56_port_violations(spark, sf):
     return reports.port_violations(j10_port_collisions(spark, sf))
 
 
+@query
+def r62_capacity_violations(spark, sf):
+    """Media space of clusters that boot from media, as violations."""
+    keys = b.clusters(spark, sf).select("cluster_id", *CLUSTER)
+    return reports.capacity_violations(b.resolved(spark, sf), _capacity(spark, sf).join(keys, "cluster_id"))
+
+
 @query
 def a3_full_rollup(spark, sf):
-    """Pre-flight outcome with the host, port, inventory and external checks."""
-    every = reports.full_preflight(b.resolved(spark, sf), _host_violations(spark, sf), _inventory_violations(spark, sf),
+    """Pre-flight outcome with the host, disk, port, inventory, capacity and external checks."""
+    every = reports.full_preflight(b.resolved(spark, sf), _host_violations(spark, sf), _disk_violations(spark, sf),
+                                   _inventory_violations(spark, sf), r62_capacity_violations(spark, sf),
                                    r56_port_violations(spark, sf), r64_external_rules(spark, sf))
     return rules.rollup(every, b.resolved(spark, sf), CLUSTER).select(*CLUSTER, "errors", "warnings", "passed", "first_rule")
 
@@ -824,15 +836,18 @@ def a1_media_need(spark, sf):
     return capacity.media_need(b.raw_nodes(spark, sf), ["cluster_id"], "system_id")
 
 
-@query
-def a1_capacity(spark, sf):
-    """Verdict on media space per cluster and system."""
+def _capacity(spark, sf):
     need = capacity.media_need(b.raw_nodes(spark, sf).withColumnRenamed("system_id", "system_name"), ["cluster_id"])
     vgs = b.vgs(spark, sf).withColumn("vios_uuid", F.explode(F.transform(
         F.array(F.lit("0"), F.lit("1"), F.lit("2")),
         lambda o: F.concat(F.lit("v"), F.col("system_name").cast("string"), F.lit("-"), o)))).drop("system_name")
-    return capacity.capacity(need, b.vios(spark, sf), b.repos(spark, sf), vgs, ("cluster_id", "system_name")).select(
-        "cluster_id", "system_name", "need_mb", "target_vg", "verdict")
+    return capacity.capacity(need, b.vios(spark, sf), b.repos(spark, sf), vgs, ("cluster_id", "system_name"))
+
+
+@query
+def a1_capacity(spark, sf):
+    """Verdict on media space per cluster and system."""
+    return _capacity(spark, sf).select("cluster_id", "system_name", "need_mb", "target_vg", "verdict")
 
 
 @query
