@@ -8,7 +8,10 @@ binding is a projection of whole tables, so work grows with them.
 from __future__ import annotations
 
 import functools
+import posixpath
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from fleetlens.operators import resolve
 from fleetlens.operators.ordered import ordered
 from fleetlens.schemas import NODE
 from fleetlens.session import scratch_dir
+from fleetlens.sources.listing import open_store
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
@@ -54,6 +58,55 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def _put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            store, place = open_store(path)
+            store.create_dir(posixpath.dirname(place))
+            if content is not None:
+                with store.open_output_stream(place) as out:
+                    out.write(content.encode())
+        yield batch.select(["path"])
+
+
+def put_files(files: DataFrame) -> None:
+    """Write small files (path, content) from tasks, dot files among them; one without content makes its folder only."""
+    files.select("path", "content").mapInArrow(_put, "path string").agg(F.count("path")).collect()
+
+
+def fleet_folders(spark: SparkSession, sf: str) -> str:
+    """A folder a customer with its marker files, written once a session; some hold one dot file alone, some none."""
+    key = (spark.sparkContext.applicationId, sf, "fleet")
+    if key in _STORED:
+        return _STORED[key]
+    root = f"{scratch_dir(spark)}/fleet"
+    k = F.col("c_custkey")
+    lock = F.when(k % 5 == 0, "garbage").otherwise(F.concat(
+        F.lit("Locked at: 2024-03-0"), _s(k % 9 + 1), F.lit("T10:00:00+02:00\nPID: "), _s(k), F.lit("\n")))
+    files = F.array(
+        F.struct(F.when(k % 3 != 0, "config.yaml").alias("name"), F.concat(F.lit("n: "), _s(k)).alias("content")),
+        F.struct(F.when(k % 2 == 0, ".managed").alias("name"), F.lit("").alias("content")),
+        F.struct(F.when(k % 7 == 0, ".failed").alias("name"), F.lit("").alias("content")),
+        F.struct(F.when(k % 11 == 0, ".deleted").alias("name"), F.lit("").alias("content")),
+        F.struct(F.when(k % 6 == 0, ".lock").alias("name"), lock.alias("content")),
+        F.struct(F.lit("").alias("name"), F.lit(None).cast("string").alias("content")))
+    each = spread(table(spark, sf, "customer")).select(k, F.explode(files).alias("f")).filter("f.name is not null")
+    put_files(each.select(F.concat(F.lit(f"{root}/c"), _s(k), F.lit("/"), "f.name").alias("path"), "f.content"))
+    _STORED[key] = root
+    return root
+
+
+def log_folder(spark: SparkSession, sf: str) -> str:
+    """Every line of every document as plain log files, one folder a source, in order of document and line."""
+    key = (spark.sparkContext.applicationId, sf, "logs")
+    if key not in _STORED:
+        path = f"{scratch_dir(spark)}/logs"
+        (log_lines(spark, sf).repartition("cluster_name").sortWithinPartitions("cluster_name", "doc_id", "pos")
+         .select("cluster_name", "line").write.partitionBy("cluster_name").text(path))
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def _s(col: Column) -> Column:
     return col.cast("string")
 

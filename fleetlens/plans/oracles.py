@@ -235,6 +235,29 @@ select cluster_id, case when cluster_id % 5 <> 0 then cluster_id end as lock_pid
 
 oracle("src5_logs", "select doc_id, pos, line from b_lines")
 
+VIEWS["o_file_lines"] = """
+select cluster_name, row_number() over (partition by cluster_name order by doc_id, pos) as line_no, line from b_lines"""
+
+oracle("src3_listed_markers", """
+select 'c' || c_custkey as cluster_name, c_custkey % 2 = 0 as managed, c_custkey % 7 = 0 as failed,
+  c_custkey % 11 = 0 as deleted, c_custkey % 6 = 0 as locked from customer""")
+
+oracle("src4_listed_locks", """
+select 'c' || c_custkey as cluster_name, case when c_custkey % 5 <> 0 then c_custkey end as lock_pid,
+  case when c_custkey % 5 <> 0 then epoch(timestamp '2024-03-01 08:00:00')::bigint + (c_custkey % 9) * 86400 end as lock_time,
+  true as dated from customer where c_custkey % 6 = 0""")
+
+oracle("src5_numbered_logs", "select cluster_name, line_no, md5(line) as digest from o_file_lines")
+oracle("src6_followed_logs", "select cluster_name, line_no, md5(line) as digest from o_file_lines")
+oracle("src10_listed_files", """
+select 'c' || c_custkey as cluster_name, 'config.yaml' as file, len('n: ' || c_custkey)::bigint as length, true as dated
+from customer where c_custkey % 3 <> 0""")
+
+oracle("w7_segments_of_files", r"""
+select cluster_name, segment, min(line_no) as first_line, max(line_no) as last_line, count(*) as lines from (
+  select cluster_name, line_no, count(*) filter (regexp_matches(line, '^[A-Z].*\.$'))
+    over (partition by cluster_name order by line_no) as segment from o_file_lines) group by 1, 2""")
+
 oracle("src7_manifests", r"""
 select doc_id, pos, parts[1] as hash, parts[-1] as name from (
   select doc_id, pos, string_split(trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), ' ') as parts

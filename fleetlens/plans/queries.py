@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from fleetlens.functions import net, text, times
 from fleetlens.functions.collections import append_absent, first_match, map_put
 from fleetlens.operators import capacity, desired, history, logs, matching, planning, resolve, rules
+from fleetlens.operators.ordered import ordered
 from fleetlens.plans import bindings as b
 from fleetlens.plans import reports
 from fleetlens.session import scratch_dir
@@ -120,6 +121,54 @@ def src5_logs(spark, sf):
     return b.log_lines(spark, sf).select("doc_id", "pos", "line")
 
 
+@query
+def src3_listed_markers(spark, sf):
+    """Marker flags of folders on storage; some hold a dot file alone, some nothing."""
+    return documents.read_markers(spark, b.fleet_folders(spark, sf))
+
+
+@query
+def src4_listed_locks(spark, sf):
+    """Lock files beside the documents, read back."""
+    out = documents.read_locks(spark, b.fleet_folders(spark, sf))
+    return out.select("cluster_name", "lock_pid", F.unix_timestamp("lock_time").alias("lock_time"),
+                      F.col("modified_at").isNotNull().alias("dated"))
+
+
+@query
+def src5_numbered_logs(spark, sf):
+    """Lines of plain log files with the number each has in its file."""
+    out = snapshots.read_logs_in_order(spark, b.log_folder(spark, sf))
+    return out.select(F.substring_index("cluster_name", "=", -1).alias("cluster_name"), "line_no", F.md5("text").alias("digest"))
+
+
+@query
+def src6_followed_logs(spark, sf):
+    """The same files followed as a stream, ordered by the place of each line."""
+    root, out = b.log_folder(spark, sf), scratch_dir(spark)
+    stream = snapshots.follow_logs(spark, root).select("cluster_name", "file", "at", F.md5("text").alias("digest"))
+    feeds.append_files(stream, out, scratch_dir(spark)).awaitTermination()
+    numbered = ordered(spark.read.parquet(out), ["file"], ["at"], rank="line_no")
+    return numbered.select(F.substring_index("cluster_name", "=", -1).alias("cluster_name"), "line_no", "digest")
+
+
+@query
+def src10_listed_files(spark, sf):
+    """Files that Spark lists below the fleet's folders, without their bodies."""
+    out = snapshots.read_files(spark, b.fleet_folders(spark, sf))
+    return out.select(documents.folder_of(F.col("path")).alias("cluster_name"),
+                      documents.folder_of(F.col("path"), 0).alias("file"), "length", F.col("mtime").isNotNull().alias("dated"))
+
+
+@query
+def w7_segments_of_files(spark, sf):
+    """Log files cut at upper-case lines that end in a full stop, by the number of each line."""
+    lines = snapshots.read_logs_in_order(spark, b.log_folder(spark, sf))
+    header = F.col("text").rlike(r"^[A-Z].*\.$")
+    out = logs.segment_log(lines, ("cluster_name", "file"), header=header)
+    return out.select(F.substring_index("cluster_name", "=", -1).alias("cluster_name"), "segment", "first_line", "last_line", "lines")
+
+
 @query
 def src7_manifests(spark, sf):
     """Every log line read as a manifest line: first field and last field."""

@@ -7,11 +7,8 @@ controller.
 
 from __future__ import annotations
 
-import datetime
 import functools
 import json
-import os
-import urllib.parse
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +18,7 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.times import parse_rfc3339
 from fleetlens.schemas import CONFIG, STATE
+from fleetlens.sources.listing import list_folders
 
 # The placeholder password of the sample documents, and the names
 # of the marker files.
@@ -201,45 +199,10 @@ def marker_flags(files: DataFrame) -> DataFrame:
     return named.groupBy("cluster_name").agg(*flags)
 
 
-_FOLDER_FACTS = ("cluster_name STRING, managed BOOLEAN, failed BOOLEAN, deleted BOOLEAN, locked BOOLEAN, "
-                 "modified_at TIMESTAMP, content STRING")
-
-
-def _folder_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Look for marker files next to each given document; read the small lock file."""
-    shape = pa.schema([("cluster_name", pa.string()), *[(flag, pa.bool_()) for flag in MARKERS],
-                       ("modified_at", pa.timestamp("us", tz="UTC")), ("content", pa.string())])
-    for batch in batches:
-        out = []
-        for folder in batch.column("folder").to_pylist():
-            place = urllib.parse.unquote(urllib.parse.urlparse(folder).path)
-            facts = {"cluster_name": os.path.basename(place), "modified_at": None, "content": None}
-            facts |= {flag: os.path.exists(os.path.join(place, name)) for flag, name in MARKERS.items()}
-            if facts["locked"]:
-                lock = os.path.join(place, MARKERS["locked"])
-                facts["modified_at"] = datetime.datetime.fromtimestamp(os.path.getmtime(lock), datetime.UTC)
-                try:
-                    with open(lock, encoding="utf-8", errors="replace") as handle:
-                        facts["content"] = handle.read()
-                except OSError:
-                    pass
-            out.append(facts)
-        yield pa.RecordBatch.from_pylist(out, schema=shape)
-
-
-def _folders(spark: SparkSession, root: str) -> DataFrame:
-    """Cluster folders that hold a document.  Spark scans skip names that start with a
-    dot, so the markers beside the documents are looked up in tasks, over shared storage."""
-    listed = spark.read.format("binaryFile").load(f"{root}/*/{{config.yaml,state.json}}")
-    return listed.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().mapInArrow(_folder_facts, _FOLDER_FACTS)
-
-
 def read_markers(spark: SparkSession, root: str) -> DataFrame:
-    """Flags of every cluster folder below a shared mount.
-
-    For object stores, give ``marker_flags`` a listing of paths instead.
-    """
-    return _folders(spark, root).select("cluster_name", *MARKERS)
+    """Flags of every cluster folder below ``root``; a folder without any file has all flags down."""
+    flags = [F.coalesce(F.bool_or(F.col("name") == name), F.lit(False)).alias(flag) for flag, name in MARKERS.items()]
+    return list_folders(spark, root).groupBy(F.col("folder").alias("cluster_name")).agg(*flags)
 
 
 def parse_locks(df: DataFrame, text: str = "content") -> DataFrame:
@@ -250,5 +213,8 @@ def parse_locks(df: DataFrame, text: str = "content") -> DataFrame:
 
 
 def read_locks(spark: SparkSession, root: str) -> DataFrame:
-    held = _folders(spark, root).filter("locked").select("cluster_name", "modified_at", "content")
+    """Lock files below ``root``: when each was written, by whom and since when."""
+    name = MARKERS["locked"]
+    held = list_folders(spark, root, (name,)).filter(F.col("name") == name).select(
+        F.col("folder").alias("cluster_name"), F.col("mtime").alias("modified_at"), "content")
     return parse_locks(held).drop("content")

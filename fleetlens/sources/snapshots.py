@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.schemas import INVENTORY
 from fleetlens.sources.documents import folder_of
+from fleetlens.sources.listing import follow_files
 
 LOG_SCHEMA = "cluster_name STRING, file STRING, line_no BIGINT, text STRING"
 
@@ -19,6 +20,24 @@ def read_logs(spark: SparkSession, glob: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
+def read_logs_in_order(spark: SparkSession, glob: str) -> DataFrame:
+    """Lines of plain log files with their number, from 1.
+
+    Spark reads a large file in blocks.  Lines are numbered within each block,
+    and the lines of the blocks before it are added, so no file has to be in one task.
+    """
+    meta = F.col("_metadata.file_path")
+    lines = spark.read.text(glob).select(
+        folder_of(meta).alias("cluster_name"), meta.alias("file"), F.col("value").alias("text"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_seq"))
+    here = Window.partitionBy("file", "_block").orderBy("_seq")
+    blocks = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_lines"))
+    above = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.select("file", "_block", F.coalesce(F.sum("_lines").over(above), F.lit(0)).alias("_base"))
+    return (lines.withColumn("_n", F.row_number().over(here)).join(base, ["file", "_block"])
+            .select("cluster_name", "file", (F.col("_n") + F.col("_base")).cast("bigint").alias("line_no"), "text"))
+
+
 def read_numbered_logs(spark: SparkSession, glob: str) -> DataFrame:
     """Lines collected as JSON with their line number, for ordered operators."""
     return spark.read.schema(LOG_SCHEMA).json(glob)
@@ -31,12 +50,17 @@ def stream_logs(spark: SparkSession, directory: str, *, files_per_batch: int = 1
                     F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 
+def follow_logs(spark: SparkSession, root: str) -> DataFrame:
+    """Lines below ``<root>/<cluster>/`` as they are appended; ``at`` orders those of a file."""
+    return follow_files(spark, root).select(folder_of(F.col("file")).alias("cluster_name"), "file", "at", "text")
+
+
 def parse_manifests(lines: DataFrame, text: str = "line") -> DataFrame:
     """``<hash> ... <name>``: first field is the hash, last field the name.
 
     Lines with fewer than two fields name nothing and are left out.
     """
-    fields = F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " ")
+    fields = F.split(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""), r"\s+")
     return (lines.withColumn("_f", fields).filter(F.size("_f") >= 2)
             .withColumns({"hash": F.get("_f", F.lit(0)), "name": F.element_at("_f", -1)}).drop("_f"))
 
