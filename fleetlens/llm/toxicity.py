@@ -24,6 +24,8 @@ from fleetlens.llm.quality import Linear
 SAMPLE, TOKENS = 8_000, 400
 SLICES = 8
 FOLDS = 5
+#: How often a given label is taken to be right, and how significant a token's odds have to be.
+LABELS_RIGHT, SIGNIFICANT = 0.99, 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIX = 5
 PATTERNS = 5
@@ -64,11 +66,15 @@ class LabelModel:
     correlation: np.ndarray
 
     @classmethod
-    def fit(cls, votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> LabelModel:
-        """Expectation-maximisation from first guesses ``start`` (probability of toxic)."""
+    def fit(cls, votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> LabelModel:
+        """Expectation-maximisation in which each row's label is one more voter, of known reliability.
+
+        Rates and the share of toxic rows are so held to the labelled rows and
+        cannot drift to whatever else splits the votes.
+        """
         n, m = votes.shape
         shown = np.stack([votes == v for v in range(3)], axis=2).astype(float)
-        post, weight, corr = start.astype(float), np.ones(m), np.eye(m)
+        post, weight, corr = np.where(labels == 1, LABELS_RIGHT, 1 - LABELS_RIGHT), np.ones(m), np.eye(m)
         for turn in range(rounds):
             by_class = np.stack([1 - post, post])
             rates = (np.einsum("cn,nmv->mcv", by_class, shown) + 0.5) / (by_class.sum(axis=1)[None, :, None] + 1.5)
@@ -79,12 +85,16 @@ class LabelModel:
                 size = np.sqrt((rest ** 2).mean(axis=0)) + 1e-9
                 corr = (rest.T @ rest) / n / np.outer(size, size)
                 weight = 1 / (1 + np.clip(np.abs(corr) - 0.1, 0, 1).sum(axis=1) - 0.9)
-            post = cls(rates, weight, prior, corr).posterior(votes)
+            weight = np.where(rates[:, 1, 1] > rates[:, 0, 1], weight, 0.0)  # no better than chance: no say
+            post = cls(rates, weight, prior, corr).posterior(votes, labels)
         return cls(rates, weight, prior, corr)
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+        """Probability of toxic by the voters, and by the labels where given."""
         odds = np.log(self.rates[:, 1] / self.rates[:, 0])  # voter, vote
         margin = (odds[np.arange(len(self.weight)), votes] * self.weight).sum(axis=1)
+        if labels is not None:
+            margin = margin + np.where(labels == 1, 1, -1) * np.log(LABELS_RIGHT / (1 - LABELS_RIGHT))
         return 1 / (1 + np.exp(-np.clip(margin + np.log(self.prior / (1 - self.prior)), -30, 30)))
 
 
@@ -128,7 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     ids = (labels.filter("doc_id is not null and toxic in (0, 1)").filter(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
            .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
            .join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(by_hash, "doc_id").limit(sample))
-    rows = write_and_read(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))  # bounded by ``sample``
+    # one row an id, whatever the table repeats, so that ``sample`` bounds all that follows
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    rows = write_and_read(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(one))
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,10 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     counts = rows.mapInPandas(cut, "y int, t string").groupBy("t").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
     in_toxic, in_clean = (F.col("a") + 0.5) / (size[1] + 1), (F.col("n") - F.col("a") + 0.5) / (size[0] + 1)
     odds = F.log(in_toxic / in_clean)
-    # the larger the odds and the more often seen, the better
-    scored = counts.filter("n >= 5").select("t", odds.alias("odds"), (odds * F.sqrt(F.col("n"))).alias("z"))
-    toxic = scored.filter("odds > 1.5").orderBy(F.desc("z"), "t").limit(TOKENS * 3 // 4).collect()
-    clean = scored.filter("odds < -0.7").orderBy("z", "t").limit(TOKENS // 4).collect()
+    # odds against their own spread: a token seen a few times says little
+    spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))
+    scored = counts.filter("n >= 3").select("t", odds.alias("odds"), (odds / spread).alias("z"))
+    toxic = scored.filter((F.col("z") > SIGNIFICANT) & (F.col("odds") > 1.5)).orderBy(F.desc("z"), "t").limit(TOKENS * 3 // 4).collect()
+    clean = scored.filter((F.col("z") < -SIGNIFICANT) & (F.col("odds") < -0.7)).orderBy("z", "t").limit(TOKENS // 4).collect()
     listed = [*toxic, *clean]
     index = {r["t"]: i for i, r in enumerate(listed)}
     strength = np.array([r["odds"] for r in listed])
@@ -155,12 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
             x = [features(t if isinstance(t, str) else "", index) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": x})
 
-    got = rows.mapInPandas(vectors, "doc_id long, y int, x array<float>").toPandas().drop_duplicates("doc_id")
+    got = rows.mapInPandas(vectors, "doc_id long, y int, x array<float>").toPandas()
     got = got.sort_values("doc_id")
     x, y = np.stack(got["x"].to_list()), got["y"].to_numpy()
     votes = cast_votes(x, strength)
-    model = LabelModel.fit(votes, np.where(y == 1, 0.9, 0.1))
-    posterior = model.posterior(votes)
+    model = LabelModel.fit(votes, y)
+    posterior = model.posterior(votes, y)
     return Model(index, model, Linear.fit(x, posterior, ridge=3.0))
 
 
@@ -182,7 +195,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every document; only words of the text are inputs.
 
     Missing and empty texts are scored like a text without words; repeated rows
-    alike.  A missing doc_id is not held out.  Without labels of both classes
+    alike; of several texts under one labelled id the one of smallest hash is
+    learned from.  A missing doc_id is not held out.  Without labels of both classes
     outside the held-out fold every score is 0.  Other columns are ignored.
     """
     return score(docs, train(docs.select("doc_id", "text"), labels))
