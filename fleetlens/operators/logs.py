@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import blank
@@ -71,6 +72,64 @@ def classify(df: DataFrame, text: str, source: str, rules: Sequence[ErrorClass]
     return df.withColumns({"error_class": name, "benign": F.coalesce(benign, F.lit(False))})
 
 
+RULES = "ord bigint, needle string, name string, benign boolean, any_case boolean"
+#: Most rules of a table; they travel to every task.
+MOST_RULES = 1_000_000
+
+
+def rule_table(spark: SparkSession, source: str, rules: Sequence[ErrorClass] = ERROR_CLASSES) -> DataFrame:
+    """The rules of one source as a table for ``classify_by``, in the order they are tried."""
+    return spark.createDataFrame([(i, r.needle, r.name, r.benign, r.any_case) for i, r in enumerate(
+        r for r in rules if r.source == source)], RULES)
+
+
+def classify_by(df: DataFrame, text: str, rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """Like ``classify``, by a table of rules (ord, needle, name, benign, any_case): the first by ``ord`` decides (FL7).
+
+    One automaton finds all needles in one pass over a text, however many there
+    are.  Equal ``ord`` follow the name; an empty needle is in every text.  More
+    than ``most`` rules are refused, as the table goes to every task.
+    """
+    listed = sorted(((r["ord"], r["name"], bool(r["benign"]), bool(r["any_case"]), r["needle"] or "") for r in rules.limit(most + 1).collect()),
+                    key=lambda r: (r[0], r[1] or "", r[2], r[3], r[4]))
+    if len(listed) > most:
+        raise ValueError(f"more than {most} rules")
+
+    @F.pandas_udf("name string, benign boolean")
+    def first(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automata = []
+        for fold in (False, True):
+            words: dict[str, int] = {}
+            for at, (_, _, _, any_case, needle) in enumerate(listed):
+                if any_case == fold:
+                    words.setdefault(needle.lower() if fold else needle, at)
+            always = words.pop("", len(listed))
+            automaton = ahocorasick.Automaton()
+            for word, at in words.items():
+                automaton.add_word(word, at)
+            if words:
+                automaton.make_automaton()
+            automata.append((fold, automaton if words else None, always))
+        for batch in texts:
+            names, benign = [], []
+            for x in batch:
+                best = len(listed)
+                if x is not None:
+                    for fold, automaton, always in automata:
+                        best = min(best, always)
+                        if automaton is not None:
+                            best = min([best, *(at for _, at in automaton.iter(x.lower() if fold else x))])
+                hit = best < len(listed)
+                names.append(listed[best][1] if hit else None)
+                benign.append(listed[best][2] if hit else False)
+            yield pd.DataFrame({"name": names, "benign": benign})
+
+    found = df.withColumn("_first", first(F.col(text)))
+    return found.withColumns({"error_class": F.col("_first.name"), "benign": F.col("_first.benign")}).drop("_first")
+
+
 def split_failed(df: DataFrame, text: str = "failed_event") -> DataFrame:
     """``event: error`` text to its parts; only the first separator splits."""
     part = F.split(F.col(text), ": ", 2)

@@ -779,6 +779,29 @@ select cluster_name, case when contains(lower(line), 'license') then 'license' w
   count(*) as lines
 from b_lines group by all""")
 
+oracle("fl7_rule_table", """
+with rules as (select unnest([0, 1, 2, 3])::bigint as ord, unnest(['no release found', 'unauthorized', 'invalid credentials',
+    'no space left on device']) as needle, unnest(['missing_release', 'auth', 'auth', 'disk_full']) as name,
+    false as benign, true as any_case
+  union all select doc_id + 100, substr(text, 4, 11), 'd' || doc_id, doc_id % 3 = 0, doc_id % 2 = 0 from documents where len(text) >= 14),
+lines as (select doc_id, pos, case when pos % 5 = 0 then line || ' UNAUTHORIZED' else line end as line from b_lines),
+hits as (select l.doc_id, l.pos, min(r.ord) as ord from lines l join rules r on case when r.any_case
+  then contains(lower(l.line), lower(r.needle)) else contains(l.line, r.needle) end group by 1, 2)
+select r.name as error_class, coalesce(r.benign, false) as benign, count(*) as lines, min(l.doc_id) as first_doc
+from lines l left join hits using (doc_id, pos) left join rules r on r.ord = hits.ord group by 1, 2""")
+
+oracle("a11_merged_sketches", """
+select event_type as phase, share, count(*) as runs, true as within from events, (select unnest([0.5::double, 0.9, 0.99]) as share)
+group by 1, 2""")
+
+oracle("s19_file_digests", """
+with f as (select c_custkey as k, unnest(['config.yaml', '.managed', '.failed', '.deleted', '.lock']) as name from customer)
+select 'c' || k as folder, name, len(content)::bigint as length, sha256(content) as sha256 from (
+  select k, name, case name when 'config.yaml' then 'n: ' || k when '.lock' then case when k % 5 = 0 then 'garbage' else
+    'Locked at: 2024-03-0' || (k % 9 + 1) || 'T10:00:00+02:00' || chr(10) || 'PID: ' || k || chr(10) end else '' end as content
+  from f where case name when 'config.yaml' then k % 3 <> 0 when '.managed' then k % 2 = 0 when '.failed' then k % 7 = 0
+    when '.deleted' then k % 11 = 0 else k % 6 = 0 end)""")
+
 # --- joins -------------------------------------------------------------------
 
 oracle("j1_vip_conflicts", f"""

@@ -18,7 +18,7 @@ from fleetlens.operators.ordered import ordered
 from fleetlens.plans import bindings as b
 from fleetlens.plans import reports
 from fleetlens.session import scratch_dir
-from fleetlens.sources import documents, snapshots
+from fleetlens.sources import documents, listing, snapshots
 from fleetlens.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -630,6 +630,42 @@ def fl7_classify(spark, sf):
     return out.groupBy("cluster_name", "error_class", "benign").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query
+def fl7_rule_table(spark, sf):
+    """Log lines by a table of rules: the shipped ones of a source first, then a needle from every document."""
+    d = b.table(spark, sf, "documents")
+    mined = d.filter(F.length("text") >= 14).select(
+        (F.col("doc_id") + 100).alias("ord"), F.substring("text", 4, 11).alias("needle"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"),
+        (F.col("doc_id") % 3 == 0).alias("benign"), (F.col("doc_id") % 2 == 0).alias("any_case"))
+    table = logs.rule_table(spark, "catalog").unionByName(mined)
+    line = F.when(F.col("pos") % 5 == 0, F.concat("line", F.lit(" UNAUTHORIZED"))).otherwise(F.col("line"))
+    lines = b.log_lines(spark, sf).select("doc_id", "pos", line.alias("line"))
+    return logs.classify_by(lines, "line", table).groupBy("error_class", "benign").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("doc_id").alias("first_doc"))
+
+
+@query
+def a11_merged_sketches(spark, sf):
+    """Percentiles read from merged daily sketches, and whether their exact ranks are within the stated error."""
+    log, path = b.phase_log(spark, sf), scratch_dir(spark)
+    capacity.phase_sketches(log).write.parquet(path)
+    read = capacity.merged_percentiles(spark.read.parquet(path))
+    shares = F.array(*[F.lit(p) for p in (0.5, 0.9, 0.99)])
+    each = read.select("phase", "runs", F.inline(F.arrays_zip(shares.alias("share"), F.col("percentiles").alias("value"))))
+    each = each.toDF("phase", "runs", "share", "value")
+    ranked = log.select("phase", "dur_ms").join(each, "phase").groupBy("phase", "runs", "share").agg(
+        F.count_if(F.col("dur_ms") < F.col("value")).alias("below"), F.count_if(F.col("dur_ms") <= F.col("value")).alias("upto"))
+    slack = F.col("runs") * capacity.RANK_ERROR + 1
+    return ranked.select("phase", "share", "runs", ((F.col("below") - slack <= F.col("runs") * F.col("share"))
+                                                    & (F.col("upto") + slack >= F.col("runs") * F.col("share"))).alias("within"))
+
+
+@query
+def s19_file_digests(spark, sf):
+    """Digests of the files below the fleet's folders, dot files among them."""
+    return listing.file_digests(spark, b.fleet_folders(spark, sf)).select("folder", "name", "length", "sha256")
+
+
 # --- joins -------------------------------------------------------------------
 
 

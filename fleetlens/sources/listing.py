@@ -7,6 +7,7 @@ here are read in tasks: the listing by folders, the followed files by byte range
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 import re
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 FOLDERS, RANGE, CONTENT = 500, 32 << 20, 1 << 20
 _BACK = 1 << 16
 
-LISTED = "folder string, name string, path string, length bigint, mtime timestamp, content string"
+LISTED = "folder string, name string, path string, length bigint, mtime timestamp, content string, sha256 string"
 FOLLOWED = "file string, at bigint, text string"
 
 
@@ -44,6 +45,7 @@ class ListingReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.folders = int(options.get("foldersPerTask", FOLDERS))
+        self.digest = options.get("digest", "false") == "true"
         self.wanted = {n for n in options.get("content", "").split(",") if n}
 
     def partitions(self) -> list[InputPartition]:
@@ -59,7 +61,7 @@ class ListingReader(DataSourceReader):
 
         store, _ = open_store(self.path)
         shape = pa.schema([("folder", pa.string()), ("name", pa.string()), ("path", pa.string()), ("length", pa.int64()),
-                           ("mtime", pa.timestamp("us", tz="UTC")), ("content", pa.string())])
+                           ("mtime", pa.timestamp("us", tz="UTC")), ("content", pa.string()), ("sha256", pa.string())])
         for place in partition.names:
             folder = posixpath.basename(place.rstrip("/"))
             rows = []
@@ -73,10 +75,24 @@ class ListingReader(DataSourceReader):
                             text = handle.read(CONTENT).decode("utf-8", "replace")
                     except OSError:
                         pass  # gone or not readable: its name counts all the same
-                rows.append({"folder": folder, "name": x.base_name, "path": x.path, "length": x.size, "mtime": x.mtime, "content": text})
+                rows.append({"folder": folder, "name": x.base_name, "path": x.path, "length": x.size, "mtime": x.mtime,
+                             "content": text, "sha256": self._digest(store, x.path) if self.digest else None})
             yield pa.RecordBatch.from_pylist(rows or [{"folder": folder}], schema=shape)
 
 
+    @staticmethod
+    def _digest(store, path: str) -> str | None:
+        """Digest of a file of any size, a block at a time; null if it cannot be read."""
+        whole = hashlib.sha256()
+        try:
+            with store.open_input_stream(path) as handle:
+                while block := handle.read(CONTENT):
+                    whole.update(block)
+        except OSError:
+            return None
+        return whole.hexdigest()
+
+
 class FolderListing(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -178,6 +194,14 @@ def list_folders(spark: SparkSession, root: str, content: tuple[str, ...] = (),
             .option("foldersPerTask", folders_per_task).load())
 
 
+def file_digests(spark: SparkSession, root: str, folders_per_task: int = FOLDERS) -> DataFrame:
+    """SHA-256 of every file of the folders right below ``root``, read in blocks, so that no file is held whole."""
+    listed = (spark.read.format("folder_listing").option("path", root).option("digest", "true")
+              .option("foldersPerTask", folders_per_task))
+    spark.dataSource.register(FolderListing)
+    return listed.load().filter("name is not null").select("folder", "name", "path", "length", "sha256")
+
+
 def follow_files(spark: SparkSession, root: str, bytes_per_task: int = RANGE) -> DataFrame:
     """A stream of the lines below ``root``, those appended to known files too."""
     spark.dataSource.register(FollowedFiles)
