@@ -1315,6 +1315,15 @@ select user_id as cluster_name, targets, ready, case when ready = targets then '
   epoch_us(case when ready = targets then last else deadline end) as resolved_at
 from w where ready = targets or (select max(ts) from events) >= deadline""")
 
+oracle("st3_keyed_waits", """
+with t as (select user_id, event_type, min(case when value > 10 then ts end) as ready_at from events group by 1, 2),
+s as (select user_id, min(ts) + interval 64800 second as deadline from events group by 1),
+w as (select user_id, deadline, count(*) as targets, count(*) filter (ready_at <= deadline) as ready, max(ready_at) as last
+  from t join s using (user_id) group by 1, 2)
+select user_id as cluster_name, targets, ready, case when ready = targets then 'ready' else 'timed_out' end as verdict,
+  epoch_us(case when ready = targets then last else deadline end) as resolved_at
+from w where ready = targets or (select max(ts) from events) >= deadline""")
+
 oracle("st5_stale_locks", """
 select controller_id, cluster_name, lock_pid, case when lock_pid > 0 then case when exists (select 1 from customer
     where c_custkey = lock_pid and c_custkey % 50 = controller_id) then 'held' else 'stale' end

@@ -1366,6 +1366,36 @@ def st4_phase_deadline(spark, sf):
     return _waits(spark, sf, feeds.INSTALL_LIMIT)
 
 
+def _event_files(spark, sf, files=4):
+    """Events as several files in order of time, as a source of one file a batch."""
+    path = scratch_dir(spark)
+    e = b.table(spark, sf, "events")
+    edges = e.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / files for i in range(1, files)])).first()[0]
+    for i, (low, high) in enumerate(zip([None, *edges], [*edges, None])):  # one write a file, so that their order is sure
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        part = e.filter((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return (spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            .withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query
+def st3_keyed_waits(spark, sf):
+    """Every user waits for its event types after its first event: several files, state in the engine, a timer a wait."""
+    e = b.phase_log(spark, sf).select(F.col("cluster_id").alias("cluster_name"), F.col("phase").alias("hostname"), "ts")
+    path, out = scratch_dir(spark), scratch_dir(spark)
+    begun = e.groupBy("cluster_name").agg(F.min("ts").alias("started_at"))
+    e.select("cluster_name", "hostname").distinct().join(begun, "cluster_name").coalesce(1).write.parquet(path)
+    targets = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    stream = _event_files(spark, sf).select(
+        F.col("user_id").alias("cluster_name"), F.col("event_type").alias("hostname"),
+        F.when(F.col("value") > 10, "True").otherwise("False").alias("ready"), "ts")
+    told = feeds.keyed_waits(stream, targets, feeds.JOIN_LIMIT * 24)
+    feeds.append_files(told, out, scratch_dir(spark)).awaitTermination()
+    return spark.read.parquet(out).select("cluster_name", "targets", "ready", "verdict",
+                                          F.unix_micros("resolved_at").alias("resolved_at"))
+
+
 @query
 def st5_stale_locks(spark, sf):
     k = F.col("cluster_id")

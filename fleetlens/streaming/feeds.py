@@ -9,12 +9,15 @@ repeated batch rewrites the same version.
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from fleetlens.operators.desired import reconcile
@@ -144,6 +147,7 @@ def wait_for_ready(events: DataFrame, targets: DataFrame, limit_seconds: int, ou
     clock_table = StateTable(spark, f"{state}/clock", StructType().add("clock", "timestamp"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         seen = batch.filter(F.trim("ready") == "True").select(*key, "hostname", F.col(at).alias("ready_at"))
         merged = (table.before(batch_id).unionByName(seen).groupBy(*key, "hostname")
                   .agg(F.min("ready_at").alias("ready_at")))
@@ -152,16 +156,84 @@ def wait_for_ready(events: DataFrame, targets: DataFrame, limit_seconds: int, ou
         clock = clock_table.write(batch_id, tick.agg(F.max("clock").alias("clock"))).first()["clock"]
         if clock is not None:
             clock -= datetime.timedelta(seconds=lateness_seconds)
-        verdicts = waits(targets, now, clock, limit_seconds, key)
-        if batch_id > 0:
+        open_ = targets
+        if batch_id > 0:  # waits that were told are not worked out again
             told = spark.read.parquet(out).filter(F.col("batch") < batch_id).select(*key)
-            verdicts = verdicts.join(told, list(key), "left_anti")
+            open_ = targets.join(told, list(key), "left_anti")
+        verdicts = waits(open_, now, clock, limit_seconds, key)
         verdicts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.unpersist()
 
     return (events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def keyed_waits(events: DataFrame, targets: DataFrame, limit_seconds: int, key: str = "cluster_name", at: str = "ts",
+                lateness_seconds: int = 0) -> DataFrame:
+    """The verdict of each wait as a stream, from state that the engine keeps for open waits alone (ST3, ST4).
+
+    Both are streams: ``events`` with key, hostname, ready and event time,
+    ``targets`` with key, hostname and started_at, known before their events.  A
+    timer set at the deadline (of the earliest target) ends a wait that is not
+    ready by then; a wait that
+    was told leaves no state, and later events of it are passed over.  Events
+    older than the watermark do not count.
+    """
+    seen = (events.withWatermark(at, f"{lateness_seconds} seconds").filter(F.trim("ready") == "True")
+            .select(F.col(key).cast("string").alias("_key"), "hostname", F.col(at).alias("_at"), F.lit(False).alias("_asked")))
+    asked = targets.select(F.col(key).cast("string").alias("_key"), "hostname", F.col("started_at").alias("_at"), F.lit(True).alias("_asked"))
+
+    def told(name: str, hosts: dict, verdict: str, deadline: int, resolved: int) -> pd.DataFrame:
+        on_time = sum(t is not None and t <= deadline for t in hosts.values())
+        moments = [pd.Timestamp(x, unit="us") for x in (deadline, resolved)]
+        return pd.DataFrame({"_key": [name], "targets": [len(hosts)], "ready": [on_time], "deadline": [moments[0]],
+                             "verdict": [verdict], "resolved_at": [moments[1]]})
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {"hosts": {}, "deadline": None}
+        hosts, deadline = kept["hosts"], kept["deadline"]
+        if state.hasTimedOut:
+            state.remove()
+            yield told(group[0], hosts, "timed_out", deadline, deadline)
+            return
+        first: dict[str, int] = {}
+        for b in batches:
+            micros = b["_at"].astype("datetime64[us]").astype("int64")
+            for host, moment, is_target in zip(b["hostname"], micros.tolist(), b["_asked"]):
+                if is_target:
+                    hosts.setdefault(host, None)
+                    ends = moment + limit_seconds * 1_000_000
+                    deadline = ends if deadline is None else min(deadline, ends)
+                else:
+                    first[host] = min(moment, first.get(host, moment))
+        for host, moment in first.items():
+            if host in hosts:
+                hosts[host] = moment if hosts[host] is None else min(moment, hosts[host])
+        if not hosts:  # told before, or never asked for
+            if state.exists:
+                state.remove()
+            return
+        if all(t is not None and t <= deadline for t in hosts.values()):
+            if state.exists:
+                state.remove()
+            yield told(group[0], hosts, "ready", deadline, max(hosts.values()))
+            return
+        timer = -(-deadline // 1000)
+        if timer <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            yield told(group[0], hosts, "timed_out", deadline, deadline)
+            return
+        state.update((json.dumps({"hosts": hosts, "deadline": deadline}),))
+        state.setTimeoutTimestamp(timer)
+
+    shape = "_key string, targets bigint, ready bigint, deadline timestamp, verdict string, resolved_at timestamp"
+    out = seen.unionByName(asked).groupBy("_key").applyInPandasWithState(
+        step, shape, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    kind = events.schema[key].dataType
+    return out.select(F.col("_key").cast(kind).alias(key), "targets", "ready", "deadline", "verdict", "resolved_at")
+
+
 def state_changes(snapshots: DataFrame, out: str, state: str, checkpoint: str,
                   key: Sequence[str] = ("cluster_name",), order: Sequence[str] = ("snapshot_ts",)) -> StreamingQuery:
     """Newest snapshot per cluster in each batch against the stored one (ST6).
@@ -172,7 +244,7 @@ def state_changes(snapshots: DataFrame, out: str, state: str, checkpoint: str,
     table = StateTable(spark, state, snapshots.schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        stored = table.before(batch_id)
+        batch, stored = batch.persist(), table.before(batch_id)
         touched = stored.join(keep_last(batch, list(key), list(order)).select(*key), list(key), "left_semi")
         # A snapshot that arrives late must not replace a newer stored one.
         newest = keep_last(batch.unionByName(touched), list(key), list(order))
@@ -181,6 +253,7 @@ def state_changes(snapshots: DataFrame, out: str, state: str, checkpoint: str,
         changes.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         kept = stored.join(newest.select(*key), list(key), "left_anti")
         table.write(batch_id, kept.unionByName(newest))
+        batch.unpersist()
 
     return (snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

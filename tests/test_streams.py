@@ -117,3 +117,24 @@ def test_pending_requests_do_not_hang_on_batches(spark, tmp_path):
         return [r["first_seen"] for r in spark.read.parquet(f"{place}/out").orderBy("first_seen").collect()]
 
     assert told("one", [reports]) == told("two", [reports[:2], reports[2:4], reports[4:]]) == [at[0], at[3], at[4]]
+
+
+def test_keyed_waits_keep_state_of_open_waits_alone(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    at = lambda seconds: start + datetime.timedelta(seconds=seconds)
+    spark.createDataFrame([("a", "x", start), ("a", "y", start), ("b", "x", start), ("c", "x", at(5000))],
+                          "cluster_name string, hostname string, started_at timestamp").coalesce(1).write.parquet(f"{tmp_path}/t")
+    batches = [[("a", "x", "True", at(10)), ("b", "x", "False", at(20)), ("z", "x", "True", at(20))],
+               [("a", "y", "True ", at(30)), ("a", "y", "True", at(31))],
+               [("b", "x", "True", at(2000)), ("d", "x", "True", at(5100))]]
+    for rows_ in batches:
+        spark.createDataFrame(rows_, "cluster_name string, hostname string, ready string, ts timestamp").coalesce(1).write.mode(
+            "append").parquet(f"{tmp_path}/e")
+    events = (spark.readStream.schema("cluster_name string, hostname string, ready string, ts timestamp")
+              .option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/e"))
+    targets = spark.readStream.schema("cluster_name string, hostname string, started_at timestamp").parquet(f"{tmp_path}/t")
+    query = feeds.append_files(feeds.keyed_waits(events, targets, 1000), f"{tmp_path}/out", f"{tmp_path}/mark")
+    query.awaitTermination()
+    got = rows(spark.read.parquet(f"{tmp_path}/out"), "cluster_name", "targets", "ready", "verdict")
+    assert got == [("a", 2, 2, "ready"), ("b", 1, 0, "timed_out")]
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 1  # c alone is still open
