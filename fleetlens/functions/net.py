@@ -53,12 +53,16 @@ def is_cidr(cidr: Column) -> Column:
     return F.coalesce(v4 | v6, F.lit(False))
 
 
-def ipv4_to_long(ip: Column) -> Column:
-    """Dotted text to its 32-bit value; null when it is not a dotted address."""
+def _dotted_value(ip: Column) -> Column:
     value = F.lit(0).cast("bigint")
     for i in range(1, 5):
         value = value * 256 + F.substring_index(F.substring_index(ip, ".", i), ".", -1).try_cast("bigint")
-    return F.when(is_ipv4(ip), value)
+    return value
+
+
+def ipv4_to_long(ip: Column) -> Column:
+    """Dotted text to its 32-bit value; null when it is not a dotted address."""
+    return F.when(is_ipv4(ip), _dotted_value(ip))
 
 
 def cidr_prefix(cidr: Column) -> Column:
@@ -103,17 +107,9 @@ def _six_halves(ip: Column) -> Column:
     return let(let(F.split(text, "::"), joined), halves)
 
 
-def _written(ip: Column) -> Column:
-    """An address as text gives it: ``wide`` tells the families apart, dotted ones fill the top 32 bits.  Null if invalid."""
-    four = ipv4_to_long(ip)
-    six = let(_six_halves(ip), lambda h: F.struct(F.lit(True).alias("wide"), h["hi"].alias("hi"), h["lo"].alias("lo")))
-    return (F.when(four.isNotNull(), F.struct(
-        F.lit(False).alias("wide"), F.shiftleft(four, 32).alias("hi"), F.lit(0).cast("bigint").alias("lo"))).when(is_ipv6(ip), six))
-
-
 def _is_mapped(at: Column) -> Column:
     """Does longer-family text carry a dotted address?"""
-    return at["wide"] & (at["hi"] == 0) & (F.shiftrightunsigned(at["lo"], 32) == 0xFFFF)
+    return (at["hi"] == 0) & (F.shiftrightunsigned(at["lo"], 32) == 0xFFFF)
 
 
 def _at(family: int, hi: Column, lo: Column, *bits: Column) -> Column:
@@ -124,10 +120,13 @@ def network_facts(cidr: Column, prefix: str = "_net") -> dict[str, Column]:
     """Validity of a network, and its family, value and length, to be computed once per network row."""
     valid, bits = is_cidr(cidr), cidr_prefix(cidr)
     none = F.lit(0).cast("bigint")
-    at = let(_written(F.substring_index(cidr, "/", 1)), lambda w: (
-        F.when(_is_mapped(w) & (bits >= 96), _at(4, F.shiftleft(w["lo"], 32), none, bits - 96))
-        .when(w["wide"], _at(6, w["hi"], w["lo"], bits)).otherwise(_at(4, w["hi"], w["lo"], bits))))
-    return {f"{prefix}_ok": valid, f"{prefix}_at": F.when(valid, at)}
+    address = F.substring_index(cidr, "/", 1)
+    wide = let(_six_halves(address), lambda w: F.when(
+        _is_mapped(w) & (bits >= 96), _at(4, F.shiftleft(w["lo"], 32), none, bits - 96)).otherwise(_at(6, w["hi"], w["lo"], bits)))
+    # dotted ones, the common case, stay in generated code
+    dotted = valid & ~cidr.contains(":")
+    return {f"{prefix}_ok": valid, f"{prefix}_at": F.when(
+        dotted, _at(4, F.shiftleft(_dotted_value(address), 32), none, bits)).when(valid, wide)}
 
 
 def address_facts(ip: Column, prefix: str = "_ip") -> dict[str, Column]:
@@ -136,10 +135,11 @@ def address_facts(ip: Column, prefix: str = "_ip") -> dict[str, Column]:
     A dotted address written in the longer form belongs to the dotted family.
     """
     none, valid = F.lit(0).cast("bigint"), is_ip(ip)
-    at = let(_written(ip), lambda w: (
-        F.when(_is_mapped(w), _at(4, F.shiftleft(w["lo"], 32), none))
-        .when(w["wide"], _at(6, w["hi"], w["lo"])).otherwise(_at(4, w["hi"], w["lo"]))))
-    return {f"{prefix}_ok": valid, f"{prefix}_at": F.when(valid, at)}
+    wide = let(_six_halves(ip), lambda w: F.when(_is_mapped(w), _at(4, F.shiftleft(w["lo"], 32), none)).otherwise(
+        _at(6, w["hi"], w["lo"])))
+    dotted = valid & ~ip.contains(":")
+    return {f"{prefix}_ok": valid, f"{prefix}_at": F.when(
+        dotted, _at(4, F.shiftleft(_dotted_value(ip), 32), none)).when(valid, wide)}
 
 
 def inside(net: str = "_net", ip: str = "_ip") -> Column:
