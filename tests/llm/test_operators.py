@@ -335,3 +335,31 @@ def test_queries_against_sql(spark, small):
     con = engine(small)
     for query in ORACLES:
         assert compare(spark, con, small, query, QUERIES[query], ORACLES[query]) is None
+
+
+def test_passages_against_brute_force(spark):
+    """Every stretch of 51 words that two texts share is covered, though all texts share a line too short to count."""
+    rng = random.Random(9)
+    line, passages_of = prose(900, 20), [prose(901 + i, rng.randrange(51, 90)) for i in range(8)]
+    rows = []
+    for i in range(48):
+        parts = [prose(1000 + 10 * i + j, rng.randrange(5, 60)) for j in range(4)] + [line] + rng.sample(passages_of, rng.randrange(3))
+        rng.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    rows += [(100, rows[3][1]), (101, rows[3][1]), (100, rows[3][1]), (None, rows[4][1] + " " + prose(5000, 60)), (102, None), (103, "")]
+    table = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, d string")
+    got = passages.repeated_passages(table).collect()
+    where: dict[str, set] = {}
+    words = {i: t.split() for i, t in rows if t}
+    for i, w in words.items():
+        for s in range(len(w) - 50):
+            where.setdefault(" ".join(w[s:s + 51]), set()).add((i, s))
+    cover: dict = {}
+    for r in got:
+        assert min(r["end"] - r["start"], r["rep_end"] - r["rep_start"]) > 50 and r["similarity"] >= 0.8
+        cover.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+        cover.setdefault(r["rep_id"], []).append((r["rep_start"], r["rep_end"]))
+    shared = [x for places in where.values() if len({i for i, _ in places}) > 1 for x in places]
+    missed = [(i, s) for i, s in shared if not any(a <= s and s + 51 <= b for a, b in cover.get(i, []))]
+    assert shared and not missed
+    assert set(cover) == {i for i, _ in shared}
