@@ -288,6 +288,11 @@ oracle("snk2_snapshots", """
 select strftime(ts, '%Y-%m-%d') as day, case when value < 20 then 'failed' else 'success' end as status, count(*) as snapshots
 from events group by 1, 2""")
 
+oracle("snk2_committed_runs", """
+select case when user_id % 2 = 0 then 'even' else 'odd' end as run_id,
+  case when value < 20 then 'failed' else 'success' end as status, count(*) as snapshots
+from events where user_id is not null group by 1, 2""")
+
 # --- projections -------------------------------------------------------------
 
 oracle("p1_resolve_defaults", """

@@ -245,6 +245,22 @@ def snk2_snapshots(spark, sf):
         F.count(F.lit(1)).alias("snapshots"))
 
 
+@query
+def snk2_committed_runs(spark, sf):
+    """Two runs committed, one of them twice, and one that broke off before its commit; counts per run and status."""
+    from fleetlens.sources.sinks import append_run, read_runs
+
+    path = scratch_dir(spark)
+    log = b.phase_log(spark, sf).select("cluster_id", "status", F.col("ts").alias("snapshot_ts"))
+    even, odd = log.filter("cluster_id % 2 = 0"), log.filter("cluster_id % 2 = 1")
+    append_run(even, path, "even")
+    append_run(even, path, "even")
+    append_run(odd, path, "odd")
+    half = log.withColumns({"run_id": F.lit("broken"), "attempt": F.lit("none"), "snapshot_date": F.to_date("snapshot_ts")})
+    half.write.mode("append").partitionBy("attempt", "snapshot_date").parquet(f"{path}/rows")
+    return read_runs(spark, path).groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("snapshots"))
+
+
 # --- projections -------------------------------------------------------------
 
 

@@ -1,8 +1,10 @@
-"""Report output and snapshot history (SNK1, SNK2)."""
+"""Report output and snapshot history, with or without committed runs (SNK1, SNK2)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,3 +25,28 @@ def append_snapshot(df: DataFrame, path: str, at: str = "snapshot_ts") -> None:
     """
     (df.withColumn("snapshot_date", F.to_date(at)).hint("rebalance", "snapshot_date")
      .write.mode("append").partitionBy("snapshot_date").parquet(path))
+
+
+def append_run(df: DataFrame, path: str, run_id: str, at: str = "snapshot_ts") -> None:
+    """Append one collection run so that a retry adds nothing and half a run is never read.
+
+    Rows go below a fresh attempt first; one line that names run and attempt
+    commits them.  ``read_runs`` follows these lines, so an attempt that broke
+    off, or that repeats a committed run, stays out of sight.
+    """
+    attempt = uuid.uuid4().hex
+    (df.withColumns({"run_id": F.lit(run_id), "attempt": F.lit(attempt), "snapshot_date": F.to_date(at)})
+     .hint("rebalance", "snapshot_date").write.mode("append").partitionBy("attempt", "snapshot_date").parquet(f"{path}/rows"))
+    (df.sparkSession.range(1).select(F.lit(run_id).alias("run_id"), F.lit(attempt).alias("attempt"),
+                                     F.current_timestamp().alias("committed_at"))
+     .write.mode("append").parquet(f"{path}/runs"))
+
+
+def read_runs(spark: SparkSession, path: str, until: Column | None = None) -> DataFrame:
+    """Rows of every committed run, of its first attempt; ``until`` leaves out runs committed later."""
+    runs = spark.read.schema("run_id string, attempt string, committed_at timestamp").parquet(f"{path}/runs")
+    if until is not None:
+        runs = runs.filter(F.col("committed_at") <= until)
+    first = runs.groupBy("run_id").agg(F.min(F.struct("committed_at", "attempt"))["attempt"].alias("attempt"))
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.join(first, ["run_id", "attempt"], "left_semi").drop("attempt")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fleetlens.sources import documents, listing, snapshots
+from fleetlens.sources import documents, listing, sinks, snapshots
 from tests.conftest import rows
 
 
@@ -73,3 +73,19 @@ def test_followed_logs_name_their_cluster(spark, tmp_path):
         availableNow=True).start()
     query.awaitTermination()
     assert rows(spark.table("seen_lines")) == [("c7", "x", 0)]
+
+
+def test_committed_runs(spark, tmp_path):
+    """A repeated run adds nothing, one that broke off is not read, and earlier moments see earlier runs."""
+    path = str(tmp_path / "runs")
+    made = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00"), (3, None)], "k int, t string")
+    df = made.select("k", F.to_timestamp("t").alias("snapshot_ts"))
+    sinks.append_run(df, path, "one")
+    sinks.append_run(df, path, "one")
+    seen = spark.sql("select current_timestamp() as t").first()["t"]
+    sinks.append_run(df.filter("k = 1"), path, "two")
+    df.withColumns({"run_id": F.lit("broken"), "attempt": F.lit("x"), "snapshot_date": F.to_date("snapshot_ts")}).write.mode(
+        "append").partitionBy("attempt", "snapshot_date").parquet(f"{path}/rows")
+    got = sorted((r["run_id"], r["k"]) for r in sinks.read_runs(spark, path).collect())
+    assert got == [("one", 1), ("one", 2), ("one", 3), ("two", 1)]
+    assert {r["run_id"] for r in sinks.read_runs(spark, path, F.lit(seen)).collect()} == {"one"}
