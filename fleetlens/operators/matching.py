@@ -352,8 +352,9 @@ def was_managed(resolved: DataFrame, services: DataFrame, key: Sequence[str] = _
                                  for k in SERVICE_RECORDS])
 
 
-#: Length and punctuation of hardware addresses and dotted addresses.
-ADDRESS_SHAPES = [(17, ":" * 5), *[(width, "...") for width in range(7, 16)]]
+#: Width of a hardware address; least and most width of a dotted address.
+HARDWARE, DOTTED = 17, (7, 15)
+_DIGITS = "[0-9A-Fa-f]*"
 
 
 def purge_leases(leases: DataFrame, nodes: DataFrame, mode: str = "exact",
@@ -362,35 +363,80 @@ def purge_leases(leases: DataFrame, nodes: DataFrame, mode: str = "exact",
 
     ``exact`` compares whole tokens.  ``substring`` also removes lines that merely
     contain the text, so ``10.0.0.1`` takes ``10.0.0.10`` with it.  Both are
-    equality joins: a match lies inside one run of address characters, so the
-    line offers every piece of its runs that is shaped like a hardware or dotted
-    address, and its whole tokens for sought text of any other shape.  A dot
-    stands for itself only.
+    equality joins: a match lies inside one run of address characters, so each
+    distinct run is cut once into the pieces that are shaped like a hardware or
+    dotted address, and lines meet the runs of which a piece is sought; sought
+    text of any other shape meets whole tokens.  A dot stands for itself only.
+    Tokens of a shape that nothing sought has (times, names, the star) are left
+    out before the join, so words that stand in every line do not gather.
     """
     sought = (nodes.select(*scope, F.explode(F.array_compact(F.array(
         F.when(F.col("mac") != "", mac_colons(F.col("mac"))), F.when(F.col("ip") != "", F.col("ip"))))).alias("_t"))
         .distinct())
+    shapes = sought.agg(F.collect_set(_shape(F.col("_t"))).alias("_shapes")).scalar()
+    words = F.regexp_extract_all("line", F.lit(r"\S+"), 0)
+    text, known = F.col("_t"), F.array_contains(shapes, _shape(F.col("_t")))
     if mode == "exact":
-        tokens = F.array_distinct(F.split("line", r"\s+"))
-    else:
-        pieces = F.flatten(F.transform(F.split("line", r"[^0-9A-Fa-f.:]+"), lambda run: _pieces(run, ADDRESS_SHAPES)))
-        tokens = F.array_distinct(F.concat(F.split("line", r"\s+"), pieces))
-    offered = leases.select(*scope, "line", F.explode(tokens).alias("_t"))
-    return offered.join(sought, [*scope, "_t"], "left_semi").drop("_t").distinct()
-
-
-def _punctuation(text: Column) -> Column:
-    return F.translate(text, "0123456789abcdefABCDEF", "")
-
-
-def _pieces(run: Column, shapes: Sequence[tuple[int, str]]) -> Column:
-    """The substrings of a run that have the length and punctuation of one of the shapes."""
-    marks = _punctuation(run)
-    wanted = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in shapes])
-    possible = F.filter(wanted, lambda s: F.contains(marks, s["p"]) & (s["w"] <= F.length(run)))
-    return F.flatten(F.transform(possible, lambda s: F.filter(
-        F.transform(F.sequence(F.lit(1), F.length(run) - s["w"] + 1), lambda at: F.substring(run, at, s["w"])),
-        lambda piece: _punctuation(piece) == s["p"])))
+        told = leases.select(*scope, "line", F.explode(words).alias("_t")).filter(known)
+        return _spread_semi(told, sought, [*scope, "_t"]).drop("_t").distinct()
+    runs = F.regexp_extract_all("line", F.lit(rf"[0-9A-Fa-f.:]{{{DOTTED[0]},}}"), 0)
+    each = leases.select(*scope, "line", F.size(words).alias("_words"), F.posexplode(F.concat(words, runs)).alias("_i", "_t"))
+    told = each.select(*scope, "line", "_t", (F.col("_i") >= F.col("_words")).alias("_run")).filter(F.when(
+        F.col("_run"), _holds_address(text)).otherwise(known & ~_is_hardware(text) & ~_is_dotted(text)))  # these are runs
+    met = _pieces(leases.select(*scope, F.explode(runs).alias("_t")).filter(_holds_address(text)).distinct()).join(
+        sought.withColumnRenamed("_t", "_piece"), [*scope, "_piece"], "left_semi").select(*scope, "_t").distinct()
+    wanted = met.withColumn("_run", F.lit(True)).unionByName(sought.withColumn("_run", F.lit(False)))
+    return _spread_semi(told, wanted, [*scope, "_t", "_run"]).select(*scope, "line").distinct()
+
+
+#: Parts over which the rows of one frequent key are spread.
+SPREAD = 8
+
+
+def _spread_semi(rows: DataFrame, wanted: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows whose key is wanted; those of one key go to several tasks."""
+    parts = F.explode(F.array(*map(F.lit, range(SPREAD))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64("line"), F.lit(SPREAD)).cast("int")).join(
+        wanted.withColumn("_part", parts), [*key, "_part"], "left_semi").drop("_part")
+
+
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def _shape(text: Column) -> Column:
+    """Length, dots and colons as one of 4096 numbers; larger figures share the last."""
+    return (F.least(F.length(text), F.lit(63)) * 64 + F.least(_count(text, "."), F.lit(7)) * 8
+            + F.least(_count(text, ":"), F.lit(7)))
+
+
+def _holds_address(run: Column) -> Column:
+    """Three dots or five colons with nothing but digits between them."""
+    return (F.length(run) >= DOTTED[0]) & run.rlike(rf"\.{_DIGITS}\.{_DIGITS}\.|:(?:{_DIGITS}:){{4}}")
+
+
+def _is_hardware(text: Column) -> Column:
+    return (F.length(text) == HARDWARE) & text.rlike(rf"\A{_DIGITS}(?::{_DIGITS}){{5}}\z")
+
+
+def _is_dotted(text: Column) -> Column:
+    return F.length(text).between(*DOTTED) & text.rlike(rf"\A{_DIGITS}(?:\.{_DIGITS}){{3}}\z")
+
+
+def _pieces(runs: DataFrame) -> DataFrame:
+    """Runs (``_t``) with every ``_piece`` of them that is shaped like a hardware or dotted address.
+
+    From each place on, a dotted piece ends behind the third dot and before a fourth dot or a colon.
+    """
+    at = runs.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_t") - DOTTED[0] + 1)))
+    at = at.withColumn("_rest", F.substring("_t", F.col("_at"), F.lit(HARDWARE)))
+    flat = F.substring_index("_rest", ":", 1)
+    least = F.greatest(F.length(F.substring_index(flat, ".", 3)) + 1, F.lit(DOTTED[0]))
+    most = F.least(F.length(F.substring_index(flat, ".", 4)), F.lit(DOTTED[1]))
+    widths = F.when((_count(flat, ".") >= 3) & (least <= most), F.sequence(least, most))
+    hardware = F.when(_is_hardware(F.col("_rest")), F.array(F.lit(HARDWARE)))
+    wide = at.withColumn("_width", F.explode(F.coalesce(hardware, widths)))
+    return wide.withColumn("_piece", F.substring("_rest", F.lit(1), F.col("_width"))).drop("_at", "_rest", "_width")
 
 
 def orphans(mappings: DataFrame, markers: DataFrame, configs: DataFrame, key: Sequence[str] = _CLUSTER) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fleetlens.operators import matching
 from fleetlens.plans import bindings
 from fleetlens.plans.queries import QUERIES
 from tests.conftest import rows
@@ -19,3 +20,24 @@ def test_streams_read_tables_that_are_folders(spark, small, tmp_path):
     for name in ("st1_follow_logs", "st4_phase_deadline", "st7_bursts"):
         got = rows(QUERIES[name](spark, where))
         assert got and got == rows(QUERIES[name](spark, small)), name
+
+
+def test_leases_by_pieces_of_distinct_runs(spark):
+    """Every form of containment against brute force; words that stand in every line do not reach the join."""
+    lines = ["1700 aa:bb:cc:00:11:22 10.0.0.10 h *", "1700 0aa:bb:cc:00:11:22f 10.0.0.2 h *", "x-abc 1.2.3.4.5.6 h *", "abc h *",
+             "1700 aa:bb 210.0.0.1:7 h *", "h 1..2.34 *", "1.2.3.4:aa:bb:cc:00:11:22 *", "10.0.0.", "", "deadbeef10.0.0.13", None]
+    sought = [("AA-BB-CC-00-11-22", "10.0.0.1"), (None, "abc"), ("", "2.3.4.5"), ("zz", "1..2.3"), (None, None)]
+    leases = spark.createDataFrame([("c", x) for x in lines], "controller_id string, line string")
+    nodes = spark.createDataFrame([("c", *x) for x in sought], "controller_id string, mac string, ip string")
+    texts = {x for mac, ip in sought for x in ((mac or "").lower().replace("-", ":"), ip) if x}
+    shaped = {x for x in texts if x.count(".") == 3 and 7 <= len(x) or x.count(":") == 5}
+    whole = {x for x in lines if x is not None and set(x.split()) & texts}
+    assert {r["line"] for r in matching.purge_leases(leases, nodes).collect()} == whole
+    got = {r["line"] for r in matching.purge_leases(leases, nodes, "substring").collect()}
+    assert got == whole | {x for x in lines if x is not None and any(t in x for t in shaped)}
+
+    many = spark.range(3000).select(F.lit("c").alias("controller_id"), F.concat(F.lit("1700 h * 10.0.0."), "id").alias("line"))
+    for mode in ("exact", "substring"):
+        plan = matching.purge_leases(many, nodes, mode)
+        words = matching.purge_leases(many.withColumn("line", F.lit("1700 h *")), nodes, mode)
+        assert plan.count() > 0 and words.count() == 0
