@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ def _v6_pattern() -> str:
 
 
 _V6 = _v6_pattern()
+_EIGHT = rf"\A(?:{_HEX}:){{7}}{_HEX}\z"
+_V4_CIDR = rf"\A{_V4}/0*(?:3[0-2]|[12]?[0-9])\z"
+_V6_BITS = r"\A0*(?:12[0-8]|1[01][0-9]|[1-9]?[0-9])\z"
 _LABEL_LETTERS = "a-zA-Z0-9-"
 _LABEL_LENGTH = 63
 
@@ -48,7 +53,7 @@ def ip_family(ip: Column) -> Column:
 
 
 def is_cidr(cidr: Column) -> Column:
-    v4 = cidr.rlike(rf"\A{_V4}/0*(?:3[0-2]|[12]?[0-9])\z")
+    v4 = cidr.rlike(_V4_CIDR)
     v6 = cidr.contains(":") & cidr.rlike(rf"\A{_V6}/0*(?:12[0-8]|1[01][0-9]|[1-9]?[0-9])\z")
     return F.coalesce(v4 | v6, F.lit(False))
 
@@ -86,25 +91,34 @@ def cidr_netmask(cidr: Column) -> Column:
         F.concat_ws(".", *[octet(i) for i in range(4)]))
 
 
-def _six_halves(ip: Column) -> Column:
-    """Both 64-bit halves of valid longer-family text: a dotted tail becomes two groups, ``::`` the zeros it stands for."""
+def _eight_groups(ip: Column) -> Column:
+    """Longer-family text with its dotted tail as two groups and ``::`` written out; eight groups if, and only if, it is valid."""
     tail = F.substring_index(ip, ":", -1)
-    dotted = ipv4_to_long(tail)
-    text = F.when(dotted.isNull(), ip).otherwise(F.concat(
+    plain = F.when(~tail.contains("."), ip).otherwise(let(ipv4_to_long(tail), lambda dotted: F.concat(
         F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)), F.hex(F.shiftright(dotted, 16)), F.lit(":"),
-        F.hex(dotted.bitwiseAND(0xFFFF))))
-    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+        F.hex(dotted.bitwiseAND(0xFFFF)))))
+
+    def written_out(text: Column) -> Column:
+        at, colons = F.locate("::", text), F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+        open_end = text.startswith("::") | text.endswith("::")
+        # an open end takes a zero of its own; between groups ``::`` stands for one zero at least
+        zeros = F.when(colons < 8, F.concat(F.lit(":"), F.repeat(F.lit("0:"), 8 - colons))).when(
+            (colons == 8) & open_end, ":").otherwise("::")
+        left, right = F.left(text, at - 1), F.substring(text, at + 2, F.length(text))
+        zero = F.lit("0")
+        return F.when(at == 0, text).otherwise(F.concat(
+            F.when(left == "", zero).otherwise(left), zeros, F.when(right == "", zero).otherwise(right)))
 
-    def joined(sides: Column) -> Column:
-        left, right = groups(F.get(sides, 0)), groups(F.coalesce(F.get(sides, 1), F.lit("")))
-        zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
-        return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), "")
+    return let(plain, written_out)
 
-    def halves(digits: Column) -> Column:
-        word = [F.conv(F.substring(digits, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(4)]
-        return F.struct(*[F.shiftleft(word[i], 32).bitwiseOR(word[i + 1]).alias(n) for i, n in ((0, "hi"), (2, "lo"))])
 
-    return let(let(F.split(text, "::"), joined), halves)
+def _six_halves(ip: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of both 64-bit halves of longer-family text; null where the text is not valid."""
+    def halves(groups: Column) -> Column:
+        word = [F.conv(F.concat(*[F.lpad(F.get(groups, i + j), 4, "0") for j in range(4)]), 16, -10).cast("bigint") for i in (0, 4)]
+        return F.struct(word[0].alias("hi"), word[1].alias("lo"))
+
+    return let(_eight_groups(ip), lambda full: F.when(full.rlike(_EIGHT), let(let(F.split(full, ":"), halves), body)))
 
 
 def _is_mapped(at: Column) -> Column:
@@ -118,15 +132,15 @@ def _at(family: int, hi: Column, lo: Column, *bits: Column) -> Column:
 
 def network_facts(cidr: Column, prefix: str = "_net") -> dict[str, Column]:
     """Validity of a network, and its family, value and length, to be computed once per network row."""
-    valid, bits = is_cidr(cidr), cidr_prefix(cidr)
     none = F.lit(0).cast("bigint")
-    address = F.substring_index(cidr, "/", 1)
-    wide = let(_six_halves(address), lambda w: F.when(
+    address, length = F.substring_index(cidr, "/", 1), F.substring_index(cidr, "/", -1)
+    bits = length.try_cast("int")
+    wide = _six_halves(address, lambda w: F.when(
         _is_mapped(w) & (bits >= 96), _at(4, F.shiftleft(w["lo"], 32), none, bits - 96)).otherwise(_at(6, w["hi"], w["lo"], bits)))
     # dotted ones, the common case, stay in generated code
-    dotted = valid & ~cidr.contains(":")
-    return {f"{prefix}_ok": valid, f"{prefix}_at": F.when(
-        dotted, _at(4, F.shiftleft(_dotted_value(address), 32), none, bits)).when(valid, wide)}
+    at = F.when(cidr.rlike(_V4_CIDR), _at(4, F.shiftleft(_dotted_value(address), 32), none, bits)).when(
+        cidr.contains(":") & (F.length(address) + F.length(length) + 1 == F.length(cidr)) & length.rlike(_V6_BITS), wide)
+    return {f"{prefix}_ok": at.isNotNull(), f"{prefix}_at": at}
 
 
 def address_facts(ip: Column, prefix: str = "_ip") -> dict[str, Column]:
@@ -134,12 +148,11 @@ def address_facts(ip: Column, prefix: str = "_ip") -> dict[str, Column]:
 
     A dotted address written in the longer form belongs to the dotted family.
     """
-    none, valid = F.lit(0).cast("bigint"), is_ip(ip)
-    wide = let(_six_halves(ip), lambda w: F.when(_is_mapped(w), _at(4, F.shiftleft(w["lo"], 32), none)).otherwise(
+    none = F.lit(0).cast("bigint")
+    wide = _six_halves(ip, lambda w: F.when(_is_mapped(w), _at(4, F.shiftleft(w["lo"], 32), none)).otherwise(
         _at(6, w["hi"], w["lo"])))
-    dotted = valid & ~ip.contains(":")
-    return {f"{prefix}_ok": valid, f"{prefix}_at": F.when(
-        dotted, _at(4, F.shiftleft(_dotted_value(ip), 32), none)).when(valid, wide)}
+    at = F.when(is_ipv4(ip), _at(4, F.shiftleft(_dotted_value(ip), 32), none)).when(ip.contains(":"), wide)
+    return {f"{prefix}_ok": at.isNotNull(), f"{prefix}_at": at}
 
 
 def inside(net: str = "_net", ip: str = "_ip") -> Column:

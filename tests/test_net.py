@@ -67,3 +67,21 @@ def test_hostnames(spark):
     bad = ["", "-a", "a-", "a.-b", "a..b", ".a", "a.", "x" * 64, "a_b", "a b", "a\n", "ä", None]
     df = spark.createDataFrame([(x,) for x in good + bad], "name string")
     assert [r[0] for r in df.select(net.is_hostname(F.col("name"))).collect()] == [True] * len(good) + [False] * len(bad)
+
+
+def test_longer_addresses_are_written_out_once(spark):
+    """Where ``::`` may stand, at both ends and before a dotted tail; validity comes with the value, not from a second pattern."""
+    texts = ["::", ":::", "1::", "::1", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "::1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "1:2:3:4::5:6:7:8",
+             "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5::1.2.3.4", "1:2:3:4:5:6::1.2.3.4", "::1.2.3.4", "::ffff:1.2.3.4", "::1.2.3.256", "a:1.2.3.4:b",
+             "1::2::3", "1::2:", ":1::2", "8000::8000:0:0:0", "12345::", "g::", "::1\n", "1.2.3.4::", "1.2.3.4", ".::", "1:2:3:4:5:6:7:8:9", ""]
+    facts = spark.createDataFrame([(t,) for t in texts], "ip string").withColumns(net.address_facts(F.col("ip")))
+    for r in facts.collect():
+        at = parsed(r["ip"])
+        assert r["_ip_ok"] == (at is not None) == (r["_ip_at"] is not None), r["ip"]
+        if at:
+            hi, lo = (r["_ip_at"][x] % (1 << 64) for x in ("hi", "lo"))
+            assert (r["_ip_at"]["family"], hi >> 32 if at[0] == 4 else hi << 64 | lo) == at, r["ip"]
+    networks = spark.createDataFrame([("::1/64",), ("::1/129",), ("::1//64",), ("::1/64/64",), ("::1",), ("1.2.3.4/032",), (None,)], "n string")
+    found = networks.withColumns(net.network_facts(F.col("n")))
+    assert [r["_net_ok"] for r in found.collect()] == [True, False, False, False, False, True, False]
+    assert net._V6 not in facts._jdf.queryExecution().optimizedPlan().toString()
