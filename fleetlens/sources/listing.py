@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 #: Folders of one task, bytes of one task, bytes of a file's content that a listing may carry.
 FOLDERS, RANGE, CONTENT = 500, 32 << 20, 1 << 20
 _BACK = 1 << 16
+#: Rows of many small folders share a batch; its rows, and the letters of content from which it is full.
+ROWS, HELD = 4096, 16 << 20
 
 LISTED = "folder string, name string, path string, length bigint, mtime timestamp, content string, sha256 string"
 FOLLOWED = "file string, at bigint, text string"
@@ -62,9 +64,10 @@ class ListingReader(DataSourceReader):
         store, _ = open_store(self.path)
         shape = pa.schema([("folder", pa.string()), ("name", pa.string()), ("path", pa.string()), ("length", pa.int64()),
                            ("mtime", pa.timestamp("us", tz="UTC")), ("content", pa.string()), ("sha256", pa.string())])
+        rows, held = [], 0
         for place in partition.names:
             folder = posixpath.basename(place.rstrip("/"))
-            rows = []
+            empty = True
             for x in store.get_file_info(fs.FileSelector(place, allow_not_found=True)):
                 if x.type != fs.FileType.File:
                     continue
@@ -75,10 +78,20 @@ class ListingReader(DataSourceReader):
                             text = handle.read(CONTENT).decode("utf-8", "replace")
                     except OSError:
                         pass  # gone or not readable: its name counts all the same
-                rows.append({"folder": folder, "name": x.base_name, "path": x.path, "length": x.size, "mtime": x.mtime,
-                             "content": text, "sha256": self._digest(store, x.path) if self.digest else None})
-            yield pa.RecordBatch.from_pylist(rows or [{"folder": folder}], schema=shape)
+                empty, held = False, held + len(text or "")
+                rows.append((folder, x.base_name, x.path, x.size, x.mtime, text,
+                             self._digest(store, x.path) if self.digest else None))
+                if len(rows) >= ROWS or held >= HELD:
+                    yield self._batch(rows, shape)
+                    rows, held = [], 0
+            if empty:
+                rows.append((folder, *[None] * (len(shape) - 1)))
+        if rows:
+            yield self._batch(rows, shape)
 
+    @staticmethod
+    def _batch(rows: list[tuple], shape: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
 
     @staticmethod
     def _digest(store, path: str) -> str | None:

@@ -53,3 +53,44 @@ def test_targets_of_keyed_waits_are_written_by_many_tasks(spark, small, tmp_path
     finally:
         spark.conf.set(name, "true")
     assert got and len(spark.read.parquet(f"{tmp_path}/0").inputFiles()) > 1
+
+
+def test_small_folders_share_batches_and_are_made_once(spark, small, tmp_path, monkeypatch):
+    """Folders and files are as many as the customers; neither a batch nor a new folder is spent on every one."""
+    import pyarrow as pa
+
+    from fleetlens.sources import listing
+
+    made = []
+
+    class Store:
+        def __init__(self, store):
+            self.store = store
+
+        def create_dir(self, path):
+            made.append(path)
+            self.store.create_dir(path)
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+    def opened(path):
+        store, place = listing.open_store(path)
+        return Store(store), place
+
+    monkeypatch.setattr(bindings, "open_store", opened)
+    files = [(f"{tmp_path}/c{k}/{name}", text) for k in range(40) for name, text in ((".a", "x"), ("b", "y"), ("", None))[k % 3:]]
+    list(bindings._put(iter([pa.RecordBatch.from_pylist([{"path": p, "content": t} for p, t in files])])))
+    assert sorted(made) == sorted(f"{tmp_path}/c{k}" for k in range(40))
+
+    reader = listing.ListingReader({"path": str(tmp_path), "content": "b"})
+    want = {(f"c{k}", name) for k in range(40) for name in ((".a", "b") if k % 3 == 0 else ("b",) if k % 3 == 1 else (None,))}
+    for rows_, held, batches in ((4096, 1 << 20, 1), (7, 1 << 20, 8), (4096, 2, 14)):
+        monkeypatch.setattr(listing, "ROWS", rows_)
+        monkeypatch.setattr(listing, "HELD", held)
+        got = [b for part in reader.partitions() for b in reader.read(part)]
+        found = [r for b in got for r in b.to_pylist()]
+        assert {(r["folder"], r["name"]) for r in found} == want and len(found) == len(want), rows_
+        assert all(r["content"] == ("y" if r["name"] == "b" else None) for r in found)
+        assert len(got) <= batches, (len(got), rows_, held)
+    assert bindings.spread(spark.range(50), 2).rdd.getNumPartitions() == 25
