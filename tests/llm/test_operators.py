@@ -277,6 +277,32 @@ def test_repeated_passages(spark, docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passage_that_the_first_and_last_text_lack(spark):
+    """Ten texts hold parts of a passage, apart from each other; the two that hold all of it meet all the same."""
+    passage = prose(900, 60).split()
+    parts = [" ".join(passage[i:i + 30]) for i in (0, 10, 20, 30)]
+    rows = [(i, " ".join(x for j, part in enumerate(parts) for x in (prose(9000 + 10 * i + j, 60), part))) for i in range(10)]
+    rows += [(20 + i, " ".join([prose(9200 + i, 80), *passage, prose(9300 + i, 80)])) for i in range(2)]
+    for texts in (rows, [(i, f"{t} {prose(9400, 5)}") for i, t in rows], [(i, f"{t} {prose(9500, 5)}") for i, t in rows]):
+        got = passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert {frozenset((r["doc_id"], r["rep_id"])) for r in got} == {frozenset((20, 21))}
+
+
+def test_certain_blocks():
+    """Passages that are similar enough have so many words in a row in common, wherever they differ."""
+    block, least = passages.certain_block(50, 0.8), 47
+    assert block == 25
+    for words, edits in ((51, 1), (94, 2), (139, 3)):
+        one = prose(77, words).split()
+        two = list(one)
+        for e in range(edits):
+            two[(e + 1) * words // (edits + 1)] = f"edited{e}"
+        a, b = (set(passages.shingles(" ".join(x)).tolist()) for x in (one, two))
+        same = [x == y for x, y in zip(one, two)]
+        longest = max(len(list(g)) for v, g in itertools.groupby(same) if v)
+        assert len(a) >= least and len(a & b) >= 0.8 * len(a | b) and longest >= block
+
+
 def test_every_passage_of_a_pair(spark):
     one, two = prose(301, 60), prose(302, 80)
     rows = [(1, " ".join([prose(310, 50), one, prose(311, 100), two, prose(312, 30)])),
