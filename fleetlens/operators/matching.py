@@ -166,11 +166,14 @@ def outside_network(nodes: DataFrame, configs: DataFrame, key: Sequence[str] = _
     reports addresses that do not parse.
     """
     net = configs.select(*key, "machine_cidr", *[v.alias(n) for n, v in network_facts(F.col("machine_cidr")).items()])
-    placed = nodes.withColumns(address_facts(F.col("ip"))).join(net.filter("_net_ok"), list(key))
+    # addresses are parsed behind the join, which so moves their text alone; the row number keeps the filter from
+    # being moved below the parsing, where each mention of a fact would parse again
+    placed = nodes.join(net.filter("_net_ok"), list(key)).withColumns(
+        {**address_facts(F.col("ip")), "_row": F.monotonically_increasing_id()})
     bad = F.col("_ip_ok") & (inside() == F.lit(False))
     if strict:
         bad = bad | ~F.col("_ip_ok")
-    return placed.filter(bad).select(*nodes.columns, "machine_cidr")
+    return placed.filter((F.col("_row") >= 0) & bad).select(*nodes.columns, "machine_cidr")
 
 
 def live_conflicts(nodes: DataFrame, ping: DataFrame, scope: Sequence[str] = ("controller_id",)) -> DataFrame:

@@ -131,4 +131,6 @@ def cleanup_remaining(states: DataFrame, wanted: DataFrame, key: Sequence[str] =
     each = states.select(*key, F.inline(done)).select(*key, "step", F.explode("items").alias("item"))
     vip = states.filter(F.coalesce("cleanup_progress.vip_removed", F.lit(False))).select(
         *key, F.lit("remove_vip").alias("step"), F.lit("vip").alias("item"))
-    return wanted.select(*key, "step", "item").join(each.union(vip), [*key, "step", "item"], "left_anti").distinct()
+    left = wanted.select(*key, "step", "item").join(each.union(vip), [*key, "step", "item"], "left_anti")
+    # a text as aggregate is met in the join's own order, so repeats leave without a table of all rows in memory
+    return left.groupBy(*key, "step", "item").agg(F.max("item").alias("_item")).select(*key, "step", F.col("_item").alias("item"))

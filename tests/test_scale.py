@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fleetlens.operators import matching
+from fleetlens.operators import matching, planning
 from fleetlens.plans import bindings, queries
 from fleetlens.plans.queries import QUERIES
 from tests.conftest import rows
@@ -109,3 +109,31 @@ def test_queries_of_few_columns_write_no_whole_documents(spark, small, monkeypat
     sizes = {(r["m"], r["w"], r["b"]) for r in bindings.flat(spark, small).select(
         F.size("masters").alias("m"), F.size("workers").alias("w"), F.size("bootstrap").alias("b")).distinct().collect()}
     assert {m for m, _, _ in sizes} == {1, 2, 3, 4, 5} and {w for _, w, _ in sizes} == {0, 1, 2, 3, 4} and {b for _, _, b in sizes} == {0, 1}
+
+
+def test_addresses_are_parsed_behind_the_join(spark, small, monkeypatch):
+    """The join moves addresses as text, and the numbered nodes are not written out for one reader."""
+    nodes = spark.createDataFrame([(1, "fd00:2::1"), (1, "10.1.0.9"), (1, "fd00:1::7"), (1, "x"), (2, "10.2.0.1"), (3, "10.3.0.1")], "k int, ip string")
+    nets = spark.createDataFrame([(1, "fd00:1::/32"), (2, "10.2.0.0/16"), (3, "bad")], "k int, machine_cidr string")
+    out = matching.outside_network(nodes, nets, ["k"], strict=True)
+    assert rows(out, "k", "ip") == [(1, "10.1.0.9"), (1, "fd00:2::1"), (1, "x")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("_ip_at") < plan.index("Join")
+
+    def refused(_):
+        raise AssertionError("nodes were written whole")
+
+    monkeypatch.setattr(bindings, "_STORED", {})
+    monkeypatch.setattr(bindings, "scratch_dir", refused)
+    for name in ("j8_wide_outside", "j15_resolve_uuid"):
+        QUERIES[name](spark, small)
+
+
+def test_cleanup_leaves_repeats_in_the_order_of_its_join(spark):
+    wanted = spark.createDataFrame([("a", "power_off", "m"), ("a", "power_off", "m"), ("a", "power_off", "n"), ("a", "remove_vip", "vip"),
+                                    ("b", "power_off", None), ("b", "power_off", None)], "k string, step string, item string")
+    states = spark.createDataFrame([("a", (["n"], None, None, None, True))], "k string, cleanup_progress struct<power_off_completed:array<string>,"
+                                   "iso_unmapped:array<string>,nfs_unmounted:array<string>,services_removed:array<string>,vip_removed:boolean>")
+    out = planning.cleanup_remaining(states, wanted, ["k"])
+    assert rows(out) == sorted([("a", "power_off", "m"), ("b", "power_off", None)], key=repr)
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
