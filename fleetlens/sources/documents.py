@@ -30,7 +30,8 @@ def folder_of(path: Column, up: int = 1) -> Column:
     return F.element_at(F.split(path, "/"), F.lit(-1 - up))
 
 
-# Words that a yes-or-no field takes.
+# Plain words for null, and words that a yes-or-no field takes.
+NULLS = ("", "~", "null", "Null", "NULL")
 YES, NO = ("y", "yes", "on", "true"), ("n", "no", "off", "false")
 
 
@@ -42,26 +43,34 @@ def _loader():
     class Plain(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         pass
 
-    kept = {"tag:yaml.org,2002:null", "tag:yaml.org,2002:merge"}
-    Plain.yaml_implicit_resolvers = {
-        first: [(tag, rule) for tag, rule in rules if tag in kept]
-        for first, rules in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+    plain = {text: "tag:yaml.org,2002:null" for text in NULLS} | {"<<": "tag:yaml.org,2002:merge"}
+
+    def resolve(self, kind, value, implicit):
+        """The resolver's own rules for null and merge alone, looked up instead of matched."""
+        if kind is yaml.ScalarNode:
+            return plain.get(value, self.DEFAULT_SCALAR_TAG) if implicit[0] else self.DEFAULT_SCALAR_TAG
+        return self.DEFAULT_SEQUENCE_TAG if kind is yaml.SequenceNode else self.DEFAULT_MAPPING_TAG
+
+    Plain.resolve = resolve
     return Plain
 
 
 def _check(node, above: set[int], done: set[int]) -> None:
-    """Refuse keys given twice and anchors that contain themselves."""
-    if node.id == "scalar" or id(node) in done:
+    """Refuse keys given twice and anchors that contain themselves.  Scalars, most of all nodes, are not visited."""
+    if id(node) in done:
         return
     if id(node) in above:
         raise ValueError("anchor contains itself")
     above.add(id(node))
+    parts = node.value
     if node.id == "mapping":
-        names = [key.value for key, _ in node.value if key.id == "scalar"]
+        names = [key.value for key, _ in parts if key.id == "scalar"]
         if len(names) != len(set(names)):
             raise ValueError(f"key given twice: {next(n for n in names if names.count(n) > 1)}")
-    for child in node.value if node.id == "sequence" else [part for pair in node.value for part in pair]:
-        _check(child, above, done)
+        parts = [part for pair in parts for part in pair]
+    for child in parts:
+        if child.id != "scalar":
+            _check(child, above, done)
     above.discard(id(node))
     done.add(id(node))
 
@@ -96,16 +105,9 @@ def _whole(text: str) -> int:
 
 def _fit(node, kind: T.DataType, place: str):
     """The node as a value of the wanted type; ValueError where it has another shape."""
-    if _null(node):
-        return None
-    if isinstance(kind, T.StructType) and node.id == "mapping":
-        have = _entries(node)
-        return {f.name: _fit(have[f.name], f.dataType, f"{place}.{f.name}") for f in kind.fields if f.name in have}
-    if isinstance(kind, T.MapType) and node.id == "mapping":
-        return {name: _fit(value, kind.valueType, f"{place}.{name}") for name, value in _entries(node).items()}
-    if isinstance(kind, T.ArrayType) and node.id == "sequence":
-        return [_fit(value, kind.elementType, place) for value in node.value]
-    if node.id == "scalar" and not isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
+    if node.id == "scalar":
+        if _null(node):
+            return None
         if isinstance(kind, T.StringType):
             return node.value
         word = node.value.lower()
@@ -115,6 +117,14 @@ def _fit(node, kind: T.DataType, place: str):
             number = _whole(node.value)
             if abs(number) < 2 ** (31 if isinstance(kind, T.IntegerType) else 63):
                 return number
+    elif node.id == "mapping":
+        if isinstance(kind, T.StructType):
+            have = _entries(node)
+            return {f.name: _fit(have[f.name], f.dataType, f"{place}.{f.name}") for f in kind.fields if f.name in have}
+        if isinstance(kind, T.MapType):
+            return {name: _fit(value, kind.valueType, f"{place}.{name}") for name, value in _entries(node).items()}
+    elif isinstance(kind, T.ArrayType):
+        return [_fit(value, kind.elementType, place) for value in node.value]
     raise ValueError(f"wrong type at {place.lstrip('.')}")
 
 

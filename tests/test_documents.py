@@ -5,9 +5,11 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.operators import resolve, rules
 from fleetlens.plans import reports
+from fleetlens.schemas import CONFIG
 from fleetlens.sources import documents, sinks, snapshots
 from tests.conftest import rows
 
@@ -198,3 +200,13 @@ def test_scalars_stay_as_written_and_errors_stay_in_their_row(spark):
     assert (worker["name"], worker["mac_address"], worker["ip"], worker["system_name"]) == ("010", "10:20:30:40:50:55", None, "~")
     assert all(out[i]["_error"] and out[i]["openshift"] is None for i in range(1, len(bad) + 1))
     assert all(out[i]["_error"] is None for i in (len(bad) + 1, len(bad) + 2))
+
+
+def test_scalars_are_not_visited_when_keys_are_checked(spark, monkeypatch):
+    seen, check = [], documents._check
+    monkeypatch.setattr(documents, "_check", lambda node, *more: (seen.append(node.id), check(node, *more))[1])
+    text = "hmc: {ip: ~, username: 'null'}\nnodes:\n  masters:\n    - {name: null, ip: a}\n"
+    got, error = documents._yaml_to_json(text, T.StructType.fromDDL(CONFIG))
+    assert error is None and json.loads(got) == {"hmc": {"ip": None, "username": "null", "password_set": False},
+                                                 "nodes": {"masters": [{"name": None, "ip": "a"}]}}
+    assert "scalar" not in seen and len(seen) == 5
