@@ -288,6 +288,33 @@ def test_passage_that_the_first_and_last_text_lack(spark):
         assert {frozenset((r["doc_id"], r["rep_id"])) for r in got} == {frozenset((20, 21))}
 
 
+def test_passages_behind_a_line_that_many_texts_share(spark):
+    """Every two of forty texts share a line too short to count; pairs of them, wherever they are, share a passage that holds it."""
+    line = prose(900, 34)
+    ends = [[prose(9600 + i, 14), prose(9650 + i, 14)] for i in range(20)]
+    rows = [(100 + i, " ".join([prose(9700 + i, 60), ends[i % 20][0], line, ends[i % 20][1], prose(9800 + i, 60)])) for i in range(40)]
+    rows += [(i, " ".join([prose(9900 + i, 60), line, prose(9950 + i, 60)])) for i in range(20)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {frozenset((r["doc_id"], r["rep_id"])) for r in got} == {frozenset((100 + i, 120 + i)) for i in range(20)}
+
+
+def test_passage_at_a_later_place_of_its_line(spark):
+    """The text of smallest key has the line alone first, and then within the passage."""
+    line, before, after = prose(900, 34), prose(901, 14), prose(902, 14)
+    rows = [(i, " ".join([prose(910 + i, 130), line, prose(920 + i, 130), before, line, after, prose(930 + i, 60)])) for i in range(2)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert max(r["end"] - r["start"] for r in got) >= 62
+
+
+def test_runs_of_one_word(spark):
+    """Texts with over fifty times a word have that passage in common, whatever their lengths; shorter runs are none."""
+    rows = [(i, " ".join([prose(950 + i, 40), "of " * n + prose(960 + i, 40)])) for i, n in enumerate((60, 55, 90, 35, 40, 30))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x for r in got for x in (r["doc_id"], r["rep_id"])} == {0, 1, 2}
+    a, b = (passages.shingles(" ".join(x)) for x in (["a b c d e f g h"] + ["of"] * 80 + ["i j k l m"], ["of"] * 60 + [prose(970, 200), "a b c d e f g h of of"]))
+    assert any(e - s == 76 for s, e, *_ in passages.common_passages(a, b, 47, 0.8))
+
+
 def test_certain_blocks():
     """Passages that are similar enough have so many words in a row in common, wherever they differ."""
     block, least = passages.certain_block(50, 0.8), 47
