@@ -8,16 +8,23 @@ here are read in tasks: the listing by folders, the followed files by byte range
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import posixpath
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from fleetlens.session import scratch_dir
+
 #: Folders of one task, bytes of one task, bytes of a file's content that a listing may carry.
 FOLDERS, RANGE, CONTENT = 500, 32 << 20, 1 << 20
+#: Names right below a listed tree of one task.
+NAMES = 2000
 _BACK = 1 << 16
 #: Rows of many small folders share a batch; its rows, and the letters of content from which it is full.
 ROWS, HELD = 4096, 16 << 20
@@ -106,6 +113,109 @@ class ListingReader(DataSourceReader):
         return whole.hexdigest()
 
 
+def hidden(name: str, folder: bool) -> bool:
+    """Names that Spark's own file scans skip."""
+    if folder and name.startswith(("_common_metadata", "_metadata")):
+        return False
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _entries(store, place: str) -> Iterator[tuple[str, bool]]:
+    """Paths right below a folder, and whether each is a folder; names of a local one are never held together."""
+    from pyarrow import fs
+
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(place) as found:
+            for x in found:
+                yield x.path, x.is_dir()
+    else:
+        for x in store.get_file_info(fs.FileSelector(place)):
+            yield x.path, x.type == fs.FileType.Directory
+
+
+class Block(InputPartition):
+    def __init__(self, start: int, end: int, spool: str):
+        self.start, self.end, self.spool = start, end, spool
+
+
+class TreeReader(DataSourceReader):
+    """One row a file at any depth below ``path``, names that Spark skips left out.
+
+    The names right below it go to a file, a block of it to each task, so that the driver holds a block's alone.
+    """
+
+    def __init__(self, options):
+        self.path, self.spool = options["path"], options["spool"]
+        self.names = int(options.get("namesPerTask", NAMES))
+
+    def partitions(self) -> list[InputPartition]:
+        store, base = open_store(self.path)
+        spool = f"{self.spool}/{uuid.uuid4().hex}"
+        kept, to = open_store(spool)
+        kept.create_dir(posixpath.dirname(to))
+        out, held, at = [], [], 0
+        with kept.open_output_stream(to) as handle:
+            for path, folder in _entries(store, base):
+                if not hidden(posixpath.basename(path), folder):
+                    held.append(json.dumps([path, folder]))
+                if len(held) >= self.names:
+                    at, held = self._block(handle, held, at, spool, out), []
+            self._block(handle, held, at, spool, out)
+        return out
+
+    @staticmethod
+    def _block(handle, held: list[str], at: int, spool: str, out: list[InputPartition]) -> int:
+        data = "\n".join(held).encode()
+        handle.write(data)
+        out.append(Block(at, at + len(data), spool))
+        return at + len(data)
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        shape = pa.schema([("path", pa.string()), ("length", pa.int64()), ("mtime", pa.timestamp("us", tz="UTC"))])
+        store, _ = open_store(self.path)
+        kept, spool = open_store(partition.spool)
+        with kept.open_input_file(spool) as handle:
+            names = [json.loads(x) for x in handle.read_at(partition.end - partition.start, partition.start).decode().split("\n") if x]
+        files: list[str] = []
+        todo = [iter(names)]
+        while todo:
+            for path, folder in todo[-1]:
+                if len(todo) > 1 and hidden(posixpath.basename(path), folder):
+                    continue
+                if folder:
+                    todo.append(_entries(store, path))
+                    break
+                files.append(path)
+                if len(files) >= ROWS:
+                    yield self._rows(store, files, shape)
+                    files = []
+            else:
+                todo.pop()
+        if files:
+            yield self._rows(store, files, shape)
+
+    @staticmethod
+    def _rows(store, files: list[str], shape: pa.Schema) -> pa.RecordBatch:
+        found = store.get_file_info(files)
+        # a time in whole milliseconds, as Hadoop's
+        return pa.RecordBatch.from_arrays([
+            pa.array([x.path for x in found], pa.string()), pa.array([x.size for x in found], pa.int64()),
+            pa.array([None if x.mtime_ns is None else x.mtime_ns // 1_000_000 * 1000 for x in found], pa.int64()).cast(shape.field("mtime").type)],
+            schema=shape)
+
+
+class TreeListing(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "tree_listing"
+
+    def schema(self) -> str:
+        return "path string, length bigint, mtime timestamp"
+
+    def reader(self, schema) -> DataSourceReader:
+        return TreeReader(self.options)
+
+
 class FolderListing(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -207,6 +317,13 @@ def list_folders(spark: SparkSession, root: str, content: tuple[str, ...] = (),
             .option("foldersPerTask", folders_per_task).load())
 
 
+def list_tree(spark: SparkSession, root: str, names_per_task: int = NAMES) -> DataFrame:
+    """Path, length and time of every file below a local folder, at any depth, as Spark's file scans find them; listed in tasks."""
+    spark.dataSource.register(TreeListing)
+    return (spark.read.format("tree_listing").option("path", root).option("spool", scratch_dir(spark))
+            .option("namesPerTask", names_per_task).load())
+
+
 def file_digests(spark: SparkSession, root: str, folders_per_task: int = FOLDERS) -> DataFrame:
     """SHA-256 of every file of the folders right below ``root``, read in blocks, so that no file is held whole."""
     listed = (spark.read.format("folder_listing").option("path", root).option("digest", "true")

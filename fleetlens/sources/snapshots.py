@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.schemas import INVENTORY
 from fleetlens.sources.documents import folder_of
-from fleetlens.sources.listing import follow_files
+from fleetlens.sources.listing import follow_files, list_tree
 
 LOG_SCHEMA = "cluster_name STRING, file STRING, line_no BIGINT, text STRING"
 
@@ -125,6 +128,14 @@ def read_host(spark: SparkSession, kind: str, glob: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Listing only: the content column is pruned, so no file body is read."""
+    """Listing only: no file body is read.
+
+    A folder is listed in tasks.  A pattern, a file and a store that only Spark
+    opens are listed by Spark, whose driver holds all names; the content column is pruned.
+    """
+    path = re.sub(r"^file:/+", "/", glob)
+    if path.startswith("/") and not re.search(r"[*?\[\]{}\\]", path) and os.path.isdir(path):
+        listed = list_tree(spark, path.rstrip("/") or "/").filter("length > 0")  # Spark's scan has no empty files
+        return listed.select(F.concat(F.lit("file:"), "path").alias("path"), "length", "mtime")
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob)
             .select("path", "length", F.col("modificationTime").alias("mtime")))

@@ -26,6 +26,24 @@ def test_folders_with_dot_files_alone_and_without_files(spark, tmp_path):
     assert listing.list_folders(spark, str(tmp_path), folders_per_task=1).rdd.getNumPartitions() == 3
 
 
+def test_tree_is_listed_as_spark_lists_it(spark, tmp_path):
+    root = tmp_path / "r"
+    for f in ("a/config.yaml", "a/.lock", "a/_x", "a/_x=1", "a/_metadata", "a/b/c/deep ä.txt", "a/.h/in", "_s/in", "_p=1/in", "stray", ".dot", "x._COPYING_",
+              "a/empty", "a/p%20q", "a/_spark_metadata/0", "a/_metadata_of/x"):
+        (root / f).parent.mkdir(parents=True, exist_ok=True)
+        (root / f).write_text("" if f == "a/empty" else f"body of {f}\n")
+    (root / "none").mkdir()
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file:{root}").select(
+        "path", "length", F.col("modificationTime").alias("mtime"))
+    for at in (f"file:{root}", f"file://{root}/", str(root)):
+        got = snapshots.read_files(spark, at)
+        assert got.schema.simpleString() == want.schema.simpleString() and rows(got) == rows(want)
+    assert rows(listing.list_tree(spark, str(root), 1).select(F.concat(F.lit("file:"), "path").alias("path"), "length", "mtime").filter("length > 0")) == rows(want)
+    assert listing.list_tree(spark, str(root), 1).rdd.getNumPartitions() > 3  # names are dealt to tasks
+    assert snapshots.read_files(spark, f"{tmp_path}/r/none").count() == 0
+    assert rows(snapshots.read_files(spark, f"{root}/a/*.yaml"), "length") == [(len("body of a/config.yaml\n"),)]
+
+
 def test_numbers_of_files_in_several_blocks(spark, tmp_path):
     rng = random.Random(1)
     whole = {name: [f"{i} " + "x" * rng.randrange(200) for i in range(n)] for name, n in (("a", 3000), ("b", 1), ("c", 700))}
