@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from fleetlens.operators import logs
+from fleetlens.operators import logs, rules
 from fleetlens.sources import listing
 from tests.conftest import rows
 
@@ -47,3 +47,13 @@ def test_digests_of_large_files(spark, tmp_path):
         whole.update(bytes(1 << 20))
     assert rows(listing.file_digests(spark, str(tmp_path)), "folder", "name", "length", "sha256") == [
         ("a", ".small", 2, hashlib.sha256(b"x\xff").hexdigest()), ("a", "big", size, whole.hexdigest())]
+
+
+def test_messages_are_not_shuffled_unless_asked_for(spark):
+    entities = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    found = spark.createDataFrame([("a", "R2", "E", "x"), ("a", "R1", "E", "y"), ("a", "R0", "W", "w"), ("b", "R3", "W", "z"), ("q", "R1", "E", "-")],
+                                  "name string, rule_id string, severity string, message string")
+    out = rules.rollup(found, entities, ("name",))
+    assert rows(out) == [("a", 2, 1, False, "R1", "y"), ("b", 0, 1, True, None, None), ("c", 0, 0, True, None, None)]
+    plan = out.select("name", "errors", "first_rule")._jdf.queryExecution().optimizedPlan().toString()
+    assert "message" not in plan
