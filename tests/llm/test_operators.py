@@ -289,21 +289,23 @@ def test_passage_that_the_first_and_last_text_lack(spark):
 
 
 def test_passages_behind_a_line_that_many_texts_share(spark):
-    """Every two of forty texts share a line too short to count; pairs of them, wherever they are, share a passage that holds it."""
+    """All of eighty texts share a line too short to count; pairs of them, wherever they are, share a passage that holds it."""
     line = prose(900, 34)
-    ends = [[prose(9600 + i, 14), prose(9650 + i, 14)] for i in range(20)]
-    rows = [(100 + i, " ".join([prose(9700 + i, 60), ends[i % 20][0], line, ends[i % 20][1], prose(9800 + i, 60)])) for i in range(40)]
-    rows += [(i, " ".join([prose(9900 + i, 60), line, prose(9950 + i, 60)])) for i in range(20)]
+    rows = [(100 * j + i, " ".join([prose(9700 + 100 * j + i, 60), prose(9600 + i, 8), line, prose(9650 + i, 9), prose(9950 + 100 * j + i, 60)]))
+            for i in range(40) for j in range(1, 3)]
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {frozenset((r["doc_id"], r["rep_id"])) for r in got} == {frozenset((100 + i, 120 + i)) for i in range(20)}
+    assert {frozenset((r["doc_id"], r["rep_id"])) for r in got} == {frozenset((100 + i, 200 + i)) for i in range(40)}
 
 
 def test_passage_at_a_later_place_of_its_line(spark):
-    """The text of smallest key has the line alone first, and then within the passage."""
-    line, before, after = prose(900, 34), prose(901, 14), prose(902, 14)
-    rows = [(i, " ".join([prose(910 + i, 130), line, prose(920 + i, 130), before, line, after, prose(930 + i, 60)])) for i in range(2)]
+    """Both texts of each pair have a line alone first, and then within a passage."""
+    rows = []
+    for i in range(0, 1200, 30):
+        line, before, after = prose(20000 + i, 34), prose(20001 + i, 8), prose(20002 + i, 9)
+        rows += [(i + j, " ".join([prose(20003 + i + 10 * j, 130), line, prose(20004 + i + 10 * j, 130), before, line, after, prose(20005 + i + 10 * j, 60)]))
+                 for j in range(2)]
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert max(r["end"] - r["start"] for r in got) >= 62
+    assert {frozenset((r["doc_id"], r["rep_id"])) for r in got} == {frozenset((i, i + 1)) for i in range(0, 1200, 30)}
 
 
 def test_runs_of_one_word(spark):
